@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, quality, secrets, simhash
 
-MODULES = (simhash,)
+MODULES = (secrets, packing, simhash, quality)
 
 
 def queries() -> dict:
