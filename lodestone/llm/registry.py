@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash
+from . import language, linededup, mixing, packing, quality, secrets, simhash
 
-MODULES = (secrets, packing, simhash, quality)
+MODULES = (secrets, linededup, packing, mixing, language, simhash, quality)
 
 
 def queries() -> dict:

@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lookup_join, map_batches, table
@@ -255,6 +255,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return lookup_join(marked, named, "fp", "n", ["doc_id"], total).select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component: the row with its smallest id.
+
+    Where that id has several rows, the one with the smallest text hash stays; rows equal in that too are one document.
+    A row without an id gets one from its text, larger than any that is given.
+    """
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 61) + F.shiftrightunsigned(body, 4))
+    found = near_duplicates(docs.select(ident.alias("doc_id"), F.col(text).alias("text")))
+    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.withColumn("_id", ident).join(firsts, "_id", "left_semi")
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(body))).filter("_k = 1").select(*docs.columns)
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
