@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, linededup, mixing, packing, quality, secrets, simhash
+from . import language, licences, linededup, mixing, packing, quality, secrets, simhash, topk, urlfilter
 
-MODULES = (secrets, linededup, packing, mixing, language, simhash, quality)
+MODULES = (secrets, linededup, packing, urlfilter, mixing, language, simhash, licences, topk, quality)
 
 
 def queries() -> dict:
