@@ -20,17 +20,25 @@ def register(name: str, ids: tuple[str, ...], query: Query, sql: str | None = No
         _SQL[name] = sql
 
 
+def _load() -> None:
+    import lodestone.queries.all  # noqa: F401  registers on first use
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def inventory() -> dict[str, tuple[str, ...]]:
+    _load()
     return dict(_IDS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
     return _QUERIES["bm25_topk"](spark, sf_dir)
