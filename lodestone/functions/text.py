@@ -29,6 +29,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def casefold(c: str | Column) -> Column:
     """Lower case with the one folding that Western texts need; `İ` is left to lower()."""
     return F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss"))

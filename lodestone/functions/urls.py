@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import bind, col
 
 # Query keys and key prefixes that only track, hosts that are never fetched, documentation domains.
 TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "ref_src", "igshid")
@@ -94,19 +94,20 @@ def under(name: Column, domain: str | Column) -> Column:
 
 
 def source_type(c: str | Column) -> Column:
-    h, p = host(c), F.lower(path(c))
-    github = under(h, "github.com") | (h == "raw.githubusercontent.com")
-    documented = h.contains("docs.") | p.contains("/docs/") | p.contains("/documentation/")
-    for d in DOCUMENTATION:
-        documented = documented | under(h, d)
-    return (
-        F.when(h.rlike(r"\.(gov|edu)$"), "primary_institution")
-        .when(documented, "official_documentation")
-        .when(github & p.contains("/issues/"), "issue_tracker")
-        .when(github, "source_repository")
-        .when(p.rlike("paper|article|research"), "publication")
-        .otherwise("web_page")
-    )
+    def kind(u: Column) -> Column:
+        h, p = u["host"], u["path"]
+        github = under(h, "github.com") | (h == "raw.githubusercontent.com")
+        documented = h.contains("docs.") | p.contains("/docs/") | p.contains("/documentation/") | F.exists(F.lit(list(DOCUMENTATION)), lambda d: under(h, d))
+        return (
+            F.when(h.rlike(r"\.(gov|edu)$"), "primary_institution")
+            .when(documented, "official_documentation")
+            .when(github & p.contains("/issues/"), "issue_tracker")
+            .when(github, "source_repository")
+            .when(p.rlike("paper|article|research"), "publication")
+            .otherwise("web_page")
+        )
+
+    return bind(F.struct(host(c).alias("host"), F.lower(path(c)).alias("path")), kind)
 
 
 def sensitive_key(k: Column) -> Column:
@@ -159,13 +160,17 @@ def special_v6(h: Column) -> Column:
 def unsafe_reason(c: str | Column) -> Column:
     """Why a URL must not be fetched; null if it may."""
     c = col(c)
-    h, user = host(c), authority(c).contains("@")
-    return (
-        F.when((F.length(c) > 4096) | c.rlike(r"[\x00-\x1F]"), "encoding")
-        .when(~scheme(c).isin("http", "https"), "scheme")
-        .when(user, "credentials")
-        .when((h == "") | h.contains("%"), "host")
-        .when(h.isin(*BLOCKED) | h.rlike(BLOCKED_SUFFIX), "internal")
-        .when(special(address(h)) | special_v6(h), "address")
-        .when((port(c) != "") & ~port(c).rlike("^0*([1-9][0-9]{0,3}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])$"), "port")
-    )
+
+    def judge(u: Column) -> Column:
+        h = u["host"]
+        return (
+            F.when((F.length(c) > 4096) | c.rlike(r"[\x00-\x1F]"), "encoding")
+            .when(~u["scheme"].isin("http", "https"), "scheme")
+            .when(u["authority"].contains("@"), "credentials")
+            .when((h == "") | h.contains("%"), "host")
+            .when(h.isin(*BLOCKED) | h.rlike(BLOCKED_SUFFIX), "internal")
+            .when(bind(address(h), special) | special_v6(h), "address")
+            .when((u["port"] != "") & ~u["port"].rlike("^0*([1-9][0-9]{0,3}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])$"), "port")
+        )
+
+    return bind(F.struct(scheme(c).alias("scheme"), authority(c).alias("authority"), host(c).alias("host"), port(c).alias("port")), judge)

@@ -1,3 +1,3 @@
 """Registers every query."""
 
-from . import ranking  # noqa: F401
+from . import ranking, results  # noqa: F401
