@@ -1,3 +1,3 @@
 """Registers every query."""
 
-from . import ranking, results  # noqa: F401
+from . import planning, ranking, results  # noqa: F401
