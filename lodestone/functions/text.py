@@ -104,12 +104,14 @@ def jaccard(a: Column, b: Column) -> Column:
 def clip(c: str | Column, limit: int) -> Column:
     """White space collapsed; if longer than limit, cut at the last sentence end that is late enough, else the last blank, with an ellipsis."""
     whole = compact(c)
-    head = F.left(whole, F.lit(limit - 1))
-    last = lambda x, mark: F.when(F.instr(F.reverse(x), mark) > 0, F.length(x) - F.instr(F.reverse(x), mark)).otherwise(F.lit(-1))
-    stop, space = F.greatest(*(last(head, m) for m in (".", "!", "?"))), last(head, " ")
-    by_stop, by_space = F.left(head, stop + 1), F.left(head, space)
-    best = F.when(stop >= max(80, limit // 2), by_stop).when(space >= max(40, limit // 2), by_space).otherwise(head)
-    return F.when(F.length(whole) <= limit, whole).otherwise(F.concat(F.rtrim(best), F.lit("…")))
+    head = F.rtrim(F.left(whole, F.lit(limit - 1)))
+
+    def late(h: Column) -> Column:
+        stop = F.length(F.regexp_extract(h, r"(?s)^(.*[.!?]) ", 1)) - 1
+        space = F.length(F.regexp_extract(h, r"(?s)^(.*) ", 1))
+        return F.when(stop >= max(80, limit // 2), F.left(h, stop + 1)).when(space >= max(40, limit // 2), F.left(h, space)).otherwise(h)
+
+    return F.when(F.length(whole) <= limit, whole).otherwise(F.concat(F.rtrim(bind(head, late)), F.lit("…")))
 
 
 def citations(c: str | Column) -> Column:
