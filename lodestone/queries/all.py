@@ -1,3 +1,3 @@
 """Registers every query."""
 
-from . import evidence, planning, ranking, results  # noqa: F401
+from . import evidence, planning, ranking, results, state  # noqa: F401

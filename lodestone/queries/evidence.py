@@ -69,7 +69,7 @@ def freshness(spark, sf_dir):
     dated = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate"))
     fresh = C.freshness(dated, F.lit(NOW).cast("timestamp"), F.col("o_orderkey") % 2 == 0)
     quality = C.source_quality((F.col("o_orderkey") % 10) / 10, fresh)
-    return o.select("o_orderkey", fresh.alias("freshness"), quality.alias("quality"), F.round(C.base_score((F.col("o_orderkey") % 7) / 7, (F.col("o_orderkey") % 3) / 3, quality), 4).alias("base"))
+    return o.select("o_orderkey", fresh.alias("freshness"), quality.alias("quality"), F.round(C.base_score((F.col("o_orderkey") % 7) / 7, (F.col("o_orderkey") % 3) / 3, quality), 6).alias("base"))
 
 
 register("freshness", ("R5", "R7", "R8", "Z9"), freshness, f"""
@@ -77,7 +77,7 @@ WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END
 f AS (SELECT o_orderkey, CASE WHEN dt IS NULL THEN CASE WHEN o_orderkey % 2 = 0 THEN 0.35 ELSE 0.5 END WHEN o_orderkey % 2 <> 0 THEN 0.75
   ELSE round(1 / (1 + greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(dt)) / 86400)) / 180::DOUBLE), 4) END::DOUBLE AS freshness FROM d),
 q AS (SELECT *, round(0.65::DOUBLE * (o_orderkey % 10 / 10::DOUBLE) + 0.35::DOUBLE * freshness, 4) AS quality FROM f)
-SELECT o_orderkey, freshness, quality, round(0.45::DOUBLE * ((o_orderkey % 7) / 7::DOUBLE) + 0.30::DOUBLE * ((o_orderkey % 3) / 3::DOUBLE) + 0.25::DOUBLE * quality, 4) AS base FROM q""")
+SELECT o_orderkey, freshness, quality, round(0.45::DOUBLE * ((o_orderkey % 7) / 7::DOUBLE) + 0.30::DOUBLE * ((o_orderkey % 3) / 3::DOUBLE) + 0.25::DOUBLE * quality, 6) AS base FROM q""")
 
 
 def source_relevance(spark, sf_dir):
