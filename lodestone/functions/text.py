@@ -55,27 +55,27 @@ def tokens(c: str | Column) -> Column:
 
     def parts(t):
         own = F.regexp_extract_all(F.regexp_replace(F.translate(t, ".", " "), r"(?<=[a-z0-9])(?=[A-Z])", " "), F.lit(r"([\p{L}\p{N}_+#-]{2,})"), F.lit(1))
-        return F.when((F.size(own) > 1) & t.rlike(r"\p{L}"), own).otherwise(F.array(t))
+        split = bind(own, lambda o: F.when((F.size(o) > 1) & t.rlike(r"\p{L}"), o).otherwise(F.array(t)))
+        return F.when(t.rlike(r"\.|[a-z0-9][A-Z]"), split).otherwise(F.array(t))
 
     return F.transform(F.flatten(F.transform(F.filter(raw, lambda t: F.length(t) >= 2), parts)), casefold)
 
 
 def inflection(t: Column) -> Column:
     """The first suffix rule that fits, else the token."""
-    n, end = F.length(t), lambda *x: t.rlike("(" + "|".join(x) + ")$")
+    n, end = F.length(t), lambda x: F.endswith(t, F.lit(x))
     cut = lambda k: F.left(t, n - F.lit(k))
 
     def single(base: Column) -> Column:
         m = F.length(base)
         return F.when((m > 3) & (F.right(base, F.lit(1)) == F.substring(base, m - 1, F.lit(1))), F.left(base, m - 1)).otherwise(base)
 
+    plural = F.when((n > 5) & (end("sses") | end("shes") | end("ches") | end("xes") | end("zes")), cut(2)).when((n > 4) & ~(end("ss") | end("us") | end("is")), cut(1)).otherwise(t)
     return (
-        F.when((n > 5) & end("ies"), F.concat(cut(3), F.lit("y")))
+        F.when(end("s"), F.when((n > 5) & end("ies"), F.concat(cut(3), F.lit("y"))).otherwise(plural))
         .when((n > 6) & end("ing"), single(cut(3)))
         .when((n > 5) & end("ied"), F.concat(cut(3), F.lit("y")))
         .when((n > 5) & end("ed"), single(cut(2)))
-        .when((n > 5) & end("sses", "shes", "ches", "xes", "zes"), cut(2))
-        .when((n > 4) & end("s") & ~end("ss", "us", "is"), cut(1))
         .otherwise(t)
     )
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import bigrams_py, casefold, meaningful, meaningful_py
+from lodestone.functions.text import bigrams_py, bind, casefold, meaningful, meaningful_py
 from lodestone.plans.lineage import cut
 
 # Saturation, length share and the weights of the bonuses.
@@ -45,7 +45,8 @@ def _matches(name: str, question: str, row: Column) -> Column:
         counts = F.transform(F.lit(terms), lambda t: F.size(F.filter(own, lambda x: x["t"] == t)))
         share = F.size(F.array_distinct(F.transform(own, lambda x: x["t"]))) / F.lit(len(terms))
         bonus = bonus + F.lit(HEADING) * F.size(F.array_intersect(F.lit(terms), row["title"])) + F.lit(COVERAGE) * F.pow(share, 2)
-        bonus = bonus + F.coalesce(F.least(F.lit(PROXIMITY), F.lit(1.6) / F.greatest(F.lit(2), _gap(own))), F.lit(0.0))
+        # greatest() passes over nulls, so a missing gap is asked for first.
+        bonus = bonus + bind(_gap(own), lambda g: F.when(g.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(PROXIMITY), F.lit(1.6) / F.greatest(F.lit(2), g))))
     if pairs:
         after = F.slice(row["found"], 2, F.greatest(F.size(row["found"]), F.lit(1)))
         near = F.zip_with(row["found"], after, lambda a, b: F.when(b["p"] == a["p"] + 1, F.concat(a["t"], F.lit(" "), b["t"])))

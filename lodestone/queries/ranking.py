@@ -53,7 +53,7 @@ nb AS (SELECT question_id, count(*) AS n FROM qb GROUP BY question_id),
 big AS (SELECT qb.question_id, grams.{key}, count(*) / any_value(nb.n)::DOUBLE AS share FROM qb JOIN grams USING (gram) JOIN nb USING (question_id) GROUP BY ALL),
 raws AS (SELECT q.question_id, p.{key}, coalesce(hits, 0) / nt::DOUBLE AS coverage,
     coalesce(bm.s, 0) + CASE WHEN contains({D.casefold("coalesce(p.text, '')")}, {D.casefold('q.body')}) THEN 1.5 ELSE 0 END + 0.9 * pow(coalesce(hits, 0) / nt::DOUBLE, 2)
-    + coalesce(least(0.8, 1.6 / greatest(2, gap)), 0) + 1.1 * coalesce(share, 0) AS raw
+    + CASE WHEN gap IS NULL THEN 0 ELSE least(0.8, 1.6 / greatest(2, gap)) END + 1.1 * coalesce(share, 0) AS raw
     FROM q CROSS JOIN p JOIN nq USING (question_id) LEFT JOIN bm ON bm.question_id = q.question_id AND bm.{key} = p.{key}
     LEFT JOIN gap ON gap.question_id = q.question_id AND gap.{key} = p.{key} LEFT JOIN big ON big.question_id = q.question_id AND big.{key} = p.{key}),
 scored AS (SELECT question_id, {key}, coverage, raw, round(least(1.0, raw / (CASE WHEN max(raw) OVER (PARTITION BY question_id) = 0 THEN 1.0 ELSE max(raw) OVER (PARTITION BY question_id) END)), 4)::DOUBLE AS score FROM raws)"""
