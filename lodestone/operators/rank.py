@@ -34,24 +34,33 @@ def min_gap(words: str | Column, terms: Sequence[str]) -> Column:
     return _gap(met(F.col(words) if isinstance(words, str) else words, terms))
 
 
-def _matches(name: str, question: str, row: Column) -> Column:
-    """A question's view of a row (text, found, title): counts of its distinct terms, and the bonuses that don't depend on other passages."""
-    sequence = meaningful_py(question)
-    terms, pairs = list(dict.fromkeys(sequence)), bigrams_py(sequence)
-    bonus = F.when(F.contains(casefold(row["text"]), casefold(F.lit(question))), F.lit(PHRASE)).otherwise(F.lit(0.0))
-    counts = F.array().cast("array<int>")
-    if terms:
-        own = F.filter(row["found"], lambda x: x["t"].isin(*terms))
-        counts = F.transform(F.lit(terms), lambda t: F.size(F.filter(own, lambda x: x["t"] == t)))
-        share = F.size(F.array_distinct(F.transform(own, lambda x: x["t"]))) / F.lit(len(terms))
-        bonus = bonus + F.lit(HEADING) * F.size(F.array_intersect(F.lit(terms), row["title"])) + F.lit(COVERAGE) * F.pow(share, 2)
-        # greatest() passes over nulls, so a missing gap is asked for first.
-        bonus = bonus + bind(_gap(own), lambda g: F.when(g.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(PROXIMITY), F.lit(1.6) / F.greatest(F.lit(2), g))))
-    if pairs:
+def _asked(questions: dict[str, str]) -> Column:
+    """The questions as one literal: array<struct<id, folded, terms, pairs>>, so that a plan doesn't grow with their number."""
+    rows = []
+    for name, q in questions.items():
+        sequence = meaningful_py(q)
+        strings = lambda xs: F.lit(xs) if xs else F.array().cast("array<string>")
+        rows.append(F.struct(F.lit(name).alias("id"), F.lit(q.lower().replace("ß", "ss")).alias("folded"), strings(list(dict.fromkeys(sequence))).alias("terms"), strings(bigrams_py(sequence)).alias("pairs")))
+    return F.array(*rows)
+
+
+def _matches(q: Column, row: Column) -> Column:
+    """A question's view of a row (n, found, title, folded): counts of its distinct terms, and the bonuses that don't depend on other passages."""
+
+    def view(own: Column) -> Column:
+        counts = F.transform(q["terms"], lambda t: F.size(F.filter(own, lambda x: x["t"] == t)))
         after = F.slice(row["found"], 2, F.greatest(F.size(row["found"]), F.lit(1)))
         near = F.zip_with(row["found"], after, lambda a, b: F.when(b["p"] == a["p"] + 1, F.concat(a["t"], F.lit(" "), b["t"])))
-        bonus = bonus + F.lit(BIGRAM) * F.size(F.array_intersect(F.lit(pairs), near)) / F.lit(len(pairs))
-    return F.struct(F.lit(name).alias("question_id"), counts.alias("tf"), bonus.alias("bonus"))
+        share = F.size(F.array_distinct(F.transform(own, lambda x: x["t"]))) / F.greatest(F.lit(1), F.size(q["terms"]))
+        # greatest() passes over nulls, so a missing gap is asked for first.
+        close = bind(_gap(own), lambda g: F.when(g.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(PROXIMITY), F.lit(1.6) / F.greatest(F.lit(2), g))))
+        bonus = (
+            F.when(F.contains(row["folded"], q["folded"]), F.lit(PHRASE)).otherwise(F.lit(0.0)) + F.lit(HEADING) * F.size(F.array_intersect(q["terms"], row["title"])) + F.lit(COVERAGE) * F.pow(share, 2)
+            + close + F.lit(BIGRAM) * F.size(F.array_intersect(q["pairs"], near)) / F.greatest(F.lit(1), F.size(q["pairs"]))
+        )
+        return F.struct(row["n"].alias("n"), q["id"].alias("question_id"), counts.alias("tf"), bonus.alias("bonus"))
+
+    return bind(F.filter(row["found"], lambda x: F.array_contains(q["terms"], x["t"])), view)
 
 
 def rank(passages: DataFrame, questions: dict[str, str], key: str, text: str = "text", heading: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -64,9 +73,9 @@ def rank(passages: DataFrame, questions: dict[str, str], key: str, text: str = "
     terms = sorted({t for q in questions.values() for t in meaningful_py(q)}) or [""]
     most = max([len(set(meaningful_py(q))) for q in questions.values()] + [1])
     # Each level is bound by a lambda, so that a passage is taken apart once, whatever number of questions read it.
-    parts = F.transform(F.array(meaningful(F.concat_ws(" ", title, body))), lambda w: F.struct(F.size(w).alias("n"), met(w, terms).alias("found"), meaningful(title).alias("title"), body.alias("text")))
-    views = F.flatten(F.transform(parts, lambda r: F.array(*(F.struct(r["n"].alias("n"), _matches(k, q, r).alias("q")) for k, q in questions.items()))))
-    rows = cut(passages.select(*by, key, F.explode(views).alias("v")).select(*by, key, "v.n", "v.q.*"))
+    parts = F.transform(F.array(meaningful(F.concat_ws(" ", title, body))), lambda w: F.struct(F.size(w).alias("n"), met(w, terms).alias("found"), (meaningful(title) if heading else F.array().cast("array<string>")).alias("title"), casefold(body).alias("folded")))
+    views = F.flatten(F.transform(parts, lambda r: F.transform(_asked(questions), lambda q: _matches(q, r))))
+    rows = cut(passages.select(*by, key, F.explode(views).alias("v")).select(*by, key, "v.*"))
     group = [*by, "question_id"]
     stats = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n"), F.array(*(F.sum((F.get("tf", F.lit(i)) > 0).cast("int")) for i in range(most))).alias("df"))
     # Without groups, stats has one row per question of the call.
