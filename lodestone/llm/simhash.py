@@ -214,7 +214,7 @@ def links(fps: DataFrame, probes: list[tuple[list[int], int]], distance: int = D
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): for each node of an edge the smallest node that edges connect it to.
+    """(node, component): for each node that edges connect to a smaller one, the smallest such node.
 
     Large-star and small-star steps in turn; every step is a minimum by node (combined before the shuffle) and a join
     back, which adaptive execution splits where one node has very many neighbours. Each round is checkpointed.

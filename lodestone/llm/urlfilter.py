@@ -2,7 +2,7 @@
 
 Labelled page outcomes count successes at hosts. Beta-binomial priors shrink a host's rate to its registered
 domain's, that to its suffix's, and that to the overall rate; each prior's strength is fitted by moments to how much
-rates differ at its level. A host is blocked when the lower bound of its posterior stays under the threshold.
+rates differ at its level. A host is blocked when even the upper bound of its posterior stays under the threshold.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from .common import ascii_lower, cut, lookup_join, table
 
 #: (verdict, rule): host and path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Standard deviations below the posterior mean, and the least rate of good pages.
+#: Standard deviations above the posterior mean, and the least rate of good pages that the bound must reach.
 DEVIATIONS, LEAST = 1.64, 0.5
 #: Bounds of a prior's strength, in pages, and the strength where rates don't differ or nothing is labelled.
 WEAKEST, STRONGEST = 1.0, 1000.0
@@ -60,10 +60,10 @@ def _strength(children: DataFrame, mean: Column) -> float:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame, host: str = "host", page_id: str = "page_id") -> DataFrame:
-    """(host, pages, n, g, mean, bound): every host of pages with its labelled pages, good ones, posterior mean and lower bound.
+    """(host, pages, n, g, mean, bound): every host of pages with its labelled pages, good ones, posterior mean and upper bound.
 
     outcomes: (page_id, good boolean), one row per labelled page; null ids or outcomes don't count. Without any
-    labelled page the rate is one half at every level.
+    labelled page the rate is one half at every level and nothing is blocked but by rules.
     """
     labelled = outcomes.filter(F.col("good").isNotNull() & F.col(page_id).isNotNull()).select(F.col(page_id).alias("_page"), F.col("good").cast("int").alias("_good"))
     hosts = pages.select(F.col(host).alias("host"), F.col(page_id).alias("_page")).join(labelled, "_page", "left").groupBy("host")
@@ -85,7 +85,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, host: str = "host", page_i
     s = F.lit(_strength(hosts, F.col("raw")))
     a, b = s * F.col("up") + F.col("g"), s * (1 - F.col("up")) + F.col("n") - F.col("g")
     mean, var = a / (a + b), a * b / ((a + b) * (a + b) * (a + b + 1))
-    return hosts.select("host", "pages", "n", "g", mean.alias("mean"), (mean - F.lit(DEVIATIONS) * F.sqrt(var)).alias("bound"))
+    return hosts.select("host", "pages", "n", "g", mean.alias("mean"), (mean + F.lit(DEVIATIONS) * F.sqrt(var)).alias("bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -137,7 +137,7 @@ d0 AS (SELECT d.*, xs.raw AS par, xs.up AS pup FROM d JOIN xs USING (suffix)),
 ds AS (SELECT d0.domain, CASE WHEN n > 0 THEN g / n::DOUBLE ELSE par END AS raw, (s * pup + g) / (s + n) AS up FROM d0, {_strength_sql("d0", "par")} AS t),
 h0 AS (SELECT h.*, ds.raw AS par, ds.up AS pup FROM h JOIN ds USING (domain)),
 ab AS (SELECT host, s * pup + g AS a, s * (1 - pup) + n - g AS b FROM h0, {_strength_sql("h0", "par")} AS t),
-hs AS (SELECT host, a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab),
+hs AS (SELECT host, a / (a + b) + 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab),
 rules(verdict, rule, name, rest) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
 m AS (SELECT page_id, arg_max(verdict, length(rule)) AS verdict, arg_max(rule, length(rule)) AS rule FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, rest) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, CASE WHEN hs.bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict

@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import string
+
+import public_tokenizers
+
+from lodestone.llm import secrets as S
+
+ENCODE = S.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+
+
+def brute(text):
+    """The contract's patterns, run as they are written."""
+    keys = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    found = [(m.start(), m.end(), "assign") for m in re.finditer(keys + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    found += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return found + [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+
+
+def test_base_spans_are_the_patterns():
+    rng = random.Random(1)
+    bits = ["password", "PassWd", "api_key", "APIKEY", "ſecret", "toKen", "token", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef" * 2, "abcdefgh", "x", "-", ".", "é", "😀", "\n", "AKIAAKIA"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 14)))
+        assert sorted(S.base_spans(text)) == sorted(brute(text)), text
+
+
+def test_random_strings_and_what_is_left_out():
+    rng = random.Random(2)
+    hits = 0
+    for _ in range(300):
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=32))
+        hits += bool(S.random_spans(f"here {key} there", [], ENCODE))
+    assert hits >= 297
+    for clean in ("internationalization of documentation", "2024-01-02-2024-01-03-2024", "550e8400-e29b-41d4-a716-446655440000", hashlib.sha256(b"x").hexdigest(), hashlib.md5(b"x").hexdigest().upper(), "some_function_name_with_parts_2", "path/to/some/directory/file2", "=" * 40, "THERHAOUTHERHAOUTHERHAOU"):
+        assert not S.random_spans(clean, [], ENCODE), clean
+    assert not S.random_spans("k" * 40, [(0, 40, "hex")], ENCODE)
+
+
+def test_rows(spark, documents, awkward):
+    rows = S.scan(documents([*awkward, (9, "token=abcdefgh1 AKIAABCDEFGH1234")])).collect()
+    assert len(rows) == len(awkward) + 1
+    got = next(r for r in rows if r.doc_id == 9)
+    assert [(f.kind, f.start, f.end, f.text) for f in got.found] == [("assign", 0, 15, "token=abcdefgh1"), ("access", 16, 32, "AKIAABCDEFGH1234")]
+    assert all(not r.found for r in rows if r.doc_id in (1, 2, 3))
+    assert S.scan(documents(awkward).limit(0)).count() == 0
+
+
+def test_digest_columns(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in S.op1_secret_scan(spark, sf_dir).collect():
+        base = sorted(brute(texts[r.doc_id]), key=lambda x: (x[0], S.KINDS.index(x[2])))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, _, k in base) for x in ("assign", "access", "hex"))
+        assert {f"{k}:{s}:{e}" for s, e, k in base} <= set(r.spans.split(","))
