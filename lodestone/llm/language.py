@@ -152,8 +152,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_languages(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents with a language of at least `least` of the text; those without letters go. Columns stay as they were."""
-    return identify(docs, fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    """Documents with a language of at least `least` of the text; those without letters go. Columns stay as they were, whatever their names."""
+    rest = [c for c in docs.columns if c != "text"]
+    boxed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
+    kept = identify(boxed, fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_language_id(spark, sf_dir):

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup_join, map_batches, table, text_or_empty
+from .common import cut, lookup_join, map_batches, table, text_or_empty, unused
 
 WINDOW = 3
 
@@ -63,9 +63,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     """
     kept = docs.drop("n_lines", "n_removed")
     names, at = kept.columns, kept.columns.index(text)
-    found = covers(windows(docs, doc_id, text, window), window).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("starts").alias("_starts"))
-    same = kept[doc_id].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(kept[text])) == F.col("_body"))
-    joined = kept.join(found, same, "left").drop("_id", "_body")
+    name, body, starts = unused(kept, "_id", "_body", "_starts")
+    found = covers(windows(docs, doc_id, text, window), window).select(F.col("doc_id").alias(name), F.col("body").alias(body), F.col("starts").alias(starts))
+    same = kept[doc_id].cast("long").eqNullSafe(found[name]) & (F.xxhash64(text_or_empty(kept[text])) == found[body])
+    joined = kept.join(found, same, "left").drop(name, body)
     schema = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in kept.dtypes)
 
     def run(batches):

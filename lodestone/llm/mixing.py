@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, lookup_join, table
+from .common import WORD, cut, lookup_join, table, unused
 
 WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, "mix-1"
 #: Documents to a bucket of keys, about; a task sorts one bucket.
@@ -85,14 +85,15 @@ def take(docs: DataFrame, taken: DataFrame, doc_id: str = "doc_id", text: str =
     Repeated rows, which mix() draws one by one, share a text, so what they take in all is given from one of them. Documents without words are not in a mix.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    key, all_words, own_words, one, copy = unused(docs, "_ident", "_taken", "_size", "_one", "_words")
     ident = lambda d, s, b: F.struct(d.isNull().alias("a"), F.coalesce(d.cast("long"), F.lit(0)).alias("b"), s.isNull().alias("c"), F.coalesce(s, F.lit("")).alias("d"), b.alias("e"))
-    sums = taken.groupBy(ident(F.col("doc_id"), F.col("source"), F.col("body")).alias("_ident")).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).filter("_taken > 0")
-    rows = docs.withColumn("_ident", ident(F.col(doc_id), F.col(source).cast("string"), F.xxhash64(body)))
-    rows = rows.withColumn("_one", F.row_number().over(Window.partitionBy("_ident").orderBy("_ident"))).filter("_one = 1").join(sums, "_ident")
-    whole, over = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    rows = rows.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(over > 0, F.array(over)).otherwise(F.array().cast("array<int>")))))
+    sums = taken.groupBy(ident(F.col("doc_id"), F.col("source"), F.col("body")).alias(key)).agg(F.sum("taken").alias(all_words), F.max("size").alias(own_words)).filter(F.col(all_words) > 0)
+    rows = docs.withColumn(key, ident(F.col(doc_id), F.col(source).cast("string"), F.xxhash64(body)))
+    rows = rows.withColumn(one, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(one) == 1).join(sums, key)
+    whole, over = F.floor(F.col(all_words) / F.col(own_words)).cast("int"), (F.col(all_words) % F.col(own_words)).cast("int")
+    rows = rows.withColumn(copy, F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(over > 0, F.array(over)).otherwise(F.array().cast("array<int>")))))
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return rows.withColumn(text, F.when(F.col("_words") < 0, F.col(text)).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col("_words"), F.lit(0))), " "))).select(*docs.columns)
+    return rows.withColumn(text, F.when(F.col(copy) < 0, F.col(text)).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col(copy), F.lit(0))), " "))).select(*docs.columns)
 
 
 def op5_mixing(spark, sf_dir):

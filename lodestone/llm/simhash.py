@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup_join, map_batches, table
+from .common import cut, lookup_join, map_batches, table, unused
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 #: Most members of a bucket that one task compares with one another; larger buckets are split by further bits.
@@ -264,9 +264,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 61) + F.shiftrightunsigned(body, 4))
     found = near_duplicates(docs.select(ident.alias("doc_id"), F.col(text).alias("text")))
-    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_id", ident).join(firsts, "_id", "left_semi")
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(body))).filter("_k = 1").select(*docs.columns)
+    name, k = unused(docs, "_id", "_k")
+    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    rows = docs.withColumn(name, ident).join(firsts, name, "left_semi")
+    return rows.withColumn(k, F.row_number().over(Window.partitionBy(name).orderBy(body))).filter(F.col(k) == 1).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark, sf_dir):

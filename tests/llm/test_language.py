@@ -57,4 +57,5 @@ def test_awkward_rows(spark, documents, awkward):
     assert all((r.lang_pred == "und") == (r.doc_id in (1, 2, 3, 8) or r.text is None) for r in rows)
     assert L.identify(docs, L.Model({})).filter("lang_pred <> 'und'").count() == 0
     assert L.fit(docs.limit(0)).languages == [] and L.filter_languages(docs.limit(0)).columns == docs.columns
-    assert L.filter_languages(docs).columns == docs.columns
+    kept = L.filter_languages(docs)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {1}

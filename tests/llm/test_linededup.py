@@ -48,7 +48,7 @@ def test_hot_windows_are_salted(spark, documents, monkeypatch):
 
 
 def test_awkward_rows(spark, documents, awkward):
-    docs = documents(awkward).selectExpr("*", "1 AS pos", "2 AS n_lines", "3 AS starts", "4 AS high", "5 AS body")
+    docs = documents(awkward).selectExpr("*", "1 AS pos", "2 AS n_lines", "3 AS starts", "4 AS high", "5 AS body", "6 AS _id", "7 AS _body", "8 AS _STARTS")
     rows = L.dedup_lines(docs).collect()
     assert len(rows) == len(awkward) and set(rows[0].asDict()) == {*docs.columns, "n_removed"}
     texts = [r.text for r in rows if r.doc_id == 5]

@@ -81,7 +81,7 @@ def test_the_mix_itself(spark, documents):
 
 
 def test_awkward_rows(spark, documents, awkward):
-    docs = documents(awkward).selectExpr("*", "1 AS size", "2 AS key", "3 AS bucket", "4 AS target", "5 AS _one")
+    docs = documents(awkward).selectExpr("*", "1 AS size", "2 AS key", "3 AS bucket", "4 AS target", "5 AS _one", "6 AS _ident", "7 AS _words", "8 AS `_group`")
     taken = M.cut(M.mix(docs))
     rows = taken.collect()
     assert len(rows) == len(awkward) and all(r.taken <= 2 * r.size for r in rows)

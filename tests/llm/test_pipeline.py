@@ -54,7 +54,7 @@ def test_run(spark, sf_dir):
 
 
 def test_awkward_rows(spark, documents, awkward, sf_dir):
-    docs = documents(awkward)
+    docs = documents(awkward).selectExpr("*", "1 AS score", "2 AS n_lines", "3 AS _id", "4 AS size")
     for empty in (False, True):
         now = docs.limit(0) if empty else docs
         for _, stage in C.STAGES:

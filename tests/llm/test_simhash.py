@@ -100,7 +100,7 @@ def test_components(spark):
 
 
 def test_awkward_rows(spark, documents, awkward):
-    docs = documents(awkward).selectExpr("*", "1 AS fp", "2 AS node", "3 AS component_id")
+    docs = documents(awkward).selectExpr("*", "1 AS fp", "2 AS node", "3 AS component_id", "4 AS _id", "5 AS _K")
     rows = S.near_duplicates(docs).collect()
     assert len(rows) == len(awkward)
     group = {r.doc_id: r.component_id for r in rows}
