@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import rank as R
 from lodestone.registry import register
-from lodestone.sources.tables import table
+from lodestone.sources.tables import table, texts
 
 from . import duck as D
 
@@ -25,7 +25,7 @@ TOP = 10
 
 
 def bm25_topk(spark, sf_dir):
-    return R.top(R.rank(table(spark, sf_dir, "documents"), QUESTIONS, "doc_id"), TOP, "doc_id").select("question_id", "rank", "doc_id", "score")
+    return R.top(R.rank(texts(spark, sf_dir, "documents", "doc_id", "text"), QUESTIONS, "doc_id"), TOP, "doc_id").select("question_id", "rank", "doc_id", "score")
 
 
 def _rank_sql(passages: str, key: str, questions: dict[str, str]) -> str:
@@ -65,7 +65,7 @@ SELECT question_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *,
 
 
 def facet_rank(spark, sf_dir):
-    return R.rank_facets(table(spark, sf_dir, "documents"), QUESTIONS, "doc_id")
+    return R.rank_facets(texts(spark, sf_dir, "documents", "doc_id", "text"), QUESTIONS, "doc_id")
 
 
 register("facet_rank", ("R2", "J1"), facet_rank, f"""
@@ -75,7 +75,7 @@ SELECT doc_id, round(least(1.0, s / (CASE WHEN max(s) OVER () = 0 THEN 1.0 ELSE
 
 
 def tokenize_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"), T.meaningful(F.coalesce("text", F.lit(""))).alias("m"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"), T.meaningful(F.coalesce("text", F.lit(""))).alias("m"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.size("m").alias("n_meaningful"), F.size(F.array_distinct("m")).alias("n_terms"), F.size(T.bigrams("m")).alias("n_bigrams"), F.md5(F.array_join("m", " ").cast("binary")).alias("digest"))
 
 
@@ -112,7 +112,7 @@ SELECT conv_id, turn, CAST(len(list_intersect(ask, b)) AS INTEGER) AS shared, ro
 
 def proximity_min_gap(spark, sf_dir):
     terms = list(dict.fromkeys(T.meaningful_py(QUESTIONS["q5"])))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.meaningful(F.coalesce("text", F.lit(""))).alias("w"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.meaningful(F.coalesce("text", F.lit(""))).alias("w"))
     return d.select("doc_id", R.min_gap("w", terms).alias("gap"))
 
 

@@ -12,7 +12,7 @@ from lodestone.operators import response as Q
 from lodestone.registry import register
 from lodestone.sources import pages as G
 from lodestone.sources import tables as B
-from lodestone.sources.tables import table
+from lodestone.sources.tables import table, texts
 from lodestone.streaming import state as Z
 
 from . import duck as D
@@ -186,7 +186,7 @@ register("cache_keys", ("T13", "Z4"), cache_keys, f"SELECT page_id, sha256('{{\"
 
 
 def page_text(spark, sf_dir):
-    return G.extract_text(table(spark, sf_dir, "pages"), "page_id")
+    return G.extract_text(texts(spark, sf_dir, "pages", "page_id", "html"), "page_id")
 
 
 register("page_text", ("H1", "H2", "H4", "F7", "S6"), page_text)
@@ -217,7 +217,7 @@ register("page_metadata", ("H3", "Z9"), page_metadata, """SELECT page_id, trim(r
 
 
 def chunk_passages(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", "\n", "\n\n")).otherwise(F.col("text")).alias("text"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", "\n", "\n\n")).otherwise(F.col("text")).alias("text"))
     c = G.chunk(d, "doc_id")
     return c.select("doc_id", "pos", "heading", "start_offset", "end_offset", F.sha2("text", 256).alias("digest"))
 
@@ -227,7 +227,7 @@ register("chunk_passages", ("T6",), chunk_passages)
 
 def chunk_invariants(spark, sf_dir):
     """How many texts give passages that are exact slices, in order, without overlap, covering every word."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("whole"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("whole"))
     c = G.chunk(d, "doc_id", "whole").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_offset", "end_offset", "text"))).alias("c"))
     j = d.join(c, "doc_id", "left")
     exact = F.forall("c", lambda x: F.substring("whole", x["start_offset"] + 1, x["end_offset"] - x["start_offset"]) == x["text"])
@@ -252,7 +252,7 @@ register("robots_filter", ("S9",), robots_filter, r"""SELECT page_id, CASE WHEN
 
 
 def clip_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", X.clip("text", 300).alias("clipped"), X.normalize_text("text").alias("normal"))
 
 
@@ -264,7 +264,7 @@ register("clip_text", ("T9", "T8", "T7"), clip_text, rf"""SELECT doc_id, CASE WH
 
 
 def relevant_extracts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text")
     return Q.extracts(d, "text", F.lit(PLAIN["p2"] + " thanedble attion"), 320).select("doc_id", "extract")
 
 
@@ -300,7 +300,7 @@ register("response_sizes", ("A12", "Z24"), response_sizes)
 
 
 def read_responses(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text")
 
     def run(batches):
         for pdf in batches:

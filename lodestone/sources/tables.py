@@ -12,6 +12,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table of few files is dealt out before costly text work, a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, folder: str, name: str = "documents", *columns: str) -> DataFrame:
+    """A table for work on whole texts: only the columns that are named, spread over the cores."""
+    df = table(spark, folder, name)
+    return spread(df.select(*columns) if columns else df)
+
+
 def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str], version: Sequence[Column]) -> DataFrame:
     """The latest row of each key over both tables; of equal versions the new row holds."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
