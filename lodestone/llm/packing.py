@@ -25,7 +25,7 @@ LENGTH, END = 4096, 2
 #: Tokens packed at once; a shard's ids are all that a task holds.
 SHARD = 2_000_000
 #: Chunks of text whose ids a worker remembers. Only speed depends on it.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: Letters that normalisation only lower-cases (one piece) and the signs that may follow them (another); no apostrophes.
 PIECES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
