@@ -174,3 +174,18 @@ def unsafe_reason(c: str | Column) -> Column:
         )
 
     return bind(F.struct(scheme(c).alias("scheme"), authority(c).alias("authority"), host(c).alias("host"), port(c).alias("port")), judge)
+
+
+def local_endpoint(c: str | Column) -> Column:
+    """The host stays within the machine or its private network: a local or dotless name, or a special-purpose address."""
+
+    def judge(h: Column) -> Column:
+        name = h.isin("localhost", "host.docker.internal") | h.rlike("^[a-z0-9-]*[a-z-][a-z0-9-]*$")
+        return (h != "") & (name | special(address(h)) | special_v6(h))
+
+    return bind(host(c), judge)
+
+
+def separated(search_proxy: Column, fetch_proxy: Column, direct_egress: Column, mode: Column) -> Column:
+    """Searching and fetching go through two proxies and nothing leaves directly; development always passes."""
+    return (mode == "development") | ((search_proxy != "") & (fetch_proxy != "") & (search_proxy != fetch_proxy) & ~direct_egress)

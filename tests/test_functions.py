@@ -96,3 +96,21 @@ def test_anchors_and_official_sources(spark):
     assert urls("On what date was Python 3.12.0 released?") == ["https://www.python.org/downloads/release/python-3120/"]
     assert urls("Compare RFC 9110 with PEP 8") == ["https://www.rfc-editor.org/rfc/rfc9110.html", "https://peps.python.org/pep-0008/"]
     assert one(spark, "https://evilgithub.com/owner/repository", U.source_type("v")).c0 == "web_page"
+
+
+def test_local_endpoints(spark):
+    local = {"http://localhost:80": True, "http://ollama:11434/x": True, "http://127.0.0.1/": True, "http://10.0.0.8": True, "http://example.com/": False, "http://8.8.8.8/": False, "http://[::1]:8/": True}
+    rows = spark.createDataFrame([(u,) for u in local], "v string").select("v", U.local_endpoint("v").alias("l")).collect()
+    assert {r.v: r.l for r in rows} == local
+    ok = lambda *x: spark.createDataFrame([x], "a string, b string, d boolean, m string").select(U.separated(F.col("a"), F.col("b"), F.col("d"), F.col("m")).alias("x")).first().x
+    assert ok("p", "q", False, "strict") and not ok("p", "p", False, "strict") and not ok("p", "q", True, "strict") and ok("", "", True, "development")
+
+
+def test_sinks(spark, tmp_path):
+    from lodestone.sources import sinks
+
+    rows = spark.createDataFrame([("b", 0.5), ("a", None)], "mode string, recall double")
+    assert [r.line for r in sinks.markdown(rows, ["mode", "recall"], ["mode"]).collect()] == ["| mode | recall |", "|---|---|", "| a | — |", "| b | 0.5 |"]
+    assert sinks.write_runs(rows, str(tmp_path / "runs")) and spark.read.json(str(tmp_path / "runs")).count() == 2
+    assert not sinks.write_runs(rows, str(tmp_path / "none"), keep=False) and not (tmp_path / "none").exists()
+    assert sinks.review_form(rows, "mode", ["score"]).columns == ["mode", "recall", "score"]
