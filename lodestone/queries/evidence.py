@@ -14,6 +14,7 @@ from lodestone.registry import register
 from lodestone.sources.tables import table
 
 from . import duck as D
+from .ranking import rank_sql
 from .results import RESULTS, page_results
 
 #: Questions without identifiers or authorities, so that SQL needs no rules for these.
@@ -226,7 +227,9 @@ def passages_of_pages(spark, sf_dir):
     return R.top(R.rank(t, PLAIN, "turn", by=["conv_id"]), 8, "turn", by=("conv_id", "question_id")).select("conv_id", "question_id", "rank", "turn", "score")
 
 
-register("grouped_rank", ("R1", "W4"), passages_of_pages)
+register("grouped_rank", ("R1", "W4"), passages_of_pages, f"""
+WITH {rank_sql("SELECT conv_id * 1000 + turn AS k, conv_id AS grp, text FROM conversations", "k", PLAIN)}
+SELECT grp AS conv_id, question_id, CAST(rank AS INTEGER) AS rank, k - grp * 1000 AS turn, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id, grp ORDER BY score DESC, k) AS rank FROM scored) WHERE rank <= 8""")
 
 
 def retrieval_attempts(spark, sf_dir):

@@ -28,22 +28,22 @@ def bm25_topk(spark, sf_dir):
     return R.top(R.rank(texts(spark, sf_dir, "documents", "doc_id", "text"), QUESTIONS, "doc_id"), TOP, "doc_id").select("question_id", "rank", "doc_id", "score")
 
 
-def _rank_sql(passages: str, key: str, questions: dict[str, str]) -> str:
-    """SQL with scored(question_id, key, raw, coverage, score) over passages(key, text); terms and positions as rows."""
+def rank_sql(passages: str, key: str, questions: dict[str, str]) -> str:
+    """SQL with scored(question_id, grp, key, raw, coverage, score) over passages(key, grp, text), each grp a corpus; terms and positions as rows."""
     return f"""
 q AS (SELECT * FROM {D.values(list(questions.items()), 'v(question_id, body)')}),
 qw AS (SELECT question_id, body, {D.meaningful('body')} AS w FROM q),
 qt AS (SELECT question_id, unnest(list_distinct(w)) AS term FROM qw),
 qb AS (SELECT question_id, unnest({D.bigrams('w')}) AS gram FROM qw),
 p AS ({passages}),
-pw AS (SELECT {key}, {D.meaningful("coalesce(text, '')")} AS w FROM p),
-pn AS (SELECT {key}, len(w) AS n FROM pw),
+pw AS (SELECT {key}, grp, {D.meaningful("coalesce(text, '')")} AS w FROM p),
+pn AS (SELECT {key}, grp, len(w) AS n FROM pw),
 tok AS (SELECT {key}, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM pw),
-st AS (SELECT count(*) AS docs, avg(n) AS avg_n FROM pn),
+st AS (SELECT grp, count(*) AS docs, avg(n) AS avg_n FROM pn GROUP BY grp),
 tf AS (SELECT {key}, term, count(*) AS tf FROM tok GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+df AS (SELECT grp, term, count(*) AS df FROM tf JOIN pn USING ({key}) GROUP BY ALL),
 bm AS (SELECT qt.question_id, tf.{key}, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / greatest(1.0, avg_n)))) AS s, count(*) AS hits
-    FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN pn ON pn.{key} = tf.{key}, st GROUP BY ALL),
+    FROM qt JOIN tf USING (term) JOIN pn ON pn.{key} = tf.{key} JOIN df ON df.term = tf.term AND df.grp = pn.grp JOIN st ON st.grp = pn.grp GROUP BY ALL),
 nq AS (SELECT question_id, count(*) AS nt FROM qt GROUP BY question_id),
 gap AS (SELECT question_id, {key}, min(CASE WHEN term <> before THEN pos - was END) AS gap FROM (SELECT qt.question_id, tok.{key}, tok.term, tok.pos,
     lag(tok.term) OVER (PARTITION BY qt.question_id, tok.{key} ORDER BY tok.pos) AS before, lag(tok.pos) OVER (PARTITION BY qt.question_id, tok.{key} ORDER BY tok.pos) AS was
@@ -51,16 +51,16 @@ gap AS (SELECT question_id, {key}, min(CASE WHEN term <> before THEN pos - was E
 grams AS (SELECT {key}, unnest({D.bigrams('w')}) AS gram FROM pw),
 nb AS (SELECT question_id, count(*) AS n FROM qb GROUP BY question_id),
 big AS (SELECT qb.question_id, grams.{key}, count(*) / any_value(nb.n)::DOUBLE AS share FROM qb JOIN grams USING (gram) JOIN nb USING (question_id) GROUP BY ALL),
-raws AS (SELECT q.question_id, p.{key}, coalesce(hits, 0) / nt::DOUBLE AS coverage,
+raws AS (SELECT q.question_id, p.grp, p.{key}, coalesce(hits, 0) / nt::DOUBLE AS coverage,
     coalesce(bm.s, 0) + CASE WHEN contains({D.casefold("coalesce(p.text, '')")}, {D.casefold('q.body')}) THEN 1.5 ELSE 0 END + 0.9 * pow(coalesce(hits, 0) / nt::DOUBLE, 2)
     + CASE WHEN gap IS NULL THEN 0 ELSE least(0.8, 1.6 / greatest(2, gap)) END + 1.1 * coalesce(share, 0) AS raw
     FROM q CROSS JOIN p JOIN nq USING (question_id) LEFT JOIN bm ON bm.question_id = q.question_id AND bm.{key} = p.{key}
     LEFT JOIN gap ON gap.question_id = q.question_id AND gap.{key} = p.{key} LEFT JOIN big ON big.question_id = q.question_id AND big.{key} = p.{key}),
-scored AS (SELECT question_id, {key}, coverage, raw, round(least(1.0, raw / (CASE WHEN max(raw) OVER (PARTITION BY question_id) = 0 THEN 1.0 ELSE max(raw) OVER (PARTITION BY question_id) END)), 4)::DOUBLE AS score FROM raws)"""
+scored AS (SELECT question_id, grp, {key}, coverage, raw, round(least(1.0, raw / (CASE WHEN max(raw) OVER (PARTITION BY question_id, grp) = 0 THEN 1.0 ELSE max(raw) OVER (PARTITION BY question_id, grp) END)), 4)::DOUBLE AS score FROM raws)"""
 
 
 register("bm25_topk", ("T1", "T2", "T3", "T4", "T5", "R1", "R3", "W1", "W4", "A1"), bm25_topk, f"""
-WITH {_rank_sql("SELECT doc_id, text FROM documents", "doc_id", QUESTIONS)}
+WITH {rank_sql("SELECT doc_id, 0 AS grp, text FROM documents", "doc_id", QUESTIONS)}
 SELECT question_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {TOP}""")
 
 
@@ -69,7 +69,7 @@ def facet_rank(spark, sf_dir):
 
 
 register("facet_rank", ("R2", "J1"), facet_rank, f"""
-WITH {_rank_sql("SELECT doc_id, text FROM documents", "doc_id", QUESTIONS)},
+WITH {rank_sql("SELECT doc_id, 0 AS grp, text FROM documents", "doc_id", QUESTIONS)},
 f AS (SELECT doc_id, max(score * coverage) AS s FROM scored GROUP BY doc_id)
 SELECT doc_id, round(least(1.0, s / (CASE WHEN max(s) OVER () = 0 THEN 1.0 ELSE max(s) OVER () END)), 4)::DOUBLE AS score FROM f""")
 
