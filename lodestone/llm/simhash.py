@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lookup_join, map_batches, table, unused
@@ -255,19 +255,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return lookup_join(marked, named, "fp", "n", ["doc_id"], total).select("doc_id", "fp", "component_id")
 
 
+def identity(doc_id: str, text: str) -> tuple[Column, Column]:
+    """The id of a row, of its text and larger than any that is given where it has none, and the hash of its text."""
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 61) + F.shiftrightunsigned(body, 4)), body
+
+
+def rows_of(docs: DataFrame, firsts: DataFrame, ident: Column, body: Column) -> DataFrame:
+    """One row of docs for each id of firsts: that with the smallest text hash."""
+    name, k = unused(docs, "_id", "_k")
+    rows = docs.withColumn(name, ident).join(firsts.select(F.col(firsts.columns[0]).alias(name)), name, "left_semi")
+    return rows.withColumn(k, F.row_number().over(Window.partitionBy(name).orderBy(body))).filter(F.col(k) == 1).select(*docs.columns)
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the row with its smallest id.
 
     Where that id has several rows, the one with the smallest text hash stays; rows equal in that too are one document.
     A row without an id gets one from its text, larger than any that is given.
     """
-    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 61) + F.shiftrightunsigned(body, 4))
+    ident, body = identity(doc_id, text)
     found = near_duplicates(docs.select(ident.alias("doc_id"), F.col(text).alias("text")))
-    name, k = unused(docs, "_id", "_k")
-    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    rows = docs.withColumn(name, ident).join(firsts, name, "left_semi")
-    return rows.withColumn(k, F.row_number().over(Window.partitionBy(name).orderBy(body))).filter(F.col(k) == 1).select(*docs.columns)
+    return rows_of(docs, found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), ident, body)
 
 
 def op7_simhash_near_dedup(spark, sf_dir):
