@@ -151,18 +151,18 @@ def top_k(rows: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", embeddi
     n_shards = 0 if used is None else used + 1
     firsts = [r.shard for r in shards.groupBy("dim").agg(F.min("shard").alias("shard")).collect()] if n_shards else []
 
-    def blocks(q: DataFrame) -> DataFrame:
-        dealt = q.coalesce(n_blocks)
-        return cut(packed(dealt, 1 << 30, "least").withColumn("qb", F.spark_partition_id()))
+    def blocks(q: DataFrame) -> tuple[DataFrame, int]:
+        """The query blocks and their number; each call's partitions are its own, so a number holds for its table alone."""
+        out = cut(packed(q.coalesce(n_blocks), 1 << 30, "least").withColumn("qb", F.spark_partition_id()))
+        return out, (out.agg(F.max("qb")).first()[0] or 0) + 1
 
     # The longest vectors of a dimension give each query a first threshold; the other shards have to beat it.
     blind = blocks(asked.withColumn("least", F.lit(-1.7e308)))
-    n_qb = (blind.agg(F.max("qb")).first()[0] or 0) + 1
-    first = cut(_pairs(shards.filter(F.col("shard").isin(firsts)), blind, n_shards, n_qb, k))
+    first = cut(_pairs(shards.filter(F.col("shard").isin(firsts)), blind[0], n_shards, blind[1], k))
     if n_shards > len(set(firsts)):
         bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), (F.col("low") - 0.5).alias("least"))
         seen = blocks(asked.join(bound, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(-1.7e308))))
-        first = first.unionByName(_pairs(shards.filter(~F.col("shard").isin(firsts)), seen, n_shards, n_qb, k))
+        first = first.unionByName(_pairs(shards.filter(~F.col("shard").isin(firsts)), seen[0], n_shards, seen[1], k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -66,3 +66,21 @@ def test_pruning_keeps_what_verification_would():
             scores = q[j] @ v.T
             want = sorted(((-int(s), i) for i, s in enumerate(scores) if i != qid[j] and s >= least))[:5]
             assert [(-s, i) for s, i in row] == want
+
+
+def test_passes_with_different_numbers_of_blocks(spark, monkeypatch):
+    """The second pass's table has more partitions than the first's, as adaptive plans may deal it; its last blocks must meet all shards."""
+    for name, n in (("BUCKET", 8), ("SHARD", 2), ("QUERIES", 5)):
+        monkeypatch.setattr(K, name, n)
+    packed, seen = K.packed, []
+
+    def dealt(rows, size, extra=None):
+        if extra:
+            seen.append(1)
+            rows = rows.repartition(1 if len(seen) == 1 else 6)
+        return packed(rows, size, extra)
+
+    monkeypatch.setattr(K, "packed", dealt)
+    rng = random.Random(14)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1) * (1 + i % 7))) for _ in range(6)]) for i in range(150)]
+    assert run(spark, rows) == brute(rows, 5, 5) and len(seen) == 2
