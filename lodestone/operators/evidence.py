@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bind, coverage, meaningful, meaningful_py, tokens_py
+from lodestone.plans.lineage import cut
 
 TITLE_RATIO, SNIPPET_RATIO = 0.93, 0.94
 ADMIT, FLOOR, PER_SOURCE = 0.18, 0.50, 2
@@ -61,8 +63,12 @@ def near_results(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 # ---- selection ----
 
 
-def select_diverse(pdf: pd.DataFrame, limit: int, facets: Sequence[str], question: str | None) -> pd.DataFrame:
-    """One question's admitted passages, best and most different first; adds `position` from 1."""
+def select_diverse(pdf: pd.DataFrame, limit: int, facets: Sequence[str], question: str | None, rest: dict | None = None) -> pd.DataFrame | None:
+    """One question's admitted passages, best and most different first; adds `position` from 1.
+
+    rest: by source, the best base score of rows that are not in pdf and that no reservation would take. None if one of them might be selected.
+    """
+    rest = rest or {}
     rows = pdf.sort_values("pos", kind="stable").to_dict("records")
     for r in rows:
         r["base"] = 0.45 * r["passage_score"] + 0.30 * r["source_score"] + 0.25 * r["quality"]
@@ -88,31 +94,81 @@ def select_diverse(pdf: pd.DataFrame, limit: int, facets: Sequence[str], questio
         if len(taken) < limit:
             reserve(facet, lambda r: count.get(r["source_id"], 0) < PER_SOURCE)
     if left:
-        best = max(r["base"] for r in left)
+        best = max([r["base"] for r in left] + list(rest.values()))
         left[:] = [r for r in left if r["base"] >= best * FLOOR]
+        rest = {s: b for s, b in rest.items() if b >= best * FLOOR}
     while len(taken) < limit:
         open_to = [r for r in left if count.get(r["source_id"], 0) < PER_SOURCE]
+        # What a row outside could gain at most: without any likeness to what is taken.
+        outside = max((b + (NEW_SOURCE if s not in count else 0.0) - REPEATED * count.get(s, 0) for s, b in rest.items() if count.get(s, 0) < PER_SOURCE), default=None)
         if not open_to:
+            if outside is not None:
+                return None
             break
 
         def gain(r: dict) -> float:
             near = max((len(r["words"] & t["words"]) / max(1, len(r["words"] | t["words"])) for t in taken), default=0.0)
             return r["base"] + (NEW_SOURCE if r["source_id"] not in count else 0.0) - SIMILAR * near - REPEATED * count.get(r["source_id"], 0)
 
-        take(max(open_to, key=gain))
+        chosen = max(open_to, key=gain)
+        if outside is not None and gain(chosen) <= outside + 1e-9:
+            return None
+        take(chosen)
     out = pd.DataFrame(taken, columns=[*pdf.columns, "base", "words", "terms"])[list(pdf.columns)]
     return out.assign(position=range(1, len(out) + 1))
 
 
-def diverse(rows: DataFrame, by: Sequence[str], limit: int, facets: Sequence[str] = (), question: str | None = None, candidates: int = 400) -> DataFrame:
+def diverse(rows: DataFrame, by: Sequence[str], limit: int, facets: Sequence[str] = (), question: str | None = None, candidates: int = 50) -> DataFrame:
     """Evidence of each question. rows: by, pos, source_id, text, passage_score, source_score, quality, authority.
 
-    A group is one question's passages of admitted sources; a question's budget bounds them (25 pages of 8 passages), `candidates` of the best base score at most.
+    Groups can have any size. What Python folds is every row that a reservation can take, and the `candidates` best of each source, eight times as many
+    at most; of the others it gets each source's best base score. A group whose choice these scores leave open is folded again with four times as many.
     """
-    base = 0.45 * F.col("passage_score") + 0.30 * F.col("source_score") + 0.25 * F.col("quality")
-    admitted = rows.filter(F.col("source_score") >= ADMIT).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(base.desc(), "pos"))).filter(F.col("_k") <= candidates).drop("_k")
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return admitted.groupBy(*by).applyInPandas(lambda pdf: select_diverse(pdf, limit, facets, question), f"{schema}, position int")
+    keys, base = list(by), 0.45 * F.col("passage_score") + 0.30 * F.col("source_score") + 0.25 * F.col("quality")
+    asks = [*([question] if question and limit > 0 else []), *facets]
+    left = rows.filter(F.col("source_score") >= ADMIT).withColumn("_base", base).withColumn("_terms", F.array_distinct(meaningful("text")))
+    # Before the last reservation len(asks) - 1 rows are taken and half as many sources are full, so a free row is among these.
+    own = len(asks)
+    most = (own // 2 + 1) * own + own
+    for at, asked in enumerate(asks):
+        terms = sorted(set(meaningful_py(asked)))
+        share = F.size(F.array_intersect("_terms", F.lit(terms) if terms else F.array().cast("array<string>"))) / F.lit(max(1, len(terms)))
+        can = (share >= F.lit(1.0 if len(terms) <= 2 else 0.60)) & (F.col("authority") if question and limit > 0 and at == 0 else F.lit(True))
+        left = left.withColumn(f"_share{at}", share).withColumn(f"_can{at}", F.coalesce(can, F.lit(False)))
+    # Texts stay where they are; only scores are sorted.
+    left = cut(left.drop("_terms")).withColumn("_row", F.monotonically_increasing_id())
+    texts, left = left.select(*rows.columns, "_row"), left.select(*dict.fromkeys([*keys, "source_id", "pos"]), "_row", "_base", *(f"_{x}{at}" for at in range(own) for x in ("share", "can")))
+    fits = F.lit(False)
+    for at in range(own):
+        order = [F.desc(f"_can{at}"), F.desc(f"_share{at}"), F.desc("_base"), F.asc("pos")]
+        left = left.withColumn(f"_s{at}", F.row_number().over(Window.partitionBy(*keys, "source_id").orderBy(*order)))
+    for at in range(own):
+        order = [F.desc(f"_can{at}"), F.desc(f"_share{at}"), F.desc("_base"), F.asc("pos")]
+        left = left.withColumn(f"_can{at}", F.col(f"_can{at}") & (F.col(f"_s{at}") <= own))
+        left = left.withColumn(f"_k{at}", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        fits = fits | (F.col(f"_can{at}") & (F.col(f"_k{at}") <= most))
+    left = left.withColumn("_fits", fits).withColumn("_s", F.row_number().over(Window.partitionBy(*keys, "source_id").orderBy(F.desc("_base"), "pos")))
+    left = cut(left.select(*dict.fromkeys([*keys, "source_id", "pos"]), "_row", "_base", "_fits", "_s"))
+    schema, done = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes), []
+
+    def fold(pdf: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pdf.assign(position=pd.Series(dtype="int32"))
+        out = select_diverse(pdf, limit, facets, question, dict(zip(rest["_source"], rest["_best"], strict=True)))
+        return pdf.head(1).assign(position=-1) if out is None else out
+
+    while True:
+        ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_s") > candidates, F.desc("_base"), "pos")))
+        ranked = ranked.withColumn("_in", F.col("_fits") | ((F.col("_s") <= candidates) & (F.col("_k") <= 8 * candidates)))
+        rest = ranked.filter(~F.col("_in")).groupBy(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(keys)), F.col("source_id").alias("_source")).agg(F.max("_base").alias("_best"))
+        out = cut(texts.join(ranked.filter("_in").select("_row"), "_row").select(*rows.columns).groupBy(*keys).cogroup(rest.groupBy(*(f"_by{i}" for i in range(len(keys))))).applyInPandas(fold, f"{schema}, position int"))
+        done.append(out.filter("position > 0"))
+        again = out.filter("position < 0").select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(keys)))
+        if again.isEmpty():
+            break
+        left = left.join(again, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(keys)], "left_semi")
+        candidates *= 4
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def capped(rows: DataFrame, by: Sequence[str], source: str, score: str, order: str, limit: int, per_source: int = PER_SOURCE) -> DataFrame:

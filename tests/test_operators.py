@@ -92,6 +92,26 @@ def test_selection():
     assert picks([{"source_id": "a", "text": "alpha beta"}, {"source_id": "b", "text": "alpha beta", "authority": True, "passage_score": 0.1}], 2, question="alpha beta")[0] == "b"
 
 
+@pytest.mark.parametrize("candidates", [50, 1])
+def test_selection_of_large_groups(spark, candidates):
+    """As the loop over all rows, however large a group; rows of low base score can be the only ones for a facet or authority."""
+    rng = random.Random(31)
+    rows = []
+    for g in ("a", "b", None):
+        for pos in range(700):
+            text = " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"], k=rng.randint(2, 5)))
+            rows.append((g, pos, f"s{rng.randrange(6)}", text, rng.randrange(40, 80) / 100, 0.8, 0.9, False))
+        rows.append((g, 700, "s1", "alpha zeta", 0.0, 0.2, 0.0, False))
+        rows.append((g, 701, "s2", "theta", 0.0, 0.2, 0.0, True))
+    names = ["q", "pos", "source_id", "text", "passage_score", "source_score", "quality", "authority"]
+    df = spark.createDataFrame(rows, "q string, pos long, source_id string, text string, passage_score double, source_score double, quality double, authority boolean")
+    got = {(r.q, r.position): r.pos for r in V.diverse(df, ["q"], 9, ["zeta", "alpha beta"], "theta", candidates).collect()}
+    for g in ("a", "b", None):
+        want = V.select_diverse(pd.DataFrame([r for r in rows if r[0] == g], columns=names), 9, ["zeta", "alpha beta"], "theta")["pos"].tolist()
+        assert [got[g, k + 1] for k in range(9)] == want and want[:2] == [701, 700]
+    assert len(got) == 27
+
+
 def test_fetch_selection():
     row = lambda key, score, kind="web_page", preferred=None: {"key": key, "domain": key, "kind": kind, "preliminary": score, "preferred": preferred, "scores": [score], "fits": [True]}
     rows = [row("first", 1.0), row("third", 0.8), row("docs", 0.01, "official_documentation")]
