@@ -33,6 +33,8 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+|[/_=+-])+\Z")
 #: Characters per token under which a run counts as random: random base 62 has about 1.6, prose with digits 2.3 or more.
 RATIO = 2.1
+#: The same for runs without a digit: random letters have about 1.4, of one case 1.7; capitals and joined words 2.0 or more.
+LETTERS_RATIO = 1.9
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -49,21 +51,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def identifier(run: str) -> bool:
     core = run.strip("=-_/+")
-    if not any(c.isdigit() for c in core) or not any(c.isalpha() for c in core):
-        return True  # a number, or letters only: words
+    if not any(c.isalpha() for c in core):
+        return True  # a number
     return bool(UUID.match(core)) or (len(core) in DIGEST_LENGTHS and bool(DIGEST.match(core)))
 
 
+def outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a run that no span covers."""
+    out = []
+    for s, e, _ in sorted(x for x in taken if x[0] < end and start < x[1]):
+        out.append((start, s))
+        start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if e > s]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], encode, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if identifier(run) or any(s < m.end() and m.start() < e for s, e, _ in taken):
-            continue
-        if NAME.match(run) and max(map(len, re.findall(r"[A-Za-z]+", run))) >= 6:
-            continue  # words and numbers with separators
-        if len(run) / max(len(encode(run)), 1) < ratio:
-            out.append((m.start(), m.end(), "random"))
+        for start, end in outside(m.start(), m.end(), taken):
+            run = text[start:end]
+            if not RUN.match(run) or identifier(run):
+                continue
+            digits = any(c.isdigit() for c in run)
+            if NAME.match(run) and (digits or not run.isalpha()) and max(map(len, re.findall(r"[A-Za-z]+", run))) >= 6:
+                continue  # words and numbers with separators
+            if len(run) / max(len(encode(run)), 1) < (ratio if digits else min(ratio, LETTERS_RATIO)):
+                out.append((start, end, "random"))
     return out
 
 

@@ -56,3 +56,21 @@ def test_digest_columns(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, _, k in base) for x in ("assign", "access", "hex"))
         assert {f"{k}:{s}:{e}" for s, e, k in base} <= set(r.spans.split(","))
+
+
+def test_random_letters_are_found():
+    rng = random.Random(3)
+    for alphabet, least in ((string.ascii_letters, 297), (string.ascii_uppercase, 290), (string.ascii_lowercase, 270)):
+        keys = ["".join(rng.choices(alphabet, k=32)) for _ in range(300)]
+        assert sum(S.random_spans(f"here {k} there", [], ENCODE) == [(5, 37, "random")] for k in keys) >= least
+    for clean in ("internationalizationofdocumentation", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "THIS_IS_A_CONSTANT_NAME_HERE", "getElementsByClassNameAndValue", "path/to/some/directory/file"):
+        assert not S.random_spans(clean, [], ENCODE), clean
+
+
+def test_rest_of_a_run_beside_a_pattern():
+    key, digest = "Zq7Rk2VxPw9LtB4nGh8JdYc3", hashlib.md5(b"x").hexdigest()
+    text = f"see {key}-{digest}/{key} and {digest}_short1"
+    base = S.base_spans(text)
+    assert [text[s:e] for s, e, _ in base] == [digest, digest]
+    found = S.random_spans(text, base, ENCODE)
+    assert [text[s:e] for s, e, _ in found] == [key + "-", "/" + key]
