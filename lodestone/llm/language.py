@@ -152,10 +152,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_languages(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents with a language of at least `least` of the text; those without letters go. Columns stay as they were, whatever their names."""
+    """Documents whose languages together make up at least `least` of the text; those without letters go. Columns stay as they were, whatever their names.
+
+    Without any labelled document to learn from, all documents with letters stay.
+    """
     rest = [c for c in docs.columns if c != "text"]
     boxed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
-    kept = identify(boxed, fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    model = fit(docs)
+    if model.languages:
+        explained = F.aggregate("mixture", F.lit(0.0), lambda a, x: a + x["share"])
+        kept = identify(boxed, model).filter((F.col("lang_pred") != UNKNOWN) & (explained >= least))
+    else:
+        kept = boxed.filter(F.col("text").rlike(r"\p{L}"))
     return kept.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 

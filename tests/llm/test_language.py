@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -59,3 +60,15 @@ def test_awkward_rows(spark, documents, awkward):
     assert L.fit(docs.limit(0)).languages == [] and L.filter_languages(docs.limit(0)).columns == docs.columns
     kept = L.filter_languages(docs)
     assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {1}
+
+
+def test_no_text_with_letters_goes(spark, documents, sf_dir):
+    rows = [(i, f"some words of text number {i}", None) for i in range(20)] + [(90, "123 --- !", None), (91, None, None)]
+    assert {r.doc_id for r in L.filter_languages(documents(rows)).collect()} == set(range(20))
+    made = {"a": "abcd", "b": "ijkl", "c": "qrst", "d": "vwxy"}
+    rng = random.Random(6)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(400))
+    rows = [(100 * k + i, text(letters), lang) for k, (lang, letters) in enumerate(made.items()) for i in range(12)]
+    docs = documents([*rows, (999, "\n".join(text(x) for x in made.values()), None)])
+    assert L.identify(docs, L.fit(docs)).filter("doc_id = 999").first().score < L.LEAST_SCORE
+    assert {r.doc_id for r in L.filter_languages(docs).collect()} == {r[0] for r in rows} | {999}
