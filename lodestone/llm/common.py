@@ -20,22 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch holds; without this, 10,000 long texts travel at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+#: Spark's own settings for what an Arrow batch holds, and those that replace them: without, 10,000 long texts travel at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(BATCH_BYTES))}
+#: Rows from which a key can be hot.
+LEAST_HOT = 10_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate tables. Only on one machine (master local), where none is set, it is a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="lodestone-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and go on from there, so that a lost executor costs no rerun."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    bounded_batches(df.sparkSession)
+    """df.mapInArrow(f). Batches are bounded by BATCH, unless the caller's session has bounds of its own; Spark reads them when it runs the plan."""
+    conf = df.sparkSession.conf
+    for k, (own, v) in BATCH.items():
+        if conf.get(k) == own:
+            conf.set(k, v)
     return df.mapInArrow(f, schema)
 
 
@@ -58,15 +71,15 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: Sequence[str], total: int, how: str = "left", most: int = 50_000) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: Sequence[str], total: int, how: str = "left", most: int = 50_000, least: int = LEAST_HOT) -> DataFrame:
     """Join rows to a lookup that has one line per key, however many rows share a key.
 
-    lookup[weight] says how many rows hold the key. A key is hot above limit = max(10,000, total / most) rows, so there
+    lookup[weight] says how many rows hold the key. A key is hot above limit = max(least, total / most) rows, so there
     are at most `most` hot keys: that proves the size of the one table broadcast here. The rows of a hot key are
     dealt over ceil(weight / limit) salts by the hash of `spread`, and its lookup line is repeated for each salt.
     Keys are matched as `=` does: null keys meet nothing.
     """
-    limit = max(10_000, total // most)
+    limit = max(least, total // most)
     if total <= limit:
         return rows.join(lookup.drop(weight), key, how)
     hot = lookup.filter(F.col(weight) > limit).select(key, F.ceil(F.col(weight) / limit).cast("int").alias("_salts"))

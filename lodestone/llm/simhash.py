@@ -23,8 +23,6 @@ BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 BUCKET = 4_096
 #: Cost of making and shuffling one bucket key, in comparisons of two fingerprints.
 KEY_COST = 40.0
-#: Ids from here on stand for fingerprints of which no document has an id.
-NAMELESS = 1 << 62
 
 
 def simhash(text: str | None) -> int:
@@ -43,19 +41,26 @@ def simhash(text: str | None) -> int:
     return int(sum(1 << b for b in np.nonzero(2 * ones > n)[0].tolist()))
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
-    a = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+def _bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
+    a = np.asarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     return np.unpackbits(a, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without any."""
+    ones = sum((_bit_counts(hashes[at : at + 65_536]) for at in range(0, len(hashes), 65_536)), np.zeros(BITS, np.int64))
+    return int(sum(1 << b for b in np.nonzero(2 * ones > len(hashes))[0].tolist()))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of docs; a null text counts as empty."""
+    """(doc_id, fp): one row per row of docs; a null text counts as empty. The column doc_id may have any type."""
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([simhash(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return map_batches(rows, run, f"doc_id {rows.dtypes[0][1]}, fp long").withColumnRenamed("doc_id", doc_id)
 
 
 # ---- the plan: partitions and thresholds ----
@@ -177,13 +182,13 @@ def links(fps: DataFrame, probes: list[tuple[list[int], int]], distance: int = D
     """
     keys = [signed(m) for bits, t in probes for m in masks(bits, t)]
     # One column of a key is the mask, so that equal values under two masks never meet.
-    rows = fps.select("fp", "node", F.explode(F.array(*(F.lit(m) for m in keys))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("path", F.lit(0).cast("long"))
-    found = []
+    rows = fps.select("fp", "node", F.explode(F.array(*(F.lit(m) for m in keys))).alias("mask"))
+    rows = rows.select("fp", "node", F.struct(F.lit(0).cast("long").alias("path"), "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")).alias("key"))
+    total, found = fps.count() * len(keys), []
     while True:
-        by = ["path", "mask", "value"]
-        counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        met = cut(rows.join(counted, by))
-        small = met.filter(F.col("n") <= bucket).groupBy(*by).agg(F.collect_list(F.struct("fp", "node")).alias("members")).select("members")
+        counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        met = cut(lookup_join(rows, counted.withColumn("weight", F.col("n")), "key", "weight", ["fp"], total, "inner"))
+        small = met.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("members")).select("members")
 
         def verify(batches):
             for b in batches:
@@ -195,18 +200,20 @@ def links(fps: DataFrame, probes: list[tuple[list[int], int]], distance: int = D
 
         found.append(map_batches(small, verify, "a long, b long"))
         hot = met.filter(F.col("n") > bucket)
-        if hot.isEmpty():
+        if not (total := hot.count()):
             break
         ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)]
-        split = hot.groupBy(*by, "n").agg(*ones)
+        split = hot.groupBy("key", "n").agg(*ones)
+        bit = F.lit([signed(1 << b) for b in range(BITS)])
         share = F.array(*(F.struct((-F.least(F.col(f"b{b}"), F.col("n") - F.col(f"b{b}"))).alias("v"), F.lit(b).alias("b")) for b in range(BITS)))
-        free = F.filter(F.array_sort(share), lambda x: F.shiftrightunsigned("mask", 0).isNotNull() & (F.get(F.lit([1 << b if b < 63 else -(1 << 63) for b in range(BITS)]), x["b"]).bitwiseAND(F.col("mask")) == 0))
-        split = split.withColumn("free", F.transform(free, lambda x: x["b"]))
-        bit = F.lit([1 << b if b < 63 else -(1 << 63) for b in range(BITS)])
-        part = F.aggregate(F.filter(F.col("free"), lambda b, i: i % (distance + 1) == F.col("part")), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.get(bit, b)))
-        split = split.withColumn("part", F.explode(F.array(*(F.lit(k) for k in range(distance + 1))))).withColumn("more", F.col("mask").bitwiseOR(part))
+        free = F.transform(F.filter(F.array_sort(share), lambda x: F.get(bit, x["b"]).bitwiseAND(F.col("key.mask")) == 0), lambda x: x["b"])
+        dealt = lambda k: lambda _, i: i % (distance + 1) == k
+        parts = [F.aggregate(F.filter("free", dealt(k)), F.col("key.mask"), lambda acc, b: acc.bitwiseOR(F.get(bit, b))) for k in range(distance + 1)]
+        split = split.withColumn("free", free).select("key", F.col("n").alias("weight"), F.array(*parts).alias("more"))
+        rows = lookup_join(hot.drop("n"), split, "key", "weight", ["fp"], total, "inner").withColumn("mask", F.explode(F.array_distinct("more")))
         # A bucket is named by the hash of its way down; two that collide would only be compared in vain.
-        rows = hot.drop("n").join(split.select(*by, "more"), by).select("fp", "node", F.xxhash64(*by).alias("path"), F.col("more").alias("mask"), F.col("fp").bitwiseAND(F.col("more")).alias("value"))
+        rows = rows.select("fp", "node", F.struct(F.xxhash64("key").alias("path"), "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")).alias("key"))
+        total *= distance + 1
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -217,16 +224,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node that edges connect to a smaller one, the smallest such node.
 
     Large-star and small-star steps in turn; every step is a minimum by node (combined before the shuffle) and a join
-    back, which adaptive execution splits where one node has very many neighbours. Each round is checkpointed.
+    back, salted where one node has very many neighbours. Each round is checkpointed.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
+        total = 2 * (now.count() if mark is None else mark[0])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = lookup_join(both, low, "u", "n", ["v"], total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        ends = [F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))]
+        small = lookup_join(large, low, "u", "n", ["v"], total).select(F.explode(F.array(*ends)).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         now = cut(small)
         was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == was:
@@ -234,35 +243,46 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs.
+def tied(marked: DataFrame, name: str, node: str, total: int) -> DataFrame:
+    """(a, b): the smallest node of a name with each other one: rows of one name are one document, whatever their nodes. Null names tie nothing."""
+    ends = marked.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min(node).alias("a"), F.max(node).alias("z"), F.count(F.lit(1)).alias("n")).filter("a <> z").drop("z")
+    return lookup_join(marked.select(name, F.col(node).alias("b")), ends, name, "n", ["b"], total, "inner").filter("a <> b").select("a", "b").distinct()
 
-    component_id is the smallest doc_id that links reach, the row's own included. Rows that share a doc_id are one
-    document. A null text counts as empty, and all texts without words have fingerprint 0 and are linked. A null doc_id
-    is never the smallest; a component without any other id has component_id null. Other columns are ignored.
-    """
-    marked = cut(fingerprints(docs, doc_id, text))
+
+def identity(doc_id: str, text: str) -> tuple[Column, Column]:
+    """A row's name, struct<unnamed, id>, and the hash of its text. Where it has no id it is named by its text; such names come after all ids."""
+    body, own = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.col(doc_id).cast("long")
+    return F.struct(own.isNull().alias("unnamed"), F.coalesce(own, body).alias("id")), body
+
+
+def groups(docs: DataFrame, doc_id: str, text: str, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """(name, fp, first) for every row of docs: its name, and the smallest name that links reach. Links are drawn between fingerprints, so ids may be any numbers."""
+    ident, _ = identity(doc_id, text)
+    marked = cut(fingerprints(docs.select(ident.alias("name"), F.col(text).alias("text")), "name", "text"))
     total = marked.count()
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.coalesce("first", F.shiftrightunsigned("fp", 2) + F.lit(NAMELESS))))
+    fps = cut(marked.groupBy("fp").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("fp")))
     n, both = bit_moments(fps)
     edges = links(fps, plan(n, both, distance), distance, bucket) if n > 1 else fps.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    # Rows with one doc_id and different texts are one document: their fingerprints are tied as well.
-    tied = marked.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-    extra = marked.join(tied.select("doc_id"), "doc_id", "left_semi").distinct().join(fps.select("fp", "node"), "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(edges.unionByName(extra))
-    named = fps.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
-    return lookup_join(marked, named, "fp", "n", ["doc_id"], total).select("doc_id", "fp", "component_id")
+    found = components(edges.unionByName(tied(marked, "name", "fp", total)))
+    named = cut(fps.join(found, "node", "left").select("fp", "n", "first", F.coalesce("component", "node").alias("component")))
+    smallest = named.groupBy("component").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("weight"))
+    named = lookup_join(named.drop("first"), smallest, "component", "weight", ["fp"], n).select("fp", "n", "first")
+    return lookup_join(marked, named, "fp", "n", ["name"], total).select("name", "fp", "first")
 
 
-def identity(doc_id: str, text: str) -> tuple[Column, Column]:
-    """The id of a row, of its text and larger than any that is given where it has none, and the hash of its text."""
-    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 61) + F.shiftrightunsigned(body, 4)), body
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs.
+
+    component_id is the smallest doc_id that links reach, the row's own included. Rows that share a doc_id are one
+    document. A null text counts as empty, and all texts without words have fingerprint 0 and are linked. A null doc_id
+    is never the smallest; a component without any other id has component_id null. Ids may be any 64-bit numbers. Other columns are ignored.
+    """
+    given = lambda name: F.when(~F.col(f"{name}.unnamed"), F.col(f"{name}.id"))
+    return groups(docs, doc_id, text, distance, bucket).select(given("name").alias("doc_id"), "fp", given("first").alias("component_id"))
 
 
 def rows_of(docs: DataFrame, firsts: DataFrame, ident: Column, body: Column) -> DataFrame:
-    """One row of docs for each id of firsts: that with the smallest text hash."""
+    """One row of docs for each name of firsts: that with the smallest text hash."""
     name, k = unused(docs, "_id", "_k")
     rows = docs.withColumn(name, ident).join(firsts.select(F.col(firsts.columns[0]).alias(name)), name, "left_semi")
     return rows.withColumn(k, F.row_number().over(Window.partitionBy(name).orderBy(body))).filter(F.col(k) == 1).select(*docs.columns)
@@ -272,11 +292,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """docs with one document of each component: the row with its smallest id.
 
     Where that id has several rows, the one with the smallest text hash stays; rows equal in that too are one document.
-    A row without an id gets one from its text, larger than any that is given.
+    A row without an id is named by its text, after all ids.
     """
-    ident, body = identity(doc_id, text)
-    found = near_duplicates(docs.select(ident.alias("doc_id"), F.col(text).alias("text")))
-    return rows_of(docs, found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), ident, body)
+    firsts = groups(docs, doc_id, text).filter(F.col("name") == F.col("first")).select("name").distinct()
+    return rows_of(docs, firsts, *identity(doc_id, text))
 
 
 def op7_simhash_near_dedup(spark, sf_dir):

@@ -112,6 +112,33 @@ def test_awkward_rows(spark, documents, awkward):
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.keep_first(docs.limit(0)).count() == 0
 
 
+def test_ids_of_any_size(spark, documents):
+    ids = [(1 << 61) - 1, 1 << 61, (1 << 62) - 1, (1 << 62) + 5, (1 << 62) + 9, (1 << 63) - 1, -(1 << 63), -7, 3]
+    rows = [(i, f"text {k} of words {k * k} that stand alone {k}") for k, i in enumerate(ids)] + [((1 << 62) + 7, "text 4 of words 16 that stand alone 4"), (None, "words without an id"), (None, "text 8 of words 64 that stand alone 8")]
+    got = S.near_duplicates(documents(rows)).collect()
+    prints = dict(zip([r[0] if r[0] is not None else ("none", k) for k, r in enumerate(rows)], [brute_print(t) for _, t in rows], strict=True))
+    for r in got:
+        linked = [i for i, f in prints.items() if bin(f ^ (r.fp & (1 << 64) - 1)).count("1") <= 2 and not isinstance(i, tuple)]
+        assert r.component_id == min(linked, default=None)
+    assert len(got) == len(rows) and len(S.keep_first(documents(rows)).collect()) == len(ids) + 1
+
+
+def test_hot_buckets_and_stars_are_salted(spark, monkeypatch):
+    from lodestone.llm.common import lookup_join
+
+    monkeypatch.setattr(S, "lookup_join", lambda *a, **k: lookup_join(*a, **(k | {"least": 3})))
+    star = [(i, 0) for i in range(1, 60)] + [(70 + i, 69) for i in range(20)]
+    got = {r.node: r.component for r in S.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(1, 60), 0), **dict.fromkeys(range(70, 90), 69)}
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    rows = list(enumerate(dict.fromkeys([base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(80)] + [rng.getrandbits(64) for _ in range(40)])))
+    fps = prints(spark, rows)
+    n, both = S.bit_moments(fps)
+    got = {r.node: r.component for r in S.components(S.links(fps, S.plan(n, both), bucket=8)).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == brute_groups(rows)
+
+
 def test_whole_table(spark, sf_dir):
     rows = S.op7_simhash_near_dedup(spark, sf_dir).collect()
     want = brute_groups([(r.doc_id, int(r.fingerprint, 16)) for r in rows])
