@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's shared checkpoint folder (a temporary one where none is set, as in tests)."""
+    """df, computed once and kept in the session's shared checkpoint folder. Only on one machine (master local), where none is set, it is a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint(eager=True)
