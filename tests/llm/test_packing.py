@@ -33,6 +33,61 @@ def test_ids_are_the_tokenizers(spark, sf_dir, tokenizer):
     assert K.Encoder(PATH).encode(pa.array([], pa.string()))[0].tolist() == []
 
 
+def test_long_words(tokenizer):
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghiéß", k=n)) + tail for n in (63, 64, 65, 5_000, 1_000_000) for tail in ("", "!!", "!" * 70, " and more", "中")]
+    texts += ["!" * 300_000, "x" * 300_000, "中文" * 50_000]
+    began, enc = time.perf_counter(), K.Encoder(PATH)
+    ids, at = enc.encode(pa.array(texts))
+    assert time.perf_counter() - began < 60 and max(map(len, enc.known)) <= K.LONG
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def brute_assign(rests, length):
+    """Each rest, longest first, in the cheapest of the sequences with room, by loops: {document: sequence} of those that fit whole."""
+    bins, out = [[0.0, length] for _ in range(sum(n for _, n in rests) // length)], {}
+    for d, n in sorted(rests, key=lambda r: (-r[1], r[0])):
+        fits = [k for k, b in enumerate(bins) if b[1] >= n]
+        if fits:
+            k = min(fits, key=lambda k: (bins[k][0], k))
+            bins[k] = [bins[k][0] + n + n * n / length, bins[k][1] - n]
+            out[d] = k
+    return out
+
+
+def test_rests_go_to_the_cheapest_sequence():
+    rng = random.Random(12)
+    for _ in range(40):
+        lengths = [rng.randint(1, 6_000) for _ in range(rng.randint(1, 60))]
+        full = sum(n // K.LENGTH for n in lengths)
+        want = brute_assign([(d, n % K.LENGTH) for d, n in enumerate(lengths) if n % K.LENGTH], K.LENGTH)
+        got = {d: q - full for d, s, n, q, _ in K.assign(lengths) if n == lengths[d] % K.LENGTH and s == lengths[d] - n and d in want}
+        assert got == want
+
+
+def test_what_is_over_goes_to_the_next_shard(spark, documents):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices(["a", "the", "word", "zq"], k=rng.randint(1, 3_000)))) for i in range(60)]
+    docs = documents(rows).coalesce(1)
+    extra = docs.selectExpr("*", "1 AS start", "2 AS length", "3 AS IDS", "4 AS sequence_id", "5 AS offset")
+    for shard in (5_000, 2_000_000):
+        got = K.pack(extra, shard=shard, with_ids=True).collect()
+        seqs, parts = defaultdict(int), defaultdict(list)
+        for r in got:
+            seqs[r.sequence_id] += r.length
+            parts[r.doc_id].append((r.start, bytes(r.ids), r.doc_tokens))
+        short = [n for n in seqs.values() if n != K.LENGTH]
+        assert sum(short) < K.LENGTH and len(short) <= 12  # one task ends once
+        for i, t in rows:
+            whole = b"".join(x[1] for x in sorted(parts[i]))
+            assert whole == np.array([*Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() if i < 5 else len(whole) == 4 * parts[i][0][2]
+
+
 def covered(lengths, pieces, length=K.LENGTH):
     parts, seqs = defaultdict(list), defaultdict(list)
     for d, s, n, q, o in pieces:
