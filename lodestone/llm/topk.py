@@ -3,7 +3,8 @@
 Vectors are sorted by length and cut into buckets of similar length. For a query with threshold t (its k-th best so
 far), a bucket whose longest vector has length l matters only if the cosine can reach t / (|q| l). Where that local threshold is
 high, candidates are those whose coordinate in the query's main direction can reach it; where it is low, those that are long enough.
-What is left is verified by exact integer products. Queries meet the buckets block by block.
+What is left is verified by exact integer products. Queries of like t / |q| form a block, and a block is shipped only to the
+shards whose longest vector can reach its least t / |q|.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from .common import cut, map_batches, table
 K, EVERY, SCALE = 5, 50, 256.0
 #: Vectors to a bucket, buckets to a shard (what a task holds), queries to a block.
 BUCKET, SHARD, QUERIES = 4_096, 16, 8_192
+#: Most bytes of a bucket or block of queries (one binary cell), whatever the dimension.
+BYTES = 8 << 20
+#: Most shards whose lengths (a dimension, a number and a length each) are broadcast; beyond that they are joined.
+LISTED = 1_000_000
 #: Local cosine threshold from which a coordinate prunes better than length.
 COORDINATE = 0.7
 
@@ -31,16 +36,25 @@ def quantised(rows: DataFrame, vec_id: str, embedding: str, scale: float = SCALE
 
 
 def packed(rows: DataFrame, size: int, extra: str | None = None) -> DataFrame:
-    """(dim, ids, vectors, extra): rows of a task, in their order, as blocks of at most `size`; little-endian 64-bit numbers."""
+    """(dim, ids, vectors, extra, far, need): rows of a task, in their order, as blocks of at most `size` rows and BYTES; little-endian 64-bit numbers.
+
+    far is the greatest length of the block's vectors and need the least of extra / length, where that is positive for all of them.
+    """
 
     def run(batches):
         held: dict[int, list] = {}
 
         def block(dim):
             i, v, e = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            for s in range(0, len(i), size):
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([i[s : s + size].tobytes()], pa.binary()), pa.array([v[s : s + size].tobytes()], pa.binary()), pa.array([e[s : s + size].tobytes()], pa.binary())], ["dim", "ids", "vectors", "extra"])
-
+            most = per(dim)
+            for s in range(0, len(i), most):
+                w, least = v[s : s + most], e[s : s + most]
+                norm = np.sqrt((w.astype(np.float64) ** 2).sum(axis=1))
+                need = float(np.min(least / norm)) * (1 - 1e-9) if (least > 0).all() and (norm > 0).all() else -1.0
+                cells = [pa.array([x.tobytes()], pa.binary()) for x in (i[s : s + most], w, least)]
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *cells, pa.array([float(norm.max())]), pa.array([need])], ["dim", "ids", "vectors", "extra", "far", "need"])
+
+        per = lambda dim: max(1, min(size, BYTES // (8 * max(dim, 1))))
         for b in batches:
             ids, dims, extras = (np.asarray(b.column(k).to_numpy(zero_copy_only=False)) for k in (0, 2, 3))
             a = b.column(1)
@@ -49,17 +63,17 @@ def packed(rows: DataFrame, size: int, extra: str | None = None) -> DataFrame:
                 which = np.nonzero(dims == dim)[0]
                 v = flat[at[which][:, None] + np.arange(dim)] if dim else np.zeros((len(which), 0), np.int64)
                 held.setdefault(dim, []).append((ids[which].astype("<i8"), v.astype("<i8"), extras[which].astype("<f8")))
-                if sum(len(x[0]) for x in held[dim]) >= size:
+                if sum(len(x[0]) for x in held[dim]) >= per(dim):
                     yield from block(dim)
         for dim in list(held):
             yield from block(dim)
 
-    return map_batches(rows.select("vec_id", "v", "dim", (F.col(extra) if extra else F.lit(0.0)).cast("double").alias("extra")), run, "dim int, ids binary, vectors binary, extra binary")
+    return map_batches(rows.select("vec_id", "v", "dim", (F.col(extra) if extra else F.lit(0.0)).cast("double").alias("extra")), run, "dim int, ids binary, vectors binary, extra binary, far double, need double")
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of a and b: by floating point where that is exact, else by Python's integers."""
-    most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    most = a.shape[1] * float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0))
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if most < 2**62:
@@ -111,10 +125,18 @@ def _keep(best, theta, j, own, ids, scores, k):
         theta[j] = max(theta[j], float(merged[-1][0]) * (1 - 1e-15) - 0.5)  # integers: half below, so that equal scores stay
 
 
-def _pairs(shards: DataFrame, blocks: DataFrame, n_shards: int, n_blocks: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best k of each query block in each shard. Shards and blocks are repeated to meet by equal keys."""
-    left = shards.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))))
-    right = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(n_shards - 1, 0)))))
+def met(blocks: DataFrame, lengths: DataFrame, n_shards: int) -> DataFrame:
+    """(dim, shard, qb): the blocks that each shard can have candidates for. lengths: dim, shard, far."""
+    listed = lengths.groupBy("dim").agg(F.collect_list(F.struct("shard", "far")).alias("shards"))
+    listed = F.broadcast(listed) if n_shards <= LISTED else listed
+    return blocks.select("dim", "qb", "need").join(listed, "dim").select("dim", "qb", F.explode(F.filter("shards", lambda x: x["far"] >= F.col("need"))).alias("s")).select("dim", "s.shard", "qb")
+
+
+def _pairs(shards: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each query block in each shard that it meets."""
+    own = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  the two sides come from the same tables
+    left = own(shards.select("dim", "shard", "ids", "vectors").join(pairs, ["dim", "shard"]))
+    right = own(blocks.select("dim", "qb", "ids", "vectors", "extra").join(own(pairs), ["dim", "qb"]))
 
     def run(key, a, b):
         dim = key[0].as_py()
@@ -125,7 +147,7 @@ def _pairs(shards: DataFrame, blocks: DataFrame, n_shards: int, n_blocks: int, k
         for qid, raw, least in zip(read(b, "ids", "<i8"), read(b, "vectors", "<i8"), read(b, "extra", "<f8"), strict=True):
             q = raw.reshape(-1, dim) if dim else np.zeros((len(qid), 0), np.int64)
             for j, found in enumerate(search(qid, q, least, buckets, k) if buckets else []):
-                out += [(int(qid[j]), i, s) for s, i in found]
+                out += [(int(qid[j]), i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for s, i in found]
         cols = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
 
@@ -138,33 +160,37 @@ def top_k(rows: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", embeddi
 
     Ties go to the smaller vec_id. Rows without an id, and vectors that are null or hold null or non-finite components, take no part; vectors of
     different dimensions never meet. Rows that share a vec_id are never their own candidates, and of such query rows the smallest
-    vector asks. Fewer candidates than k give fewer ranks; repeated candidate rows each count.
+    vector asks. Fewer candidates than k give fewer ranks; repeated candidate rows each count. Components and scores beyond 64
+    bits count as the nearest 64-bit number. Other columns are ignored.
     """
     data = cut(quantised(rows, vec_id, embedding, scale))
-    sizes = data.agg(F.count(F.lit(1)).alias("n"), F.sum(is_query(F.col("vec_id")).cast("int")).alias("q")).first()
-    asked = data.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("s")).select("vec_id", "s.v", "s.dim")
-    n_shards, n_blocks = max(1, -(-sizes.n // (BUCKET * SHARD))), max(1, -(-(sizes.q or 0) // QUERIES))
+    asks = F.coalesce(is_query(F.col("vec_id")), F.lit(False))
+    weight = 8 * (F.col("dim") + 1).cast("long")
+    sizes = data.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("b"), F.sum(asks.cast("int")).alias("q"), F.sum(F.when(asks, weight)).alias("qb")).first()
+    parts = lambda n, b, most: max(1, -(-(n or 0) // most), -(-(b or 0) // (BYTES * SHARD)))
+    n_shards, n_blocks = parts(sizes.n, sizes.b, BUCKET * SHARD), parts(sizes.q, sizes.qb, QUERIES)
+    asked = data.filter(asks).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("s")).select("vec_id", "s.v", "s.dim", "s.norm")
     ranged = data.repartitionByRange(n_shards, F.col("dim"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions("dim", F.col("norm").desc(), "vec_id")
     # The partition is the shard: a run of lengths, with at most BUCKET vectors to a bucket.
     shards = cut(packed(ranged, BUCKET).withColumn("shard", F.spark_partition_id()))
-    used = shards.agg(F.max("shard")).first()[0]
-    n_shards = 0 if used is None else used + 1
-    firsts = [r.shard for r in shards.groupBy("dim").agg(F.min("shard").alias("shard")).collect()] if n_shards else []
+    lengths = shards.groupBy("dim", "shard").agg(F.max("far").alias("far"))
+    firsts = lengths.groupBy("dim").agg(F.min(F.struct("shard", "far")).alias("s")).select("dim", "s.*")
 
-    def blocks(q: DataFrame) -> tuple[DataFrame, int]:
-        """The query blocks and their number; each call's partitions are its own, so a number holds for its table alone."""
-        out = cut(packed(q.coalesce(n_blocks), 1 << 30, "least").withColumn("qb", F.spark_partition_id()))
-        return out, (out.agg(F.max("qb")).first()[0] or 0) + 1
+    def blocks(q: DataFrame) -> DataFrame:
+        """The query blocks, numbered, those of like needs together."""
+        q = q.repartitionByRange(n_blocks, "dim", "need", "vec_id").sortWithinPartitions("dim", "need", "vec_id")
+        return cut(packed(q, QUERIES, "least").withColumn("qb", F.monotonically_increasing_id()))
 
     # The longest vectors of a dimension give each query a first threshold; the other shards have to beat it.
-    blind = blocks(asked.withColumn("least", F.lit(-1.7e308)))
-    first = cut(_pairs(shards.filter(F.col("shard").isin(firsts)), blind[0], n_shards, blind[1], k))
-    if n_shards > len(set(firsts)):
-        bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), (F.col("low") - 0.5).alias("least"))
-        seen = blocks(asked.join(bound, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(-1.7e308))))
-        first = first.unionByName(_pairs(shards.filter(~F.col("shard").isin(firsts)), seen[0], n_shards, seen[1], k))
+    blind = blocks(asked.withColumn("least", F.lit(-1.7e308)).withColumn("need", F.lit(0.0)))
+    found = cut(_pairs(shards, blind, met(blind, firsts, n_shards), k))
+    if n_shards > 1:
+        bound = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), (F.col("low") - 0.5).alias("least"))
+        seen = blocks(asked.join(bound, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(-1.7e308))).withColumn("need", F.col("least") / F.greatest("norm", F.lit(1e-300))))
+        others = lengths.join(firsts.select("dim", "shard"), ["dim", "shard"], "left_anti")
+        found = found.unionByName(_pairs(shards, seen, cut(met(seen, others, n_shards)), k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_topk(spark, sf_dir):

@@ -84,3 +84,45 @@ def test_passes_with_different_numbers_of_blocks(spark, monkeypatch):
     rng = random.Random(14)
     rows = [(i, [float(np.float32(rng.gauss(0, 1) * (1 + i % 7))) for _ in range(6)]) for i in range(150)]
     assert run(spark, rows) == brute(rows, 5, 5) and len(seen) == 2
+
+
+def test_blocks_keep_their_bounds(spark, monkeypatch):
+    for name, n in (("BUCKET", 64), ("SHARD", 4), ("QUERIES", 50), ("BYTES", 8 * 6 * 40)):
+        monkeypatch.setattr(K, name, n)
+    packed, made = K.packed, []
+
+    def kept(rows, size, extra=None):
+        out = packed(rows, size, extra)
+        made.append((size, out.selectExpr("length(ids) div 8 n", "length(vectors) b").collect()))
+        return out
+
+    monkeypatch.setattr(K, "packed", kept)
+    rng = random.Random(15)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1) * (1 + i % 50))) for _ in range(6)]) for i in range(2000)]
+    assert run(spark, rows, every=2) == brute(rows, 5, 2)
+    assert len(made) == 3 and all(r.n <= size and r.b <= K.BYTES for size, got in made for r in got)
+
+
+def test_only_shards_that_can_reach_the_threshold_are_met(spark, monkeypatch):
+    for name, n in (("BUCKET", 16), ("SHARD", 1), ("QUERIES", 4)):
+        monkeypatch.setattr(K, name, n)
+    pairs, met = [], K.met
+    monkeypatch.setattr(K, "met", lambda *a: pairs.append((out := met(*a)).count()) or out)
+    rng = random.Random(16)
+    rows = [(i, [float(np.float32((0.5 + rng.random()) * 1.15 ** -(i // 16))) for _ in range(4)]) for i in range(480)]
+    assert run(spark, rows) == brute(rows, 5, 5)
+    assert len(pairs) == 2 and pairs[1] < 24 * 29 // 4
+
+
+def test_other_columns_and_64_bits(spark):
+    rows = [(0, [1e30, 1.0]), (5, [1e30, -1e30]), (6, [-1e30, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS v", "3 AS NORM", "4 AS dim", "5 AS shard", "6 AS query_id")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in K.top_k(df, lambda c: c % 5 == 0).orderBy("query_id", "rank").collect()]
+    top = (1 << 63) - 1
+    big = lambda x: max(-(1 << 63), min(top, math.floor(256 * x)))
+    want = []
+    for q in (0, 5):
+        own = dict(rows)[q]
+        scored = sorted((-max(-(1 << 63), min(top, sum(big(a) * big(b) for a, b in zip(own, v, strict=True)))), i) for i, v in rows if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert got == want
