@@ -1,12 +1,14 @@
 """Quality rules: counts over whole texts, and a linear-chain conditional random field that labels lines.
 
-The field is trained here, on a bounded sample of labelled documents: every line takes its document's label, and sampled
-documents are strung together so that labels change within a sequence. Viterbi decoding then marks each line of a
+Only documents have labels, so the field learns its lines' labels by multiple instances: all lines of a good document are content,
+and a bad document has at least one line of boilerplate. Which of its lines these are is settled by training and decoding in turn, first
+by each line's own evidence, then with the moves between neighbouring lines of one document. Viterbi decoding marks each line of a
 document as content or boilerplate, and the share of words in content lines decides whether the document stays.
 """
 
 from __future__ import annotations
 
+import operator
 from collections import Counter
 
 import numpy as np
@@ -21,17 +23,21 @@ SPACES = b" \t\n\x0b\x0c\r"
 CAPITALS, DIGITS, MARKS = bytes(range(65, 91)), b"0123456789", b"!?"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 CONTENT_SHARE = 0.5
-#: Most labelled documents that training reads, and lines to a training sequence.
+#: Most labelled documents that training reads, and consecutive lines of each: the sample is bounded in bytes too.
 TRAIN_DOCS, TRAIN_LINES = 2_000, 64
-FEATURES = 9
+#: Rounds of labelling by lines alone, and in sequences.
+ALONE, TOGETHER = 3, 2
+FEATURES = 11
 
 
 def line_features(words: list[bytes], line: bytes, repeated: bool) -> tuple[float, ...]:
+    """The last feature, whether the line is the first or last of its text, is set by measure()."""
     n = max(len(line), 1)
     share = lambda chars: (len(line) - len(line.translate(None, chars))) / n
     return (
         1.0, min(10 * share(SYMBOLS), 2.0), min(4 * share(CAPITALS), 2.0), min(10 * share(DIGITS), 2.0), min(10 * share(MARKS), 2.0),
         1 - len(set(words)) / len(words), float(len(words) < 4), float(repeated), min(np.log1p(len(words)) / 5, 2.0),
+        sum(map(operator.eq, words, words[1:])) / len(words), 0.0,
     )
 
 
@@ -59,7 +65,9 @@ def measure(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarra
                 upto = i + 3
     blanks = len(raw) - len(raw.translate(None, SPACES))
     counts = len(words), len(text or "") - blanks, len(raw) - len(raw.translate(None, SYMBOLS)), repeats, covered
-    return counts, np.array(rows, np.float64).reshape(-1, FEATURES), np.array(sizes, np.int64)
+    features = np.array(rows, np.float64).reshape(-1, FEATURES)
+    features[[0, -1] if rows else [], -1] = 1.0
+    return counts, features, np.array(sizes, np.int64)
 
 
 # ---- the field: label 0 is boilerplate, 1 is content ----
@@ -81,9 +89,12 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x 2) and moves (2 x 2) by gradient ascent on the log-likelihood, forward and backward."""
-    weights, moves = np.zeros((FEATURES, 2)), np.zeros((2, 2))
+def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3, start: tuple[np.ndarray, np.ndarray] | None = None, chained: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x 2) and moves (2 x 2) by gradient ascent on the log-likelihood, forward and backward.
+
+    chained: whether neighbouring lines matter; without, moves stay 0. Without sequences, PRIOR speaks.
+    """
+    weights, moves = (x.copy() for x in start) if start else (np.zeros((FEATURES, 2)), np.zeros((2, 2)))
     if not sequences:
         return PRIOR, np.array([[0.5, -0.5], [-0.5, 0.5]])
     n, most = len(sequences), max(len(y) for _, y in sequences)
@@ -96,6 +107,11 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rat
     mw, mm = np.zeros_like(weights), np.zeros_like(moves)
     for _ in range(rounds):
         s = x @ weights
+        if not chained:
+            p = np.exp(s - np.logaddexp(s[..., :1], s[..., 1:])) * there[..., None]
+            mw = 0.9 * mw + (np.einsum("ntf,nta->fa", x, hot - p) / total - decay * weights)
+            weights = weights + rate * mw
+            continue
         fwd, bwd = s.copy(), np.zeros_like(s)
         for t in range(1, most):
             fwd[:, t] = np.where(there[:, t, None], np.logaddexp(fwd[:, t - 1, :1] + moves[0], fwd[:, t - 1, 1:] + moves[1]) + s[:, t], fwd[:, t - 1])
@@ -113,30 +129,56 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rat
 
 
 #: Used where no document has a label: signs, capitals and repeats speak for boilerplate.
-PRIOR = np.stack([np.array([-1.5, 2.0, 1.0, 0.5, 2.0, 4.0, 0.3, 1.0, -0.5]), np.zeros(FEATURES)], axis=1)
+PRIOR = np.stack([np.array([-1.5, 2.0, 1.0, 0.5, 2.0, 4.0, 0.3, 1.0, -0.5, 4.0, 0.0]), np.zeros(FEATURES)], axis=1)
+
+
+def relabel(bags: list[tuple[np.ndarray, bool]], weights: np.ndarray, moves: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Lines and their labels: all content in a good document; in a bad one as decoded, its least content-like line always boilerplate."""
+    out = []
+    for f, good in bags:
+        y = np.ones(len(f), np.int64)
+        if not good:
+            s = f @ weights
+            y = viterbi(s, moves).astype(np.int64)
+            y[int((s[:, 1] - s[:, 0]).argmin())] = 0
+        out.append((f, y))
+    return out
+
 
+def learn(bags: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """The field from documents' lines and labels. bags: features of consecutive lines of one document, whether it is good."""
+    bags = [(f, good) for f, good in bags if len(f)]
+    lines = [(f, np.full(len(f), int(good))) for f, good in bags]
+    if not bags or len({good for _, good in bags}) < 2:
+        return train([])
+    found = train(lines, rounds=60, chained=False)
+    for _ in range(ALONE):
+        found = train(relabel(bags, *found), rounds=40, start=found, chained=False)
+    for k in range(TOGETHER):
+        found = train(relabel(bags, *found), rounds=40 if k < TOGETHER - 1 else 80, start=found)
+    return found
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training sequences from the `most` labelled documents whose ids hash lowest: a bounded sample, the same on every run."""
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> list[tuple[np.ndarray, bool]]:
+    """(lines' features, good) of the `most` labelled documents whose ids hash lowest, `lines` consecutive lines of each: a bounded sample, the same on every run.
+
+    The best of repeated labels holds. Of an id with several rows, one gives the lines.
+    """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(most)
 
     def run(batches):
         for b in batches:
-            f = [measure(t)[1] for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in f], pa.binary())], ["order", "quality", "features"])
+            cut = []
+            for order, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                f = measure(t)[1]
+                at = order % max(1, len(f) - lines + 1)
+                cut.append(f[at : at + lines].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.binary())], ["order", "quality", "features"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("order", F.col("quality").cast("int"), "text")
-    got = map_batches(rows, run, "order long, quality int, features binary").collect()
-    lines, marks = [], []
-    for r in sorted(got, key=lambda r: (r.order, bytes(r.features))):
-        f = np.frombuffer(r.features, np.float64).reshape(-1, FEATURES)
-        lines.append(f)
-        marks.append(np.full(len(f), int(r.quality > 0)))
-    if not lines or not sum(map(len, marks)):
-        return []
-    f, y = np.concatenate(lines), np.concatenate(marks)
-    return [(f[s : s + TRAIN_LINES], y[s : s + TRAIN_LINES]) for s in range(0, len(y), TRAIN_LINES)]
+    got = map_batches(rows, run, "order long, quality int, features binary").groupBy("order", "quality").agg(F.min("features").alias("features")).collect()
+    return [(np.frombuffer(r.features, "<f4").reshape(-1, FEATURES).astype(np.float64), r.quality > 0) for r in sorted(got, key=lambda r: r.order)]
 
 
 def judge(docs: DataFrame, weights: np.ndarray, moves: np.ndarray, share: float = CONTENT_SHARE) -> DataFrame:
@@ -165,4 +207,4 @@ def judge(docs: DataFrame, weights: np.ndarray, moves: np.ndarray, share: float
 
 def op10_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return judge(docs, *train(sample(docs, table(spark, sf_dir, "labels"))))
+    return judge(docs, *learn(sample(docs, table(spark, sf_dir, "labels"))))
