@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm import urlfilter as U
@@ -24,7 +27,7 @@ def brute(url):
 def test_rules(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    rows = U.judge(pages.selectExpr("*", "1 AS host", "2 AS rule", "3 AS n"), U.page_outcomes(labels)).collect()
+    rows = U.judge(pages.selectExpr("*", "1 AS host", "2 AS rule", "3 AS n"), U.page_outcomes(pages, labels)).collect()
     verdicts = {r: v for v, r in U.RULES}
     assert len(rows) == len(URLS)
     for r in rows:
@@ -43,6 +46,45 @@ def test_reputation(spark):
     assert got["http://bad.spam.com/0"][1] < got["http://new.fine.com/1"][1]
 
 
+def test_names_and_domains(spark):
+    cases = [("a.b.example.com", "example.com", "com"), ("www.shop.co.uk", "shop.co.uk", "co.uk"), ("shop.co.uk", "shop.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("1.2.3.4", "1.2.3.4", "[]"), ("1.2.3.4:80", "1.2.3.4", "[]"),
+             ("[::1]:8080", "[::1]", "[]"), ("me@x.org:443", "x.org", "org"), ("x.org.", "x.org", "org"), ("local", "local", "local"), ("", "", "")]
+    df = spark.createDataFrame([(h,) for h, _, _ in cases], "host string")
+    assert [(r.host, r.d, r.s) for r in df.select("host", U.domain_of(F.col("host")).alias("d"), U.suffix_of(F.col("host")).alias("s")).collect()] == cases
+
+
+def test_the_bound_is_the_quantile(spark):
+    """Against a fine sum over the density itself."""
+    cases = [(0.6, 0.4), (1.0, 1.0), (2.5, 7.0), (30.0, 4.0), (0.8, 200.0), (5000.0, 1500.0), (1e6, 2e5), (900.0, 1.0)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    for r in df.select("a", "b", U.upper_bound(F.col("a"), F.col("b")).alias("x")).collect():
+        mean, sd = r.a / (r.a + r.b), math.sqrt(r.a * r.b) / (r.a + r.b) / math.sqrt(r.a + r.b + 1)
+        t = np.linspace(max(0.0, mean - 14 * sd), min(1.0, mean + 14 * sd), 2_000_001)
+        t = (t[1:] + t[:-1]) / 2
+        w = np.exp((r.a - 1) * np.log(t / mean) + (r.b - 1) * np.log((1 - t) / (1 - mean)))
+        want = t[np.searchsorted(np.cumsum(w), 0.95 * w.sum())]
+        assert abs(r.x - want) < 0.02 * sd + 1e-3 * (min(r.a, r.b) < 1), (r.a, r.b, r.x, want)
+
+
+def test_documents_that_urls_name(spark):
+    urls = ["http://a.com/en/12", "http://a.com/en/12.html?x=3", "http://a.com/7/8", "http://a.com/en/x12", "http://12.com/", None, "http://a.com/fr/9#4"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r.d for r in df.orderBy("page_id").select(U.document_of(F.col("url")).alias("d")).collect()]
+    assert got == [12, 12, 7, None, None, None, 9]
+    labels = spark.createDataFrame([(12, 1, 0), (12, 1, 1), (7, 1, None), (9, 0, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
+    assert {r.page_id: r.good for r in U.page_outcomes(df, labels).collect()} == {0: False, 1: False, 2: True, 6: False}
+
+
+def test_labels_move_verdicts_on_the_whole_table(spark, sf_dir):
+    """On the actual pages: where the labels of two hosts' documents are bad, their pages without a rule are blocked, and no others."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = U.judge(pages, pages.selectExpr("page_id", "true good").limit(0), rules=()).collect()
+    count = Counter(r.host for r in rows)
+    bad = {h for h, _ in count.most_common(2)}
+    outcomes = spark.createDataFrame([(r.page_id, r.host not in bad) for r in rows], "page_id long, good boolean")
+    assert {r.host for r in U.judge(pages, outcomes, rules=()).collect() if r.verdict == "block"} == bad
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     out = U.judge(pages, spark.createDataFrame([], "page_id long, good boolean"))
