@@ -24,9 +24,10 @@ def quality(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.0625), F.least(F.lit(1.0), size / F.lit(50.0)) * (F.lit(1.0) - F.least(F.lit(1.0), signs / F.greatest(size, F.lit(1)))))
 
 
-def exponential(doc_id: Column, source: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight, with u from the hash of seed, id and source: the same on every run."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(source, F.lit(""))).cast("binary"))
+def exponential(doc_id: Column, source: Column, weight: Column, seed: str = SEED, text: Column | None = None) -> Column:
+    """-ln(u) / weight, with u from the hash of seed, id (of the text where there is none) and source: the same on every run."""
+    name = F.when(doc_id.isNull(), F.md5(text.cast("binary")) if text is not None else F.lit("")).otherwise(doc_id.cast("string"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), name, F.coalesce(source, F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
@@ -48,29 +49,35 @@ def allot(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return s.withColumn("target", F.round(F.least(cap, F.coalesce(F.col("_level") * w, cap)), 6)).drop("_level", "w")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight=quality, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, body, size, source_size, target, taken) for every row of docs; body is the hash of the text.
-
-    size counts words; a null text has none. A null source is a source of its own and comes last. taken is
-    the words that the mix takes: whole epochs, then all of the documents drawn, of the last one drawn as many words as
-    are left. Equal keys go by doc_id; repeated rows are drawn one by one.
-    """
+def bucketed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight=quality, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, bucket: int | None = None) -> DataFrame:
+    """Every document with its key, its source's sums and target, and its bucket: about `bucket` documents of a source that follow one another by key."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(body).alias("body"), body.alias("text"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"))
-    rows = rows.withColumn("weight", weight(F.col("text"), F.col("size"))).drop("text")
-    rows = rows.withColumn("key", exponential(F.col("doc_id"), F.col("source"), F.col("weight"), seed)).withColumn("group", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    rows = rows.withColumn("weight", weight(F.col("text"), F.col("size")))
+    rows = rows.withColumn("key", exponential(F.col("doc_id"), F.col("source"), F.col("weight"), seed, F.col("text"))).drop("text").withColumn("group", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     rows = cut(rows)
-    classes = rows.groupBy(F.least(F.lit(CLASSES), F.greatest(F.lit(1), F.ceil(F.col("weight") * CLASSES))).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r.n for r in classes)
-    # The share of keys below a key, were weights spread alike in all sources. Any increasing function keeps the order; this one evens the buckets.
-    below = F.lit(1.0)
-    for r in sorted(classes):
-        below = below - F.lit(r.n / total) * F.exp(-F.col("key") * F.lit(r.c / CLASSES))
-    sources = allot(rows.groupBy("group", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most)
+    total = rows.count()
+    classes = rows.groupBy("group", "source", F.least(F.lit(CLASSES), F.greatest(F.lit(1), F.ceil(F.col("weight") * CLASSES))).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sources = classes.groupBy("group", "source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", F.col("n").alias("of")))).alias("classes"))
+    sources = allot(sources, weights, share, most)
+    # The share of its source's keys below a key, by the source's own weights. Any increasing function keeps the order; this one evens the buckets.
+    below = F.lit(1.0) - F.aggregate("classes", F.lit(0.0), lambda s, x: s + x["of"] * F.exp(-F.col("key") * x["c"] / F.lit(float(CLASSES)))) / F.col("all_n")
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    sources = cut(sources.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")).withColumn("buckets", F.ceil(F.col("n") / BUCKET)).drop("source"))
-    rows = lookup_join(rows, sources.withColumn("_n", F.col("n")).drop("n"), "group", "_n", ["doc_id", "key"], total)
+    sources = cut(sources.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")).withColumn("buckets", F.ceil(F.col("n") / F.lit(bucket or BUCKET))).drop("source"))
+    rows = lookup_join(rows, sources.withColumn("_n", F.col("n")).withColumnRenamed("n", "all_n"), "group", "_n", ["doc_id", "key"], total)
     rows = rows.withColumn("bucket", F.greatest(F.lit(0), F.least(F.floor(below * F.col("buckets")), F.col("buckets") - 1)))
+    return rows
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight=quality, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, bucket: int | None = None) -> DataFrame:
+    """(doc_id, source, body, size, source_size, target, taken) for every row of docs; body is the hash of the text.
+
+    size counts words; a null text has none. A null source is a source of its own and comes last. taken is
+    the words that the mix takes: whole epochs, then all of the documents drawn, of the last one drawn as many words as
+    are left. Equal keys go by doc_id; repeated rows are drawn one by one. A task sorts about `bucket` (BUCKET) documents of a source,
+    however large it is; only its buckets' sums, a row each, meet in one task. Other columns are ignored.
+    """
+    rows = bucketed(docs, doc_id, text, source, weight, weights, share, most, seed, bucket)
     filled = rows.groupBy("group", "bucket").agg(F.sum("size").alias("held"))
     filled = filled.withColumn("first", F.sum("held").over(Window.partitionBy("group").orderBy("bucket")) - F.col("held")).drop("held")
     inside = Window.partitionBy("group", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "body").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -104,7 +111,7 @@ SQL = {
     "op5_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-k AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '')), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE)
+k AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), md5(text)) || ':' || coalesce(source, '')), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE)
     / greatest(0.0625::DOUBLE, least(1.0::DOUBLE, size / 50.0::DOUBLE) * (1.0::DOUBLE - least(1.0::DOUBLE, (length(text) - length(translate(text, '#*$%&|<>', ''))) / CAST(greatest(size, 1) AS DOUBLE)))) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS DOUBLE) AS w FROM s),

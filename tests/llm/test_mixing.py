@@ -64,6 +64,15 @@ def test_order_of_keys_decides(spark, documents, monkeypatch):
         assert [t for _, t in own] == sorted((t for _, t in own), reverse=True)
 
 
+def test_buckets_are_even_in_every_source(spark, documents):
+    """A rare source of light documents beside a large one of heavy ones, and documents without ids."""
+    light = [(i, "w " * (1 + i % 3), "en", "rare") for i in range(1500)]
+    heavy = [(10_000 + i, "w " * 80, "en", "large") for i in range(6000)]
+    unnamed = [(None, f"w{i} " * (20 + i % 60), "en", "unnamed") for i in range(1500)]
+    sizes = [r["count"] for r in M.bucketed(documents(light + heavy + unnamed), bucket=50).groupBy("group", "bucket").count().collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 4 * 50 and len(sizes) > 0.7 * 9000 / 50
+
+
 def test_weights_tilt_the_draw(spark, documents):
     docs = documents([(i, " ".join(["word"] * (10 if i % 2 else 50)), "en", "a") for i in range(600)] + [(1000 + i, "x " * 200, "en", "b") for i in range(400)])
     taken = M.mix(docs).filter("source = 'a'").collect()
