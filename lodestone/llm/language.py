@@ -25,18 +25,22 @@ SMOOTHING, PENALTY, ROUNDS = 0.05, 3.0, 25
 LEAST_SCORE = 0.3
 
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-_LETTER = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x3000)])
+#: Characters that stand in words (letters and marks), and letters, below U+3000.
+_INSIDE, _LETTER = (np.array([unicodedata.category(chr(c))[0] in kinds for c in range(0x3000)]) for kinds in ("LM", "L"))
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Hashed trigrams of the lower-cased letters, with a blank wherever other characters stand; those centred on a letter."""
+    """Hashed trigrams of the lower-cased letters and marks, with a blank wherever other characters stand; those centred on one. A text without a letter has none."""
     a = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = _LETTER[np.minimum(a, 0x2FFF)]
+    letter, inside = _LETTER[low := np.minimum(a, 0x2FFF)], _INSIDE[low]
     if len(high := np.nonzero(a >= 0x3000)[0]):
-        letter[high] = [chr(c).isalpha() for c in a[high].tolist()]
-    a = np.concatenate(([0], np.where(letter, a, 0), [0])).astype(np.uint32)
+        kind = [unicodedata.category(chr(c))[0] for c in a[high].tolist()]
+        letter[high], inside[high] = [k == "L" for k in kind], [k in "LM" for k in kind]
+    if not letter.any():
+        return np.zeros(0, np.uint32)
+    a = np.concatenate(([0], np.where(inside, a, 0), [0])).astype(np.uint32)
     h = a[:-2] * _MULTIPLY[0] ^ a[1:-1] * _MULTIPLY[1] ^ a[2:] * _MULTIPLY[2]
-    return ((h * np.uint32(0x27D4EB2F)) >> np.uint32(16))[letter]
+    return ((h * np.uint32(0x27D4EB2F)) >> np.uint32(16))[inside]
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +138,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score (the main language's proportion) and mixture (language, proportion), largest first.
 
     Only the text counts. A null text or one without letters, or a model without languages, gives `und`, 0 and no mixture.
+    Columns of docs that have these three names, in any case, are replaced; the others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     mixture = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "mixture")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "mixture")]
 
     def run(batches):
         m = shared.value

@@ -55,7 +55,7 @@ def covers(found: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with the text of covered lines removed, n_lines and n_removed (non-blank lines).
+    """docs with the text of covered lines removed, n_lines and n_removed (non-blank lines); columns of docs with these two names are replaced.
 
     The first place of a window is the one of the smallest (doc_id, hash of the text, position); null ids come last.
     Rows that share doc_id and text are one document and are treated alike. No row is dropped: a text of covered lines

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -17,6 +20,79 @@ def test_em_finds_the_best_proportions():
     assert abs(w.sum() - 1) < 1e-6 and score >= best - 1e-2
 
 
+def brute_infer(columns, counts, penalty=L.PENALTY):
+    """The language set and shares by plain loops: the set grows by the language that raises the likelihood most, while that pays."""
+    total = sum(counts)
+    price = penalty * math.log(max(total, 2))
+
+    def fitted(ks):
+        w = [1 / len(ks)] * len(ks)
+        for _ in range(400):
+            sums = [0.0] * len(ks)
+            for g, n in enumerate(counts):
+                parts = [w[x] * columns[k][g] for x, k in enumerate(ks)]
+                for x, v in enumerate(parts):
+                    sums[x] += n * v / sum(parts)
+            w = [x / total for x in sums]
+        return sum(n * math.log(sum(w[x] * columns[k][g] for x, k in enumerate(ks))) for g, n in enumerate(counts)), w
+
+    chosen, best, shares = [], -math.inf, []
+    while len(chosen) < len(columns):
+        score, k, w = max((fitted([*chosen, k])[0], -k, fitted([*chosen, k])[1]) for k in range(len(columns)) if k not in chosen)
+        if chosen and score - best <= price:
+            break
+        chosen, best, shares = [*chosen, -k], score, w
+    return dict(zip(chosen, shares, strict=True))
+
+
+def test_mixtures_against_loops():
+    rng = np.random.default_rng(8)
+    for _ in range(25):
+        k, g = int(rng.integers(1, 4)), 25
+        p = rng.dirichlet(np.full(g, 0.4), k).T + 1e-4
+        p /= p.sum(axis=0)
+        n = rng.multinomial(int(rng.integers(5, 400)), p @ rng.dirichlet(np.full(k, 0.5))).astype(float)
+        n[0] += 1
+        got, want = L.infer(p, n), brute_infer(p.T.tolist(), n.tolist())
+        assert {i for i, x in enumerate(got) if x > 0} == set(want)
+        assert all(abs(got[i] - x) < 0.03 for i, x in want.items())
+
+
+def test_whole_table_against_loops(spark, sf_dir):
+    """Predictions of the query by loops over trigrams: counts, likelihoods and the mixture."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    learn = [r for r in docs if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    counts = {}
+    for r in learn:
+        counts.setdefault(r.lang, Counter()).update(L.trigrams(r.text).tolist())
+    names = sorted(counts)
+    like = lambda x, g: (counts[x][g] + L.SMOOTHING) / (counts[x].total() + L.SMOOTHING * L.GRAMS)
+    got = {r.doc_id: r for r in L.op6_language_id(spark, sf_dir).collect()}
+    checked = 0
+    for r in docs:
+        own = Counter(L.trigrams(r.text).tolist())
+        if not own:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+        elif len(own) < 150:
+            want = brute_infer([[like(x, g) for g in own] for x in names], list(own.values()))
+            top = max(want, key=want.get)
+            assert got[r.doc_id].lang_pred == names[top] and abs(got[r.doc_id].score - want[top]) < 0.03
+            checked += 1
+        else:
+            single = max(names, key=lambda x: sum(n * math.log(like(x, g)) for g, n in own.items()))
+            assert got[r.doc_id].lang_pred == single or got[r.doc_id].score < 0.9
+    assert checked > 10
+
+
+def test_letters_decide(spark, documents):
+    model = L.fit(documents([(i, "the cat and the dog", "en") for i in range(9)]))
+    texts = ["\u0301\u0308", "\u302a\u302b", "12 \u0301 !", "\U000e0100", "a\u0301", "中", "ʰ", "\u0e33"]
+    rows = {r.doc_id: r for r in L.identify(documents(list(enumerate(texts))).selectExpr("*", "1 AS Score", "2 AS MIXTURE"), model).collect()}
+    for i, t in enumerate(texts):
+        assert (rows[i].lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in t)), repr(t)
+    assert [c.lower() for c in rows[0].asDict()].count("score") == 1
+
+
 def test_trigrams():
     assert len(L.trigrams("ab")) == 2 and len(L.trigrams("a1b")) == 2 and len(L.trigrams("")) == len(L.trigrams(None)) == len(L.trigrams("12 ?!")) == 0
     assert L.trigrams("ÀB c").tolist() == L.trigrams("àb C").tolist()
