@@ -26,15 +26,20 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: Runs that the method judges, and what it leaves out: digests of usual lengths, UUIDs, and names made of words and numbers.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{18,}[A-Za-z0-9+/_=-]")
+#: What a run that is not random as a whole may hold: a key as one step of a path, or one part of a dotted name.
+STEP = re.compile(r"[A-Za-z0-9+_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+|[/_=+-])+\Z")
+VERSION = re.compile(r"v?[0-9]+(?:\.[0-9]+)+(?:[-+._][A-Za-z]*[0-9]*)*\Z")
 #: Characters per token under which a run counts as random: random base 62 has about 1.6, prose with digits 2.3 or more.
 RATIO = 2.1
-#: The same for runs without a digit: random letters have about 1.4, of one case 1.7; capitals and joined words 2.0 or more.
+#: The same for runs without a digit, or with a dot: random letters have about 1.4, of one case 1.7; capitals, joined words and names of hosts 2.0 or more.
 LETTERS_RATIO = 1.9
+#: The same for runs that look like names: random base 32, of capitals and digits, has about 1.4 and seldom over 1.7.
+NAME_RATIO = 1.75
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -53,7 +58,7 @@ def identifier(run: str) -> bool:
     core = run.strip("=-_/+")
     if not any(c.isalpha() for c in core):
         return True  # a number
-    return bool(UUID.match(core)) or (len(core) in DIGEST_LENGTHS and bool(DIGEST.match(core)))
+    return bool(UUID.match(core) or VERSION.match(core)) or (len(core) in DIGEST_LENGTHS and bool(DIGEST.match(core)))
 
 
 def outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -65,18 +70,28 @@ def outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tup
     return [(s, e) for s, e in [*out, (start, end)] if e > s]
 
 
+def is_random(run: str, encode, ratio: float = RATIO) -> bool:
+    """Whether a run takes too many tokens for its length to be text. Runs that look like names, of words and numbers with separators, need a lower ratio."""
+    if identifier(run):
+        return False
+    digits, words = any(c.isdigit() for c in run), re.findall(r"[A-Za-z]+", run)
+    if not digits or "." in run:
+        ratio = min(ratio, LETTERS_RATIO)
+    if NAME.match(run) and (digits or not run.isalpha()) and max(map(len, words)) >= 6:
+        ratio = min(ratio, NAME_RATIO)
+    return len(run) / max(len(encode(run)), 1) < ratio
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], encode, ratio: float = RATIO) -> list[tuple[int, int, str]]:
+    """The random runs of what no span covers; of a run that is not random as a whole, its random steps."""
     out = []
     for m in RUN.finditer(text):
         for start, end in outside(m.start(), m.end(), taken):
-            run = text[start:end]
-            if not RUN.match(run) or identifier(run):
-                continue
-            digits = any(c.isdigit() for c in run)
-            if NAME.match(run) and (digits or not run.isalpha()) and max(map(len, re.findall(r"[A-Za-z]+", run))) >= 6:
-                continue  # words and numbers with separators
-            if len(run) / max(len(encode(run)), 1) < (ratio if digits else min(ratio, LETTERS_RATIO)):
-                out.append((start, end, "random"))
+            run = RUN.search(text, start, end)
+            if run and is_random(run[0], encode, ratio):
+                out.append((run.start(), run.end(), "random"))
+            elif run:
+                out += [(x.start(), x.end(), "random") for x in STEP.finditer(text, start, end) if x[0] != run[0] and is_random(x[0], encode, ratio)]
     return out
 
 
@@ -98,7 +113,7 @@ def encoding(path: str) -> tiktoken.Encoding:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
     """(doc_id, found array<struct<kind, start, end, text>>): the secrets of each row's whole text, by start, then kind.
 
-    A null or empty text has none. Rows are judged one by one, so repeats and other columns make no difference. A span of the method never overlaps one of the patterns.
+    A null or empty text has none. Rows are judged one by one, so repeats and other columns, whatever their names, make no difference. A span of the method never overlaps one of the patterns.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
