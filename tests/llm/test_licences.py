@@ -8,7 +8,7 @@ KNOWN = {k: L.bigrams_of(L.words_of(t)) for k, t in L.TEMPLATES.items()}
 
 
 def brute(text):
-    """All units against all templates, without size bounds."""
+    """All units (lines, the whole, every window of a template's number of words) against all templates, without size bounds or telling words."""
     best = {}
     lines = [x for x in (text or "").split("\n") if L.words_of(x)]
     for unit in lines + ([" ".join(lines)] if len(lines) > 1 else []):
@@ -16,6 +16,12 @@ def brute(text):
         for k, t in KNOWN.items():
             n = sum(bag.values()) + sum(t.values())
             best[k] = max(best.get(k, 0), round(2 * sum((bag & t).values()) / n, 6) if n else 0)
+    words = L.words_of(text or "")
+    for k, t in KNOWN.items():
+        size = sum(t.values())
+        for at in range(len(words) - 1):
+            bag = L.bigrams_of(words[at : at + size + 1])
+            best[k] = max(best.get(k, 0), round(2 * sum((bag & t).values()) / (size + sum(bag.values())), 6))
     hits = {k: v for k, v in best.items() if v >= L.LEAST}
     top = max(hits.values(), default=None)
     return next((k for k, v in hits.items() if v == top), None), top, list(hits)
@@ -38,6 +44,37 @@ def test_against_loops(spark, documents):
         assert (r.license, r.score, [f.license for f in r.found]) == (lic, score, hits), dict(rows)[r.doc_id]
 
 
+def test_notices_inside_texts(spark, documents):
+    """Notices and whole licences wrapped over lines, inside prose, with words changed, left out and put in; two in one text; the end of a text."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choices("on the and river software copyright with house of license to use in garden this".split(), k=n))
+    rows, want = [], {}
+    for k, t in L.TEMPLATES.items():
+        for _ in range(4):
+            w = t.split()
+            for _ in range(len(w) // 25):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], [w[at], "very"], ["other"]])
+            broken = "".join(x + rng.choice([" ", " ", " ", "\n", "\n * "]) for x in w)
+            i = len(rows)
+            rows.append((i, f"{prose(rng.randint(0, 80))} {broken}{prose(rng.randint(0, 80))}"))
+            want[i] = k
+    rows.append((len(rows), prose(300) + "\n" + L.TEMPLATES["MIT-text"].replace(" ", "\n") + prose(100) + L.TEMPLATES["ISC"]))
+    got = {r.doc_id: r for r in L.scan(documents(rows)).collect()}
+    for i, t in rows:
+        assert (got[i].license, got[i].score, [f.license for f in got[i].found]) == brute(t), t
+    assert sum(want[i] in [f.license for f in got[i].found] for i in want) > 0.85 * len(want)
+    assert {f.license for f in got[len(rows) - 1].found} >= {"MIT-text", "ISC"}
+
+
+def test_telling_words_lose_nothing():
+    for k, t in L.TEMPLATES.items():
+        words = L.words_of(t)
+        chosen, n = L.telling(words), len(words) - 1
+        left = sum(not ({a, b} & set(chosen)) for a, b in zip(words, words[1:], strict=False))
+        assert 2 * left / (left + n) < L.LEAST, k  # all that a unit without these words could share
+
+
 def test_size_bounds_are_tight():
     for n in (1, 2, 5, 12):
         low, high = L.size_bounds(n)
