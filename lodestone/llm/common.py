@@ -87,3 +87,24 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, sprea
     many = lookup.drop(weight).join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), one).cast("int")).drop("_salts")
     return dealt.join(many, [key, "_salt"], how).drop("_salt")
+
+
+#: Most rows of the table that sifted() broadcasts: 16 bytes each, 64 names to a row.
+SIEVE_ROWS = 1 << 19
+
+
+def sifted(rows: DataFrame, name: Column, wanted: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts without moving them: those whose name may be among wanted (one column, `count` distinct names), and those whose name surely isn't.
+
+    Tests a broadcast table of bits by hashes of the names. It has at most SIEVE_ROWS rows, however many names there
+    are; beyond some millions of names more rows pass for nothing, and that is all.
+    """
+    size = 1 << min(SIEVE_ROWS.bit_length() - 1, max(count // 4, 1).bit_length())
+    word, bit, bits = unused(rows, "_word", "_bit", "_bits")
+    split = lambda h: (F.pmod(h, F.lit(size)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int"))
+    at, which = split(F.xxhash64(wanted.columns[0]))
+    table = wanted.select(at.alias(word), which.alias("b")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias(bits))
+    at, which = split(F.xxhash64(name))
+    tested = rows.withColumn(word, at).withColumn(bit, which).join(F.broadcast(table), word, "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(`{bits}`, `{bit}`) & 1L = 1L"), F.lit(False))
+    return tuple(tested.filter(x).select(*(F.col(f"`{c}`") for c in rows.columns)) for x in (hit, ~hit))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup_join, map_batches, table, unused
+from .common import cut, lookup_join, map_batches, sifted, table, unused
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 #: Most members of a bucket that one task compares with one another; larger buckets are split by further bits.
@@ -281,11 +281,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return groups(docs, doc_id, text, distance, bucket).select(given("name").alias("doc_id"), "fp", given("first").alias("component_id"))
 
 
-def rows_of(docs: DataFrame, firsts: DataFrame, ident: Column, body: Column) -> DataFrame:
-    """One row of docs for each name of firsts: that with the smallest text hash."""
+def rows_of(docs: DataFrame, names: DataFrame, firsts: DataFrame, ident: Column, body: Column) -> DataFrame:
+    """One row of docs for each name of firsts: that with the smallest text hash. names: the name of every row.
+
+    Rows whose name is theirs alone and stays pass where they are; only the others, found by a sieve, are shuffled.
+    """
     name, k = unused(docs, "_id", "_k")
-    rows = docs.withColumn(name, ident).join(firsts.select(F.col(firsts.columns[0]).alias(name)), name, "left_semi")
-    return rows.withColumn(k, F.row_number().over(Window.partitionBy(name).orderBy(body))).filter(F.col(k) == 1).select(*docs.columns)
+    kept = firsts.select(F.col(firsts.columns[0]).alias("name"), F.lit(True).alias("stays"))
+    suspects = cut(names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(kept, "name", "left").filter("stays is null or n > 1"))
+    some, rest = sifted(docs, ident, suspects.select("name"), suspects.count())
+    rows = some.withColumn(name, ident).join(kept.select(F.col("name").alias(name)), name, "left_semi")
+    rows = rows.withColumn(k, F.row_number().over(Window.partitionBy(name).orderBy(body))).filter(F.col(k) == 1).select(*docs.columns)
+    return rest.unionByName(rows)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,8 +301,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Where that id has several rows, the one with the smallest text hash stays; rows equal in that too are one document.
     A row without an id is named by its text, after all ids.
     """
-    firsts = groups(docs, doc_id, text).filter(F.col("name") == F.col("first")).select("name").distinct()
-    return rows_of(docs, firsts, *identity(doc_id, text))
+    found = cut(groups(docs, doc_id, text).select("name", "first"))
+    return rows_of(docs, found.select("name"), found.filter(F.col("name") == F.col("first")).select("name").distinct(), *identity(doc_id, text))
 
 
 def op7_simhash_near_dedup(spark, sf_dir):
