@@ -20,10 +20,10 @@ DOCUMENTATION = (
     "peps.python.org", "py.sdk.modelcontextprotocol.io", "python.org", "rfc-editor.org", "sqlite.org",
 )
 SECRET_KEY = r"(?i)(?:^|[_\-.])(?:api[_-]?key|token|secret|password|key|auth|authorization|signature|sig|credential|access[_-]?id|session(?:[_-]?id)?|jwt|bearer|code)(?:$|[_\-.])"
-#: Special-purpose IPv4 blocks (first address, prefix length) of the public registry.
+#: Special-purpose IPv4 ranges (first and last address) of the public registry.
 SPECIAL_V4 = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.170", 31),
-    ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.8"), ("192.0.0.11", "192.0.0.255"),
+    ("192.0.2.0", "192.0.2.255"), ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"), ("224.0.0.0", "255.255.255.255"),
 )
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -132,56 +132,101 @@ def _v4(text: str) -> int:
 
 
 def address(h: Column) -> Column:
-    """A host as an IPv4 number: dotted decimal, one decimal or hexadecimal number, dotted octal; null for names."""
-    dotted = lambda base, digits: sum((F.conv(F.regexp_extract(h, digits, i + 1), base, 10).cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0))
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    plain, octal = "^" + r"\.".join([octet] * 4) + "$", "^" + r"\.".join(["(0[0-7]{1,3})"] * 4) + "$"
+    """A host as an IPv4 number: one decimal or hexadecimal number of any length, or four dotted ones, each decimal, octal or hexadecimal; null for names.
+
+    Four dotted numbers with one beyond 255 are no address that could be allowed: they count as 0.0.0.0.
+    """
+    number = lambda digits, base, most: F.when(F.length(digits) <= most, F.conv(F.when(digits == "", "0").otherwise(digits), base, 10).cast("long"))
+    bare = lambda x, at: F.ltrim(F.substring(x, at, 4096), F.lit("0"))
+    hexadecimal = lambda x: x.rlike("^0[xX]")
+    part = lambda x: F.when(hexadecimal(x), number(bare(x, 3), 16, 4)).when(x.startswith("0"), number(bare(x, 1), 8, 4)).otherwise(number(x, 10, 4))
+    fits = lambda n: F.when(n < 1 << 32, n)
+    joined_up = lambda p: sum((F.get(p, F.lit(i)) * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0))
+    dotted = "^" + r"\.".join(["(0[xX][0-9a-fA-F]+|0[0-7]*|[1-9][0-9]*)"] * 4) + "$"
     return (
-        F.when(h.rlike("^[0-9]{1,10}$"), F.when(h.cast("long") < 1 << 32, h.cast("long")))
-        .when(h.rlike("^0[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substring(h, 3, 8), 16, 10).cast("long"))
-        .when(h.rlike(octal), dotted(8, octal))
-        .when(h.rlike(plain), dotted(10, plain))
+        F.when(h.rlike("^[0-9]+$"), fits(number(bare(h, 1), 10, 10)))
+        .when(h.rlike("^0[xX][0-9a-fA-F]+$"), fits(number(bare(h, 3), 16, 8)))
+        .when(h.rlike(dotted), bind(F.transform(F.split(h, r"\."), part), lambda p: F.when(F.forall(p, lambda x: F.coalesce(x <= 255, F.lit(False))), joined_up(p)).otherwise(F.lit(0))))
     )
 
 
 def special(number: Column) -> Column:
     out = F.lit(False)
-    for first, bits in SPECIAL_V4:
-        out = out | number.between(_v4(first), _v4(first) + (1 << (32 - bits)) - 1)
+    for first, last in SPECIAL_V4:
+        out = out | number.between(_v4(first), _v4(last))
     return F.coalesce(out, F.lit(False))
 
 
+def v6_groups(h: Column) -> Column:
+    """array<long> of the eight groups of a bracketed IPv6 host; null if it is none."""
+    inner = F.lower(F.regexp_extract(h, r"^\[([0-9A-Fa-f:.]+)\]$", 1))
+    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    tail = r"^(.*:)" + r"\.".join([octet] * 4) + "$"
+    pair = lambda i: F.lower(F.hex(F.regexp_extract(inner, tail, i).cast("long") * 256 + F.regexp_extract(inner, tail, i + 1).cast("long")))
+    spelt = F.when(inner.rlike(tail), F.concat(F.regexp_extract(inner, tail, 1), pair(2), F.lit(":"), pair(4))).otherwise(inner)
+    listed = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+    zeros = lambda n: F.array_repeat(F.lit("0"), n)
+
+    def read(x: Column) -> Column:
+        halves = F.split(x, "::")
+        left, right = listed(F.get(halves, F.lit(0))), listed(F.get(halves, F.lit(1)))
+        whole = (
+            F.when((F.size(halves) == 2) & (F.size(left) + F.size(right) <= 7), F.concat(left, zeros(8 - F.size(left) - F.size(right)), right))
+            .when((F.size(halves) == 1) & (F.size(left) == 8), left)
+        )
+        return F.when(F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    return F.when(inner != "", bind(spelt, read))
+
+
 def special_v6(h: Column) -> Column:
-    """Bracketed IPv6 hosts that are not global unicast (2000::/3), or that embed IPv4 or documentation blocks."""
-    inner = F.regexp_extract(h, r"^\[([0-9a-f:.]+)\]$", 1)
-    return (inner != "") & (~inner.rlike("^[23][0-9a-f]{3}:") | inner.rlike("^2001:0?db8:|^2001:0{0,4}:|^2001::|^2002:|^3fff:"))
+    """Bracketed IPv6 hosts that are not global unicast (2000::/3), are documentation, transition or protocol blocks, or map a special IPv4 address."""
+
+    def judge(g: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i))
+        none = lambda *places: F.forall(F.array(*(at(i) for i in places)), lambda x: x == 0)
+        mapped = none(0, 1, 2, 3, 4) & (at(5) == 0xFFFF)
+        protocol = (at(0) == 0x2001) & (at(1) < 0x200)
+        open_ones = ((at(1) == 1) & none(2, 3, 4, 5, 6) & at(7).isin(1, 2)) | (at(1) == 3) | ((at(1) == 4) & (at(2) == 0x112)) | at(1).between(0x20, 0x3F)
+        blocks = (protocol & ~open_ones) | ((at(0) == 0x2001) & (at(1) == 0xDB8)) | (at(0) == 0x2002) | ((at(0) == 0x3FFF) & (at(1) < 0x1000))
+        return F.when(mapped, special(at(6) * 65536 + at(7))).otherwise(~at(0).between(0x2000, 0x3FFF) | blocks)
+
+    return F.coalesce(bind(v6_groups(h), judge), F.lit(False))
 
 
 def unsafe_reason(c: str | Column) -> Column:
-    """Why a URL must not be fetched; null if it may."""
+    """Why a URL must not be fetched; null if it may. Percent escapes in the host are read first; blanks before the URL don't count."""
     c = col(c)
+    c_trimmed = F.ltrim(c)
 
     def judge(u: Column) -> Column:
-        h = u["host"]
+        raw, h = u["raw"], u["host"]
         return (
             F.when((F.length(c) > 4096) | c.rlike(r"[\x00-\x1F]"), "encoding")
             .when(~u["scheme"].isin("http", "https"), "scheme")
-            .when(u["authority"].contains("@"), "credentials")
-            .when((h == "") | h.contains("%"), "host")
+            .when(~u["user"].isin("", ":"), "credentials")
+            .when((h == "") | h.contains("%") | (raw.rlike(r"[\[\]]") & v6_groups(raw).isNull()), "host")
             .when(h.isin(*BLOCKED) | h.rlike(BLOCKED_SUFFIX), "internal")
-            .when(bind(address(h), special) | special_v6(h), "address")
+            .when(bind(address(h), special) | special_v6(raw), "address")
             .when((u["port"] != "") & ~u["port"].rlike("^0*([1-9][0-9]{0,3}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])$"), "port")
         )
 
-    return bind(F.struct(scheme(c).alias("scheme"), authority(c).alias("authority"), host(c).alias("host"), port(c).alias("port")), judge)
+    def parted(a: Column) -> Column:
+        place = F.regexp_replace(a, "^.*@", "")
+        raw = F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1))
+        read = F.when(raw.contains("%"), F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)).otherwise(raw)
+        return F.struct(F.when(a.contains("@"), F.regexp_extract(a, "^(.*)@", 1)).otherwise(F.lit("")).alias("user"), raw.alias("raw"), F.lower(F.regexp_replace(read, r"\.+$", "")).alias("host"), F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1).alias("port"))
+
+    return bind(F.struct(scheme(c_trimmed).alias("scheme"), bind(authority(c_trimmed), parted).alias("p")), lambda u: judge({"scheme": u["scheme"], "user": u["p"]["user"], "raw": u["p"]["raw"], "host": u["p"]["host"], "port": u["p"]["port"]}))
 
 
 def local_endpoint(c: str | Column) -> Column:
-    """The host stays within the machine or its private network: a local or dotless name, or a special-purpose address."""
+    """The host stays within the machine or its private network: a local or dotless name, or a loopback or private address in its usual spelling."""
 
     def judge(h: Column) -> Column:
-        name = h.isin("localhost", "host.docker.internal") | h.rlike("^[a-z0-9-]*[a-z-][a-z0-9-]*$")
-        return (h != "") & (name | special(address(h)) | special_v6(h))
+        name = h.isin("localhost", "host.docker.internal", "gateway.docker.internal") | h.rlike("^-*[a-z0-9][a-z0-9-]*$")
+        usual = h.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}") & ~h.rlike(r"^2(2[4-9]|3[0-9])\.")
+        return (h != "") & (name | (usual & special(address(h))) | (special_v6(h) & ~h.startswith("[ff")))
 
     return bind(host(c), judge)
 

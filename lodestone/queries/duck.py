@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestone.functions.text import INJECTION, STOP
-from lodestone.functions.urls import DOCUMENTATION, SECRET_KEY, TRACKING, TRACKING_PREFIX
+from lodestone.functions.urls import BLOCKED, BLOCKED_SUFFIX, DOCUMENTATION, SECRET_KEY, SPECIAL_V4, TRACKING, TRACKING_PREFIX, _v4
 
 WORDS = r"[\p{L}\p{N}_+#.-]{2,}"
 PARTS = r"[\p{L}\p{N}_+#-]{2,}"
@@ -123,3 +123,28 @@ def sensitive(u: str) -> str:
 def redact(u: str) -> str:
     shown = f"list_transform({pairs(part(u, 4))}, lambda p: {{'key': p.key, 'value': CASE WHEN {sensitive_key('p.key')} THEN '%5BREDACTED%5D' ELSE p.value END}})"
     return f"(CASE WHEN {scheme(u)} IN ('http', 'https') THEN {scheme(u)} || '://' || {part(u, 2)} || {part(u, 3)} || CASE WHEN len({shown}) > 0 THEN '?' || {joined(shown)} ELSE '' END ELSE {u} END)"
+
+
+def _v4_special(n: str) -> str:
+    return "(" + " OR ".join(f"{n} BETWEEN {_v4(a)} AND {_v4(b)}" for a, b in SPECIAL_V4) + ")"
+
+
+def unsafe_reasons(rel: str) -> str:
+    """The rows of rel (url, n) with the judgement of each URL, for hosts other than bracketed ones with special blocks inside 2000::/3."""
+    url = "url"
+    blocked = ", ".join(f"'{h}'" for h in BLOCKED)
+    auth = f"regexp_extract(ltrim({url}), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    place = f"regexp_replace({auth}, '^.*@', '')"
+    raw = rf"lower(regexp_extract({place}, '^(\[[^\]]*\]|[^:]*)', 1))"
+    host = rf"regexp_replace(CASE WHEN contains({raw}, '%') THEN lower(url_decode({raw})) ELSE {raw} END, '\.+$', '')"
+    port = rf"regexp_extract({place}, '^(?:\[[^\]]*\]|[^:\[]*):(.*)$', 1)"
+    digits = lambda x, base, most: f"list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(lower({x}), ''), lambda d: (strpos('0123456789abcdef', d) - 1)::HUGEINT)), lambda a, d: least(a * {base} + d, {most}))"
+    parts = rf"list_transform(string_split(h, '.'), lambda x: CASE WHEN regexp_matches(x, '^0[xX]') THEN {digits("substr(x, 3)", 16, 4096)} WHEN starts_with(x, '0') THEN {digits("x", 8, 4096)} ELSE {digits("x", 10, 4096)} END)"
+    dotted = r"\.".join(["(0[xX][0-9a-fA-F]+|0[0-7]*|[1-9][0-9]*)"] * 4)
+    v4 = f"""CASE WHEN regexp_matches(h, '^[0-9]+$') THEN {digits("h", 10, 1 << 36)} WHEN regexp_matches(h, '^0[xX][0-9a-fA-F]+$') THEN {digits("substr(h, 3)", 16, 1 << 36)}
+      WHEN regexp_matches(h, '^{dotted}$') THEN CASE WHEN list_max({parts}) > 255 THEN 0 ELSE list_reduce({parts}, lambda a, d: a * 256 + d) END END"""
+    v6 = r"raw LIKE '[%' AND NOT regexp_matches(raw, '^\[[23][0-9a-f]{3}:')"
+    judged = rf"""CASE WHEN length(url) > 4096 OR regexp_matches(url, '[\x00-\x1F]') THEN 'encoding' WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN usr NOT IN ('', ':') THEN 'credentials'
+      WHEN h = '' OR contains(h, '%') THEN 'host' WHEN h IN ({blocked}) OR regexp_matches(h, '{BLOCKED_SUFFIX}') THEN 'internal'
+      WHEN coalesce({_v4_special("v4")}, FALSE) OR {v6} THEN 'address' WHEN port <> '' AND coalesce(NOT (regexp_matches(port, '^[0-9]+$') AND try_cast(port AS HUGEINT) BETWEEN 1 AND 65535), TRUE) THEN 'port' END"""
+    return f"""SELECT url, n, {judged} AS reason FROM (SELECT *, {v4} AS v4 FROM (SELECT url, n, {scheme("ltrim(url)")} AS scheme, {host} AS h, {raw} AS raw, {port} AS port, CASE WHEN contains({auth}, '@') THEN regexp_extract({auth}, '^(.*)@', 1) ELSE '' END AS usr FROM {rel}))"""

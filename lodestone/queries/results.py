@@ -58,23 +58,36 @@ register("domain_filter", ("F1", "U4", "J9"), domain_filter, f"""
 WITH h AS (SELECT page_id AS pos, {D.host('url')} AS domain FROM pages) SELECT pos, domain FROM h
 WHERE ({D.under('domain', 'example.com')} OR {D.under('domain', 'example.org')}) AND NOT {D.under('domain', 'blog.tionsh.example.com')}""")
 
-#: Literals that must be refused, and why; the last ones may pass.
+#: URLs of every form that must be refused, and some that may pass; the pages' own URLs are judged beside them, and turned to hosts of numbers.
 UNSAFE = [
     ("file:///etc/passwd", "scheme"), ("ftp://example.com/x", "scheme"), ("javascript:alert(1)", "scheme"), ("data:text/html,x", "scheme"),
     ("http://localhost/", "internal"), ("http://a.internal/x", "internal"), ("http://searxng:8080/", "internal"), ("http://127.0.0.1/", "address"), ("http://[::1]/", "address"),
     ("http://169.254.169.254/latest", "address"), ("http://2130706433/", "address"), ("http://0x7f000001/", "address"), ("http://0177.0000.0000.0001/", "address"),
     ("http://10.1.2.3:80/x", "address"), ("http://user:pw@example.com/", "credentials"), ("https://example.com/path", None), ("https://8.8.8.8/", None), ("http://example.com:99999/", "port"),
+    ("http://0x000000007f000001/", "address"), ("http://00002130706433/", "address"), ("http://00177.0.0.01/", "address"), ("http://0177.0.0.0400/", "address"), ("http://0x7f.0.0.1/", "address"), ("http://0x8.8.010.8/", None), ("http://0177.00.00.0400/", "address"), ("http://4294967296/", None), ("http://0x100000000/", None),
+    ("http://00000000000134744072/", None), ("http://192.0.0.9/", None), ("http://192.0.0.200/", "address"), ("http://%31%32%37.0.0.1/", "address"), ("http://ex%61mple.com/", None), ("http://a%zz/", "host"), ("http://@example.com/", None), ("http://:x@example.com/", "credentials"),
+    ("http://localhost./", "internal"), ("http://LOCALHOST:80/", "internal"), ("http://example.com:/", None), ("http://example.com:0/", "port"), ("http://example.com:8o/", "port"), (" http://127.0.0.1/", "address"), ("http://127.0.0.1./", "address"), ("http:///x", "host"),
+    ("http://[fe80::1]/", "address"), ("http://[::ffff:7f00:1]/", "address"), ("http://[2600::1]:8080/", None),
 ]
 
 
 def url_safety(spark, sf_dir):
-    given = spark.createDataFrame([(u,) for u, _ in UNSAFE], "url string").unionByName(table(spark, sf_dir, "pages").select("url"))
-    return given.groupBy("url").agg(F.count(F.lit(1)).alias("n")).select("url", "n", U.unsafe_reason("url").alias("reason"))
-
-
-register("url_safety", ("U3", "F2", "Z2"), url_safety, f"""
-WITH l AS (SELECT * FROM {D.values(UNSAFE, 'v(url, reason)')}), a AS (SELECT url, reason FROM l UNION ALL SELECT url, NULL FROM pages)
-SELECT url, count(*) AS n, any_value(reason) AS reason FROM a GROUP BY url""")
+    given, pages = spark.createDataFrame([(u,) for u, _ in UNSAFE], "url string"), table(spark, sf_dir, "pages").select("page_id", "url")
+    tail, n = F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1), F.col("page_id") * 16_777_259 % 4_294_967_296
+    octets = [F.floor(n / (1 << k)).cast("long") % 256 for k in (24, 16, 8, 0)]
+    hosts = F.array(F.format_string("%d", n), F.format_string("%012d", n), F.format_string("0x%09x", n), F.format_string("%d.%d.%d.%d", *octets), F.format_string("0%o.0%o.0%o.0%o", *octets))
+    numbers = pages.select(F.concat(F.lit("http://"), F.get(hosts, (F.col("page_id") % 5).cast("int")), tail).alias("url"))
+    rows = given.unionByName(pages.select("url")).unionByName(numbers)
+    return rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")).select("url", "n", U.unsafe_reason("url").alias("reason"))
+
+
+register("url_safety", ("U3", "F2", "Z2"), url_safety, rf"""
+WITH n AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS tail, page_id * 16777259 % 4294967296 AS n FROM pages),
+o AS (SELECT *, (n >> 24) % 256 AS a, (n >> 16) % 256 AS b, (n >> 8) % 256 AS c, n % 256 AS d FROM n),
+a AS (SELECT url FROM {D.values([(u,) for u, _ in UNSAFE], 'v(url)')} UNION ALL SELECT url FROM pages
+  UNION ALL SELECT 'http://' || CASE page_id % 5 WHEN 0 THEN n::VARCHAR WHEN 1 THEN lpad(n::VARCHAR, 12, '0') WHEN 2 THEN '0x' || lpad(printf('%x', n), 9, '0') WHEN 3 THEN printf('%d.%d.%d.%d', a, b, c, d) ELSE printf('0%o.0%o.0%o.0%o', a, b, c, d) END || tail FROM o),
+g AS (SELECT url, count(*) AS n FROM a GROUP BY url)
+{D.unsafe_reasons("g")}""")
 
 
 def source_type_counts(spark, sf_dir):

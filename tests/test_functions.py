@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +117,31 @@ def test_sinks(spark, tmp_path):
     assert sinks.write_runs(rows, str(tmp_path / "runs")) and spark.read.json(str(tmp_path / "runs")).count() == 2
     assert not sinks.write_runs(rows, str(tmp_path / "none"), keep=False) and not (tmp_path / "none").exists()
     assert sinks.review_form(rows, "mode", ["score"]).columns == ["mode", "recall", "score"]
+
+
+def test_addresses_against_pythons_rules(spark):
+    """Hosts of random numbers in every spelling, against the address rules of Python's library."""
+    rng = random.Random(11)
+    refused = lambda a: a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified
+    cases = {}
+    edges = [U._v4(x) + d for pair in U.SPECIAL_V4 for x in pair for d in (-1, 0, 1)]
+    for n in [*edges, *(rng.getrandbits(32) for _ in range(300))]:
+        n %= 1 << 32
+        want = refused(ipaddress.IPv4Address(n))
+        p = [n >> 24 & 255, n >> 16 & 255, n >> 8 & 255, n & 255]
+        for h in (f"{n}", f"000{n}", f"0x{n:x}", f"0X000{n:08X}", ".".join(map(str, p)), ".".join(f"0{x:o}" for x in p), ".".join(f"000{x:o}" for x in p), f"0x{p[0]:x}.{p[1]}.0{p[2]:o}.{p[3]}"):
+            cases[f"http://{h}/x"] = want
+    firsts = [0x2000, 0x2001, 0x2002, 0x2600, 0x3FFF, 0x64, 0xFC00, 0xFE80, 0xFF02, 0, 0x100, 0x5000]
+    for _ in range(600):
+        g = [rng.choice(firsts), rng.choice([0, 1, 2, 3, 4, 0x20, 0x2F, 0x30, 0x40, 0xDB8, 0x1FF, 0x200, 0x1000, rng.getrandbits(16)]), rng.choice([0, 0x112, 0x113])] + [rng.choice([0, 0, 1, 2, 0xFFFF, rng.getrandbits(16)]) for _ in range(5)]
+        a = ipaddress.IPv6Address(":".join(f"{x:x}" for x in g))
+        want = refused(a) or a in ipaddress.ip_network("3fff::/20")
+        for h in (str(a), a.exploded, a.exploded.upper(), ":".join(f"{x:x}" for x in g[:6]) + f":{g[6] >> 8}.{g[6] & 255}.{g[7] >> 8}.{g[7] & 255}"):
+            cases[f"http://[{h}]:80/"] = want
+    for n in (U._v4("127.0.0.1"), U._v4("8.8.8.8"), U._v4("10.0.0.1")):
+        cases[f"http://[::ffff:{n >> 16:x}:{n & 65535:x}]/"] = cases[f"http://[::ffff:{ipaddress.IPv4Address(n)}]/"] = refused(ipaddress.IPv4Address(n))
+    rows = spark.createDataFrame([(u,) for u in cases], "v string").select("v", U.unsafe_reason("v").alias("r")).collect()
+    assert [(r.v, r.r) for r in rows if (r.r == "address") != cases[r.v] or r.r not in (None, "address")] == []
+    broken = ["http://[::1", "http://[1:2]/", "http://[1::2::3]/", "http://[12345::]/", "http://::1]/"]
+    rows = spark.createDataFrame([(u,) for u in broken], "v string").select("v", U.unsafe_reason("v").alias("r")).collect()
+    assert all(r.r for r in rows), rows
