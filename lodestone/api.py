@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -76,9 +76,9 @@ def research(spark: SparkSession, question: str, results: DataFrame, pages: Data
     plan = _plan(spark, question, options)
     facets = plan["facets"]
     found = cut(candidates(results, facets, options))
-    snippets = S.snippets(found.withColumn("_o", F.row_number().over(Window.orderBy(F.desc("preliminary"), "pos"))), 10, order="_o").drop("_o", "scores", "fits")
+    snippets = S.snippets(found, 10, order=[F.desc("preliminary"), "pos"]).drop("scores", "fits")
     limit = min(plan["budget"]["pages"], max(options.max_sources, 1))
-    order = W.fetch_order(found.select(F.lit(0).alias("q"), "pos", "key", "domain", "kind", "preliminary", F.lit(None).cast("double").alias("preferred"), "scores", "fits"), ["q"], limit).drop("q")
+    order = W.fetch_order(found.select(F.lit(0).alias("q"), "pos", "key", "domain", "kind", "preliminary", F.lit(None).cast("double").alias("preferred"), "scores", "fits"), ["q"], limit, len(facets)).drop("q")
     chosen = found.join(F.broadcast(order), "key")  # at most a budget's pages
     texts = G.extract_text(pages.withColumn("_u", U.normalize("url")).join(F.broadcast(chosen.select(F.col("url").alias("_u"))), "_u", "left_semi").dropDuplicates(["_u"]).select("_u", "html"), "_u")
     fetched = chosen.join(texts, chosen["url"] == F.col("_u"), "left").withColumn("failed", F.coalesce("failed", F.lit(True)))
@@ -96,19 +96,50 @@ def research(spark: SparkSession, question: str, results: DataFrame, pages: Data
     sources = cut(sources.join(relevance, "source_id", "left").select("source_id", "position", "url", "title", "domain", F.col("kind").alias("source_type"), "content_hash", F.coalesce("relevance", F.lit(0.0)).alias("relevance"), C.source_quality(F.col("preliminary"), fresh).alias("quality"), F.coalesce(P.matches_authority(F.lit(question), F.col("url")), F.lit(False)).alias("authority")))
     safe = kept.withColumn("injection_reasons", X.injection_reasons("text")).withColumn("risk", X.injection_risk(F.col("injection_reasons"))).filter("risk <> 'high'").withColumn("pid", F.concat_ws(":", "source_id", F.format_string("%06d", "passage")))
     ranked = safe.join(R.rank_facets(cut(safe), named, "pid", heading="heading"), "pid").join(sources.select("source_id", "relevance", "quality", "authority", "position"), "source_id")
-    rows = ranked.select(F.lit(0).alias("q"), F.row_number().over(Window.orderBy(F.desc("score"), "position", "passage")).alias("pos"), "source_id", "heading", "text", "start_offset", "end_offset", F.col("score").alias("passage_score"), F.col("relevance").alias("source_score"), "quality", "authority", "risk")
+    # By score, then position, then passage, as one number; a page has fewer than 10 million passages.
+    place = (F.round((1 - F.col("score")) * 10_000).cast("long") * 1_000 + F.col("position")) * 10_000_000 + F.col("passage")
+    rows = ranked.select(F.lit(0).alias("q"), place.alias("pos"), "source_id", "heading", "text", "start_offset", "end_offset", F.col("score").alias("passage_score"), F.col("relevance").alias("source_score"), "quality", "authority", "risk")
     picked = V.diverse(rows, ["q"], min(plan["budget"]["passages"], max(8, options.max_sources)), facets, question)
     label = F.format_string("ev_%03d", "position")
     evidence = cut(picked.select(label.alias("evidence_id"), "source_id", "heading", "text", "start_offset", "end_offset", F.col("passage_score").alias("relevance"), "risk", F.format_string("[%s, ev_%03d]", "source_id", "position").alias("citation"), F.col("position").alias("pos"), F.lit(0).alias("q")))
     topics = spark.createDataFrame([(0, i, t) for i, t in enumerate(plan["topics"])] or [], "q int, pos int, topic string")
     backed = sources.select(F.lit(0).alias("q"), "source_id", "domain", "relevance", "source_type")
+    missing = V.missing_facets(V.topic_coverage(topics, evidence, ["q"])).drop("q")
     return {
+        "missing": missing,
         "plan": spark.createDataFrame([(question, plan["mode"], plan["queries"], plan["topics"], facets)], "question string, mode string, queries array<string>, topics array<string>, facets array<string>"),
         "search_snippets": snippets, "sources": sources, "evidence": evidence.drop("q"), "failures": V.failure_histogram(failures.withColumn("q", F.lit(0)).withColumn("error", F.lit("page")), ["q"], "stage", "error", "position").drop("q"),
         "coverage": V.coverage_report(topics, evidence, backed, ["q"]).drop("q"), "contradictions": V.contradictions(evidence, ["q"]).drop("q") if plan["mode"] == "deep" else V.contradictions(evidence.limit(0), ["q"]).drop("q"),
     }
 
 
+def research_rounds(spark: SparkSession, question: str, search: Callable[[Sequence[str]], DataFrame], pages: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
+    """research() in as many rounds as the mode's budget allows: each further round searches for the topics that are still without evidence.
+
+    search: from some queries to their results as research() takes them. Later results come after earlier ones. Ends early when nothing is
+    missing or a round brings no new URL. Adds `rounds`: round, query. Per round a handful of topics and queries reach the driver.
+    """
+    options = options or Options()
+    plan = _plan(spark, question, options)
+    queries, asked, results, found = list(plan["queries"])[: plan["budget"]["queries"]], [], None, None
+    for k in range(1, plan["budget"]["rounds"] + 1):
+        more = cut(search(queries).dropDuplicates(["url"]))
+        if results is not None:
+            after = results.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("m")).first().m + 1
+            more = more.withColumn("pos", F.col("pos") + F.lit(after)).join(results.select("url"), "url", "left_anti").select(results.columns)
+        asked += [(k, q) for q in queries]
+        if results is not None and more.isEmpty():
+            break
+        results = more if results is None else cut(results.unionByName(more))
+        found = research(spark, question, results, pages, options)
+        topics = [r.topic for r in found["missing"].orderBy("pos").collect()]
+        if not topics or k == plan["budget"]["rounds"]:
+            break
+        gaps = P.gap_queries(spark.createDataFrame([(0, question, topics)], "id int, original string, topics array<string>"), "id", F.lit(k))
+        queries = [r.query for r in gaps.orderBy("pos").collect()]
+    return found | {"rounds": spark.createDataFrame(asked, "round int, query string")}
+
+
 def read_pages(pages: DataFrame, key: str, question: str | None = None, html: str = "html", most: int = 20) -> DataFrame:
     """(key, rank, heading, text, offsets, score): the best safe passages of every page for a question, else for the page's own title."""
     chunks = G.chunk(G.extract_text(pages, key, html).filter("not failed").select(key, "text"), key).withColumn("passage", F.col("pos"))

@@ -52,12 +52,12 @@ def merge_near(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_results(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Results merged with an earlier one of the same URL, or of the same domain with nearly the same title or snippet.
+    """Results merged with an earlier one of the same URL, whatever its domain, or of the same domain with nearly the same title or snippet.
 
-    rows: by, pos, canonical_url, domain, title, snippet, engines, search_score, normalised and non-null. A group is one question's results under one
-    domain, so it is bounded by the raw results that a question's budget allows.
+    rows: by, pos, canonical_url, domain, title, snippet, engines, search_score, normalised and non-null. A group is one question's results,
+    so it is bounded by the raw results that a question's budget allows (at most 100).
     """
-    return rows.groupBy(*by, "domain").applyInPandas(merge_near, rows.schema)
+    return rows.groupBy(*by).applyInPandas(merge_near, rows.schema)
 
 
 # ---- selection ----
@@ -187,13 +187,18 @@ def required(terms: Column, share: float = 0.60) -> Column:
 def topic_coverage(topics: DataFrame, evidence: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, pos, topic, best, covered): the best evidence for each topic. topics: by, pos, topic; evidence: by, evidence_id, text, risk.
 
-    Topics and evidence meet in their question's row of word arrays; high-risk evidence doesn't count. A topic without words is missing.
+    A question's topics, eight at most, meet each of its records in one row; texts are neither repeated nor gathered. High-risk evidence
+    doesn't count. A topic without words is missing.
     """
-    words = evidence.filter("risk <> 'high'").groupBy(*by).agg(F.collect_list(F.array_distinct(meaningful("text"))).alias("_docs"))
-    rows = topics.join(words, list(by), "left").withColumn("_terms", F.array_distinct(meaningful("topic")))
-    best = F.coalesce(F.array_max(F.transform("_docs", lambda d: coverage(F.col("_terms"), d))), F.lit(0.0))
-    rows = rows.withColumn("best", best).withColumn("covered", F.col("best") >= required(F.col("_terms")))
-    return rows.select(*by, "pos", "topic", F.round("best", 4).alias("best"), "covered")
+    keys = list(by)
+    asked = topics.withColumn("_terms", F.array_distinct(meaningful("topic")))
+    sets = asked.groupBy(*keys).agg(F.collect_list(F.struct("pos", "_terms")).alias("_asked"))
+    words = evidence.filter("risk <> 'high'").select(*keys, F.array_distinct(meaningful("text")).alias("_doc"))
+    met = words.join(sets, keys).select(*keys, F.explode(F.transform("_asked", lambda a: F.struct(a["pos"].alias("pos"), coverage(a["_terms"], F.col("_doc")).alias("share")))).alias("_m"))
+    best = met.groupBy(*keys, F.col("_m.pos").alias("pos")).agg(F.max("_m.share").alias("best"))
+    rows = asked.join(best, [*keys, "pos"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    rows = rows.withColumn("covered", F.col("best") >= required(F.col("_terms")))
+    return rows.select(*keys, "pos", "topic", F.round("best", 4).alias("best"), "covered")
 
 
 def coverage_report(topics: DataFrame, evidence: DataFrame, sources: DataFrame, by: Sequence[str]) -> DataFrame:

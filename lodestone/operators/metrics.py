@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import urls as U
 from lodestone.functions.text import citations
 
+#: The baseline and the three modes that an evaluation runs.
+EVALUATED = ("raw", "quick", "standard", "deep")
 ABSTAIN = r"(?i)\b(?:insufficient|not enough|cannot determine|does not (?:provide|specify|state|identify)|not provided)\b"
 MONTHS = r"(?i)\b(Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\."
 
@@ -77,6 +79,18 @@ def means(runs: DataFrame, by: Sequence[str], measures: Sequence[str], repeat: s
     return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), *(F.round(F.avg(c), 4).alias(c) for m in measures for c in [m]), *(F.round(F.avg(F.when(first, F.col(m))), 4).alias(f"{m}_first") for m in measures), *(F.round(F.avg(F.when(~first, F.col(m))), 4).alias(f"{m}_later") for m in measures))
 
 
+def evaluation(questions: DataFrame, runs: DataFrame, question: str, timeout: float, modes: Sequence[str] = EVALUATED) -> DataFrame:
+    """A row for every question and mode: elapsed, sources, evidence, coverage and error. A run over the timeout counts as an error and gives nothing; so does one that is missing.
+
+    questions meet the few modes in their rows; runs: question, mode, elapsed, sources, evidence, coverage.
+    """
+    rows = questions.select(question, F.explode(F.lit(list(modes))).alias("mode")).join(runs, [question, "mode"], "left")
+    fine = F.coalesce(F.col("elapsed") <= timeout, F.lit(False))
+    given = {c: F.when(fine, F.col(c)).otherwise(F.lit(0)) for c in ("sources", "evidence")}
+    error = F.when(F.col("elapsed").isNull(), "NotRun").when(~fine, "TimeoutError").otherwise("")
+    return rows.withColumns({**given, "coverage": F.when(fine, F.col("coverage")), "error": error}).withColumn("elapsed", F.least("elapsed", F.when(F.col("elapsed").isNotNull(), F.lit(timeout))))
+
+
 def size_audit(rows: DataFrame, by: Sequence[str], size: str, budget: int) -> DataFrame:
     return rows.groupBy(*by).agg(F.median(size).alias("median"), F.max(size).alias("largest"), F.min(size).alias("smallest"), F.count_if(F.col(size) > budget).alias("over"))
 

@@ -68,14 +68,14 @@ def domain_filter(rows: DataFrame, domain: str, include: Sequence[str] = (), exc
     return rows.filter(~fits(exclude)) if exclude else rows
 
 
-def snippets(rows: DataFrame, limit: int = 20, by: Sequence[str] = (), order: str = "pos") -> DataFrame:
+def snippets(rows: DataFrame, limit: int = 20, by: Sequence[str] = (), order: str | Sequence[str | Column] = "pos") -> DataFrame:
     """Numbered, cited and screened snippets, the first `limit` with any text; high-risk ones keep their rank and lose title and text."""
     text, named = X.compact("snippet"), rows.filter((F.trim("snippet") != "") | (F.trim("title") != ""))
     reasons = X.injection_reasons(F.concat(F.col("title"), F.lit("\n"), text))
     named = named.withColumns({"injection_reasons": reasons, "text": text}).withColumn("injection_risk", X.injection_risk(F.col("injection_reasons")))
     high = F.col("injection_risk") == "high"
     named = named.withColumns({"title": F.when(high, QUARANTINED).otherwise(F.col("title")), "text": F.when(high, "").otherwise(F.col("text")), "url": U.redact("url")})
-    named = named.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("_n") <= min(limit, 20))
+    named = named.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order)))).filter(F.col("_n") <= min(limit, 20))
     label = F.format_string("search_%03d", "_n")
     return named.withColumns({"snippet_id": label, "citation": F.concat(F.lit("["), label, F.lit("]"))}).drop("_n", "snippet")
 

@@ -55,13 +55,24 @@ def choose(rows: list[dict], limit: int) -> list[dict]:
     return list(taken.values())
 
 
-def fetch_order(rows: DataFrame, by: Sequence[str], limit: int, candidates: int = 400) -> DataFrame:
-    """(by, key, position). A group is one question's candidates, which its budget of raw results bounds; see choose()."""
-    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("preliminary"), "pos"))).filter(F.col("_k") <= candidates)
+def fetch_order(rows: DataFrame, by: Sequence[str], limit: int, facets: int) -> DataFrame:
+    """(by, key, position): see choose(). rows: by, key, pos, domain, kind, preliminary, preferred, and arrays of `facets` scores and fits.
+
+    A group can have any size: at most `limit` candidates are taken, so of each order in which choose() takes them only the first that many beyond those taken
+    can be reached. Only these rows meet in one task.
+    """
+    over = lambda *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = rows.withColumn("_k", over(F.desc("preliminary"), "pos"))
+    reach = F.col("_k") <= max(10, 3 * limit) + limit
+    for f in range(facets):
+        first = first.withColumn(f"_f{f}", over(F.desc(F.get("fits", F.lit(f))), F.desc(F.get("scores", F.lit(f))), "_k"))
+        reach = reach | (F.col(f"_f{f}") <= 2 * limit + 2)
+    first = first.withColumn("_p", over(F.col("preferred").asc_nulls_last(), "_k"))
+    reach = reach | (F.col("preferred").isNotNull() & (F.col("_p") <= limit))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = choose(pdf.sort_values("_k").to_dict("records"), limit)
         return pd.DataFrame({**{b: [pdf[b].iloc[0]] * len(got) for b in by}, "key": [g["key"] for g in got], "position": range(1, len(got) + 1)})
 
     kinds = dict(rows.dtypes)
-    return first.groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", key string, position int")
+    return first.filter(reach).groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", key string, position int")

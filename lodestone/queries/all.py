@@ -1,3 +1,3 @@
 """Registers every query."""
 
-from . import evidence, planning, ranking, research, results, state  # noqa: F401
+from . import evidence, planning, ranking, research, results, settings, state  # noqa: F401

@@ -106,7 +106,7 @@ SELECT s.pos, 'URL/content classification: ' || kind || '; Pre-fetch query/sourc
 
 
 def near_results(spark, sf_dir):
-    rows = S.normalize(page_results(spark, sf_dir).drop("marked")).withColumn("question", F.col("pos") % 4)
+    rows = S.normalize(page_results(spark, sf_dir).drop("marked")).withColumn("question", F.floor(F.col("pos") / 40))  # a question's raw results
     return V.near_results(rows, ["question"]).select("question", "pos", "url", "title", "snippet", F.array_join("engines", ",").alias("engines"), "search_score")
 
 
@@ -181,12 +181,12 @@ SELECT lang, CAST(position AS INTEGER) AS position, doc_id, source_id, base FROM
 
 
 def contradiction_groups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("pos"), F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(60)), F.lit(" is "), F.col("doc_id") % 3, F.lit(" ms and version "), F.col("doc_id") % 2, F.lit(".5 x")).alias("text"))
+    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("pos"), F.concat(F.coalesce("text", F.lit("")), F.lit(" is "), F.col("doc_id") % 3, F.lit(" ms and version "), F.col("doc_id") % 2, F.lit(".5 x")).alias("text"))
     return V.contradictions(d, ["lang"], limit=None).select("lang", "topic", "unit", F.array_join("evidence_ids", ",").alias("evidence_ids"), "description")
 
 
 register("contradiction_groups", ("A8",), contradiction_groups, rf"""
-WITH d AS (SELECT lang, doc_id, left(coalesce(text, ''), 60) || ' is ' || (doc_id % 3) || ' ms and version ' || (doc_id % 2) || '.5 x' AS text FROM documents),
+WITH d AS (SELECT lang, doc_id, coalesce(text, '') || ' is ' || (doc_id % 3) || ' ms and version ' || (doc_id % 2) || '.5 x' AS text FROM documents),
 w AS (SELECT lang, doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{{2,}}')[1:4], ' ') AS topic, regexp_extract_all(text, '{V.VALUE}', 1) AS nums, regexp_extract_all(text, '{V.VALUE}', 2) AS units FROM d),
 x AS (SELECT lang, doc_id, topic, unnest(nums) AS num, coalesce(lower(unnest(units)), '') AS unit FROM w)
 SELECT lang, topic, unit, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS evidence_ids, 'Conflicting numeric or version values found: ' || array_to_string(list_sort(list(DISTINCT num)), ', ') AS description FROM x GROUP BY lang, topic, unit HAVING count(DISTINCT num) > 1 AND count(DISTINCT doc_id) > 1""")
@@ -237,7 +237,12 @@ def retrieval_attempts(spark, sf_dir):
     return C.retrieval_attempts(e, ["user_id"], "event_id", "useful", 12)
 
 
-register("retrieval_attempts", ("W10",), retrieval_attempts)
+register("retrieval_attempts", ("W10",), retrieval_attempts, """
+WITH RECURSIVE e AS (SELECT * FROM (SELECT user_id, event_id % 3 = 0 AS useful, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p <= 12),
+f AS (SELECT DISTINCT user_id, 0 AS p, 0 AS got, 0 AS rest, 0 AS tried FROM e UNION ALL
+ SELECT f.user_id, f.p + 1, f.got + CASE WHEN opened > 0 AND useful THEN 1 ELSE 0 END, greatest(opened - 1, 0), f.tried + CASE WHEN opened > 0 THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN rest > 0 THEN rest WHEN got < 8 THEN greatest(1, 8 - got) ELSE 0 END AS opened FROM f) f JOIN e ON e.user_id = f.user_id AND e.p = f.p + 1)
+SELECT user_id, tried AS attempts, got AS useful, CAST(p AS INTEGER) AS candidates FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p DESC) = 1""")
 
 
 def fetchable_first(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import api
+from lodestone.functions import text as X
 from lodestone.operators import selection as W
 from lodestone.registry import register
 from lodestone.sources.tables import table
@@ -33,9 +34,25 @@ def read_pages(spark, sf_dir):
 def fetch_selection(spark, sf_dir):
     found = api.candidates(page_results(spark, sf_dir).drop("marked").withColumn("question", F.col("pos") % 5), ["erinant thonor ering", "the and attion"], api.Options())
     rows = found.withColumn("preferred", F.when(F.col("pos") % 40 == 0, F.col("pos").cast("double")))
-    return W.fetch_order(rows, ["question"], 8)
+    return W.fetch_order(rows, ["question"], 8, 2)
 
 
+def research_rounds(spark, sf_dir):
+    """Each query finds the pages that share two of its words."""
+    results = page_results(spark, sf_dir).drop("marked").withColumn("_w", X.meaningful(F.concat_ws(" ", "title", "snippet")))
+
+    def search(queries):
+        hit = F.lit(False)
+        for q in queries:
+            terms = sorted(set(X.meaningful_py(q)))
+            hit = hit | (F.size(F.array_intersect("_w", F.lit(terms) if terms else F.array().cast("array<string>"))) >= 2)
+        return results.filter(hit).drop("_w")
+
+    got = api.research_rounds(spark, QUESTION, search, table(spark, sf_dir, "pages").select("url", "html"))
+    return got["rounds"].crossJoin(F.broadcast(got["coverage"].select("score", "status")))
+
+
+register("research_rounds", ("Q10", "W10", "S1"), research_rounds)
 register("research_evidence", ("S1", "W4", "W5", "R1", "R2", "A7", "Z6"), research_evidence)
 register("research_coverage", ("A6",), research_coverage)
 register("read_pages", ("P3", "H2", "W4"), read_pages)

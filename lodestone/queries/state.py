@@ -68,7 +68,7 @@ def latest_wins_upsert(spark, sf_dir):
     return B.upsert(old, new, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
-register("latest_wins_upsert", ("S12", "Z17"), latest_wins_upsert, "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+register("latest_wins_upsert", ("S12",), latest_wins_upsert, "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 
 
 def namespaced_delete(spark, sf_dir):
@@ -136,7 +136,12 @@ def circuit_breaker(spark, sf_dir):
     return Z.breaker(rows, "domain").select("domain", "id", "transient", "admitted")
 
 
-register("circuit_breaker", ("S7", "X8"), circuit_breaker)
+register("circuit_breaker", ("S7", "X8"), circuit_breaker, f"""
+WITH RECURSIVE e AS (SELECT user_id % 10 AS domain, epoch_us(ts) / 1e6 / 100 AS at, event_id AS id, event_type = 'error' AS transient, row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts) / 1e6 / 100, event_id) AS k FROM events),
+f AS (SELECT domain, id, transient, k, TRUE AS admitted, CASE WHEN transient THEN 1 ELSE 0 END AS failed, 0.0::DOUBLE AS until FROM e WHERE k = 1 UNION ALL
+ SELECT e.domain, e.id, e.transient, e.k, e.at >= f.until, CASE WHEN e.at < f.until THEN f.failed WHEN NOT e.transient OR f.failed + 1 >= {Z.FAILURES} THEN 0 ELSE f.failed + 1 END,
+  CASE WHEN e.at >= f.until AND e.transient AND f.failed + 1 >= {Z.FAILURES} THEN e.at + {Z.OPEN_SECONDS} ELSE f.until END FROM f JOIN e ON e.domain = f.domain AND e.k = f.k + 1)
+SELECT domain, id, transient, admitted FROM f""")
 
 
 def deadline_failures(spark, sf_dir):
@@ -171,15 +176,16 @@ def fingerprints(spark, sf_dir):
     return d.select("conv_id", "turn", Z.fingerprint(F.coalesce("text", F.lit("")), b"a key of this run").alias("fingerprint"))
 
 
-register("fingerprints", ("T14",), fingerprints)
+_PADS = ["".join(rf"\x{b ^ pad:02X}" for b in b"a key of this run".ljust(64, bytes(1))) for pad in (0x36, 0x5C)]
+register("fingerprints", ("T14",), fingerprints, f"SELECT conv_id, turn, left(sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(coalesce(text, ''))))), 16) AS fingerprint FROM conversations WHERE role = 'user'")
 
 
 def cache_keys(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", Z.cache_key(F.lit(G.MAX_BYTES).alias("max_bytes"), F.lit("strict").alias("mode"), F.col("url").alias("url")).alias("key"))
+    return p.select("page_id", Z.cache_key((F.col("page_id") % 2 == 0).alias("browser"), F.lit(G.MAX_BYTES).alias("max_bytes"), F.lit("strict").alias("privacy_mode"), F.col("url").alias("url")).alias("key"))
 
 
-register("cache_keys", ("T13", "Z4"), cache_keys, f"SELECT page_id, sha256('{{\"max_bytes\":{G.MAX_BYTES},\"mode\":\"strict\",\"url\":\"' || url || '\"}}') AS key FROM pages")
+register("cache_keys", ("T13", "Z4"), cache_keys, f"SELECT page_id, sha256('{{\"browser\":' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END || ',\"max_bytes\":{G.MAX_BYTES},\"privacy_mode\":\"strict\",\"url\":\"' || url || '\"}}') AS key FROM pages")
 
 
 # ---- pages ----
@@ -361,13 +367,13 @@ register("answer_metrics", ("A10", "T15", "T16"), answer_metrics)
 
 
 def citation_labels(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.left("text", F.lit(50)), F.format_string(" [src_%03d, ev_%03d] and [search_%03d] [EV%d] [X1]", F.col("doc_id") % 1000, F.col("doc_id") % 7, F.col("doc_id") % 9, F.col("doc_id") % 3)).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.format_string(" [src_%03d, ev_%03d] and [search_%03d] [EV%d] [X1]", F.col("doc_id") % 1000, F.col("doc_id") % 7, F.col("doc_id") % 9, F.col("doc_id") % 3)).alias("t"))
     rows = d.select("doc_id", F.posexplode(X.citations("t")).alias("pos", "label"))
     return rows.select("doc_id", "pos", "label", F.regexp_extract("label", r"^\[([A-Za-z]+)", 1).alias("prefix"), F.regexp_extract("label", r"(\d+)\]$", 1).cast("int").alias("number"))
 
 
 register("citation_labels", ("T16", "Z13", "P7"), citation_labels, r"""
-WITH d AS (SELECT doc_id, left(text, 50) || format(' [src_{:03d}, ev_{:03d}] and [search_{:03d}] [EV{}] [X1]', doc_id % 1000, doc_id % 7, doc_id % 9, doc_id % 3) AS t FROM documents),
+WITH d AS (SELECT doc_id, text || format(' [src_{:03d}, ev_{:03d}] and [search_{:03d}] [EV{}] [X1]', doc_id % 1000, doc_id % 7, doc_id % 9, doc_id % 3) AS t FROM documents),
 l AS (SELECT doc_id, regexp_extract_all(t, '\[(?:src_\d{3}, ev_\d{3}|search_\d{3}|EV\d+|SN\d+|E\d+|S\d+)\]') AS c FROM d), u AS (SELECT doc_id, unnest(c) AS label, unnest(range(len(c))) AS pos FROM l)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, label, regexp_extract(label, '^\[([A-Za-z]+)', 1) AS prefix, CAST(regexp_extract(label, '(\d+)\]$', 1) AS INTEGER) AS number FROM u""")
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +51,51 @@ def sweep(cache: DataFrame, requests: DataFrame, evidence: DataFrame, passages:
     }
 
 
+def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], bool], read: Sequence[str], name: str) -> DataFrame:
+    """rows with a boolean `name`: what `step` says of each row's `read` columns, given the state that the rows before it in its group left.
+
+    One shuffle by group and an external sort; the fold itself holds one state and one batch, however long a group is.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        for b in batches:
+            out = []
+            keys, seen = zip(*(b.column(names.index(c)).to_pylist() for c in by), strict=True), zip(*(b.column(names.index(c)).to_pylist() for c in read), strict=True)
+            for key, x in zip(keys, seen, strict=True):
+                if key != last:
+                    last, state = key, start()
+                out.append(step(state, x))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], [*names, name])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, f"{schema}, `{name}` boolean")
+
+
 def suppressed(calls: DataFrame, by: Sequence[str], at: str, seconds: int = COOLDOWN, order: str | None = None) -> DataFrame:
-    """calls with `accepted`: false within `seconds` of the last accepted call of the caller.
+    """calls with `accepted`: false within `seconds` of the last accepted call of the caller. A chain over accepted calls, folded in order of time."""
+    rows = calls.withColumn("_e", F.unix_micros(F.col(at).cast("timestamp")))
 
-    A chain over accepted calls, so a caller's calls are folded in order of time, day by day: a gap of more than the cooldown starts a
-    chain anew, and only calls of one run without such a gap are folded together.
+    def step(state: list, x: tuple) -> bool:
+        fine = not state or x[0] - state[0] >= seconds * 1_000_000
+        if fine:
+            state[:] = x
+        return fine
+
+    return folded(rows, by, ["_e", order or at], list, step, ["_e"], "accepted").drop("_e")
+
+
+def paced(calls: DataFrame, by: Sequence[str], at: str, took: str, interval_ms: int, order: str) -> DataFrame:
+    """calls with `waited` (microseconds): calls of a caller run one after another, each `interval_ms` after the one before has ended. took: milliseconds.
+
+    A call starts at the latest of all moments at which the calls up to it, run without a pause, would let it: a running maximum, no fold.
     """
-    order = order or at
-    w = Window.partitionBy(*by).orderBy(at, order)
-    epoch = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = calls.withColumn("_e", epoch).withColumn("_new", F.coalesce(F.col("_e") - F.lag("_e").over(w) >= seconds * 1_000_000, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    runs = rows.groupBy(*by, "_run").agg(F.array_sort(F.collect_list(F.struct("_e", order))).alias("_c"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(calls.dtypes)[order]}>").alias("ok"))
-    step = lambda s, x: F.when(s["last"].isNull() | (x["_e"] - s["last"] >= seconds * 1_000_000), F.struct(x["_e"].alias("last"), F.concat(s["ok"], F.array(x[order])).alias("ok"))).otherwise(s)
-    kept = runs.select(*by, "_run", F.aggregate("_c", start, step)["ok"].alias("_ok"))
-    return rows.join(kept, [*by, "_run"]).withColumn("accepted", F.array_contains("_ok", F.col(order))).drop("_e", "_new", "_run", "_ok")
+    w = Window.partitionBy(*by).orderBy("_e", order)
+    rows = calls.withColumn("_e", F.unix_micros(F.col(at).cast("timestamp")))
+    rows = rows.withColumn("_b", F.coalesce(F.sum((F.col(took) + interval_ms) * 1000).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    start = F.col("_b") + F.max(F.col("_e") - F.col("_b")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("waited", start - F.col("_e")).drop("_e", "_b")
 
 
 def soon_after(calls: DataFrame, by: Sequence[str], at: str, seconds: int = COOLDOWN) -> DataFrame:
@@ -95,13 +127,7 @@ def _run_breaker(b: Breaker, pdf: pd.DataFrame) -> list[bool]:
 
 def breaker(requests: DataFrame, domain: str) -> DataFrame:
     """requests (domain, at seconds, id, transient) with `admitted`, folded in order of time within each domain."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable")
-        return pdf.assign(admitted=_run_breaker(Breaker(), pdf))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in requests.dtypes)
-    return requests.groupBy(domain).applyInPandas(run, f"{schema}, admitted boolean")
+    return folded(requests, [domain], ["at", "id"], Breaker, lambda b, x: b.admit(x[0], bool(x[1])), ["at", "transient"], "admitted")
 
 
 def breaker_stream(requests: DataFrame, domain: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from lodestone import registry
 from tests.compare import same
 
-SLOW = {"research_evidence", "research_coverage"}
+SLOW = {"research_evidence", "research_coverage", "research_rounds"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -43,3 +43,23 @@ def test_research(spark, sf_dir):
         api.Options(max_sources=99)
     with pytest.raises(ValueError):
         api.clear(got["evidence"], ["x"], confirm=False)
+
+
+def test_research_in_rounds(spark, sf_dir):
+    """Later rounds ask for what is missing, bring results that the first had not, and end when they bring none."""
+    from lodestone import api
+    from lodestone.queries.results import page_results
+
+    every, pages, calls = page_results(spark, sf_dir).drop("marked").cache(), spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html"), []
+
+    def search(queries):
+        calls.append(list(queries))
+        return every.filter(f"pos % 7 = {min(len(calls), 3)}")
+
+    got = api.research_rounds(spark, "erinant thonor ering; what about zzyzx quux", search, pages, api.Options(mode="deep"))
+    rounds = [(r["round"], r.query) for r in got["rounds"].collect()]
+    assert [[q for k, q in rounds if k == i] for i in range(1, len(calls) + 1)] == calls
+    assert 3 <= len(calls) <= 4  # the third and fourth search find the same
+    topics = [r.topic for r in got["missing"].collect()]
+    assert any("zzyzx" in t for t in topics) and all(any(t in q for q in calls[-1]) for t in topics)
+    assert api.research_rounds(spark, "erinant thonor ering", search, pages, api.Options(mode="quick"))["rounds"].agg({"round": "max"}).first()[0] == 1
