@@ -49,9 +49,22 @@ def normalize_text(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+_INNER = r"\p{L}\p{N}_+#"
+#: Texts that one pass cannot take apart: camel case, dots inside a word, letters whose lower case depends on others or would part or lengthen a word.
+_COMPOUND = rf"[a-z0-9][A-Z]|[{_INNER}][.-]*\.[.-]*[{_INNER}]|[İΣ]|(?<![{_INNER}])[ßẞ](?![{_INNER}])"
+
+
 def tokens(c: str | Column) -> Column:
-    """Lower-cased words of two signs or more; dotted and camel-case names with letters come in parts if they have two or more."""
-    raw = F.transform(F.regexp_extract_all(col(c), F.lit(r"([\p{L}\p{N}_+#.-]{2,})"), F.lit(1)), lambda t: F.btrim(t, F.lit(".-")))
+    """Lower-cased words of two signs or more; dotted and camel-case names with letters come in parts if they have two or more.
+
+    Most texts have no such name: one pass over the folded text gives their words.
+    """
+    plain = lambda t: F.regexp_extract_all(casefold(t), F.lit(rf"([{_INNER}][{_INNER}-]*[{_INNER}])"), F.lit(1))
+    return bind(col(c), lambda t: F.when(t.rlike(_COMPOUND), _compound_tokens(t)).otherwise(plain(t)))
+
+
+def _compound_tokens(c: Column) -> Column:
+    raw = F.transform(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_+#.-]{2,})"), F.lit(1)), lambda t: F.btrim(t, F.lit(".-")))
 
     def parts(t):
         own = F.regexp_extract_all(F.regexp_replace(F.translate(t, ".", " "), r"(?<=[a-z0-9])(?=[A-Z])", " "), F.lit(r"([\p{L}\p{N}_+#-]{2,})"), F.lit(1))
@@ -80,9 +93,14 @@ def inflection(t: Column) -> Column:
     )
 
 
+def carrying(words: Column) -> Column:
+    """tokens() without stop words."""
+    return F.filter(words, lambda t: ~t.isin(STOP))
+
+
 def meaningful(c: str | Column) -> Column:
     """tokens() without stop words, inflection taken off; order and repeats stay."""
-    return F.transform(F.filter(tokens(c), lambda t: ~t.isin(STOP)), inflection)
+    return F.transform(carrying(tokens(c)), inflection)
 
 
 def bigrams(words: str | Column) -> Column:

@@ -1,7 +1,7 @@
 """Lexical ranking of passages against questions.
 
-A passage's tokens never leave its row: each question's terms, known when the plan is made, are counted in place, so the
-only exchanges are those of document frequencies (a row per question and group) and of the scores themselves.
+A passage's tokens never leave its row: each question's terms, known when the plan is made, are counted in place. One narrow row per
+passage is written; document frequencies are one row per group, and scores are made from both on the fly.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import bigrams_py, bind, casefold, meaningful, meaningful_py
+from lodestone.functions.text import bigrams_py, bind, carrying, casefold, inflection, meaningful, meaningful_py, tokens
 from lodestone.plans.lineage import cut
 
 # Saturation, length share and the weights of the bonuses.
@@ -20,8 +20,13 @@ PHRASE, HEADING, BIGRAM, COVERAGE, PROXIMITY = 1.5, 0.4, 1.1, 0.9, 0.8
 
 
 def met(words: Column, terms: Sequence[str]) -> Column:
-    """array<struct<t, p>>: the words that are among the terms, with their positions."""
-    return F.filter(F.transform(words, lambda t, i: F.struct(t.alias("t"), i.alias("p"))), lambda x: x["t"].isin(*terms))
+    """array<struct<t, p>>: the words (of carrying()) that are forms of the terms, as terms, with their positions.
+
+    Inflection leaves the first three signs alone, so only words that begin like a term are looked at closer.
+    """
+    begins = sorted({t[:3] for t in terms})
+    near = F.filter(F.transform(words, lambda t, i: F.when(F.left(t, F.lit(3)).isin(*begins), F.struct(t.alias("t"), i.alias("p")))), lambda x: x.isNotNull())
+    return F.filter(F.transform(near, lambda x: F.struct(inflection(x["t"]).alias("t"), x["p"].alias("p"))), lambda x: x["t"].isin(*terms))
 
 
 def _gap(found: Column) -> Column:
@@ -30,17 +35,18 @@ def _gap(found: Column) -> Column:
 
 
 def min_gap(words: str | Column, terms: Sequence[str]) -> Column:
-    """Least distance between two different terms; the nearest such pair is always adjacent among the matches. Null without one."""
-    return _gap(met(F.col(words) if isinstance(words, str) else words, terms))
+    """Least distance between two different terms among words (of meaningful()); the nearest such pair is always adjacent among the matches. Null without one."""
+    own = F.col(words) if isinstance(words, str) else words
+    return _gap(F.filter(F.transform(own, lambda t, i: F.struct(t.alias("t"), i.alias("p"))), lambda x: x["t"].isin(*terms)))
 
 
 def _asked(questions: dict[str, str]) -> Column:
-    """The questions as one literal: array<struct<id, folded, terms, pairs>>, so that a plan doesn't grow with their number."""
+    """The questions as one literal: array<struct<folded, terms, pairs>>, so that a plan doesn't grow with their number."""
     rows = []
-    for name, q in questions.items():
+    for q in questions.values():
         sequence = meaningful_py(q)
         strings = lambda xs: F.lit(xs) if xs else F.array().cast("array<string>")
-        rows.append(F.struct(F.lit(name).alias("id"), F.lit(q.lower().replace("ß", "ss")).alias("folded"), strings(list(dict.fromkeys(sequence))).alias("terms"), strings(bigrams_py(sequence)).alias("pairs")))
+        rows.append(F.struct(F.lit(q.lower().replace("ß", "ss")).alias("folded"), strings(list(dict.fromkeys(sequence))).alias("terms"), strings(bigrams_py(sequence)).alias("pairs")))
     return F.array(*rows)
 
 
@@ -58,7 +64,7 @@ def _matches(q: Column, row: Column) -> Column:
             F.when(F.contains(row["folded"], q["folded"]), F.lit(PHRASE)).otherwise(F.lit(0.0)) + F.lit(HEADING) * F.size(F.array_intersect(q["terms"], row["title"])) + F.lit(COVERAGE) * F.pow(share, 2)
             + close + F.lit(BIGRAM) * F.size(F.array_intersect(q["pairs"], near)) / F.greatest(F.lit(1), F.size(q["pairs"]))
         )
-        return F.struct(row["n"].alias("n"), q["id"].alias("question_id"), counts.alias("tf"), bonus.alias("bonus"))
+        return F.struct(counts.alias("tf"), bonus.alias("bonus"))
 
     return bind(F.filter(row["found"], lambda x: F.array_contains(q["terms"], x["t"])), view)
 
@@ -73,17 +79,20 @@ def rank(passages: DataFrame, questions: dict[str, str], key: str, text: str = "
     terms = sorted({t for q in questions.values() for t in meaningful_py(q)}) or [""]
     most = max([len(set(meaningful_py(q))) for q in questions.values()] + [1])
     # Each level is bound by a lambda, so that a passage is taken apart once, whatever number of questions read it.
-    parts = F.transform(F.array(meaningful(F.concat_ws(" ", title, body))), lambda w: F.struct(F.size(w).alias("n"), met(w, terms).alias("found"), (meaningful(title) if heading else F.array().cast("array<string>")).alias("title"), casefold(body).alias("folded")))
-    views = F.flatten(F.transform(parts, lambda r: F.transform(_asked(questions), lambda q: _matches(q, r))))
-    rows = cut(passages.select(*by, key, F.explode(views).alias("v")).select(*by, key, "v.*"))
-    group = [*by, "question_id"]
-    stats = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n"), F.array(*(F.sum((F.get("tf", F.lit(i)) > 0).cast("int")) for i in range(most))).alias("df"))
-    # Without groups, stats has one row per question of the call.
-    rows = rows.join(stats if by else F.broadcast(stats), group)
+    parts = F.transform(F.array(carrying(tokens(F.concat_ws(" ", title, body)))), lambda w: F.struct(F.size(w).alias("n"), met(w, terms).alias("found"), (meaningful(title) if heading else F.array().cast("array<string>")).alias("title"), casefold(body).alias("folded")))
+    views = F.transform(parts, lambda r: F.struct(r["n"].alias("n"), F.transform(_asked(questions), lambda q: _matches(q, r)).alias("v")))
+    rows = cut(passages.select(*by, key, F.get(views, F.lit(0)).alias("p")).select(*by, key, "p.*"))
+    count = lambda q, t: F.sum((F.get(F.get("v", F.lit(q))["tf"], F.lit(t)) > 0).cast("int"))
+    stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n"), F.array(*(F.array(*(count(q, t) for t in range(most))) for q in range(len(questions)))).alias("df"))
+    # Without groups, stats is one row.
+    rows = (rows.join(stats, list(by)) if by else rows.crossJoin(F.broadcast(stats))).select(*by, key, "n", "docs", "avg_n", "df", F.posexplode("v").alias("q", "m")).withColumn("df", F.get("df", F.col("q")))
     term = lambda tf, i: F.when(tf > 0, F.log(1 + (F.col("docs") - F.get("df", i) + 0.5) / (F.get("df", i) + 0.5)) * tf * 2.2 / (tf + K1 * ((1 - B) + B * F.col("n") / F.greatest(F.lit(1.0), F.col("avg_n"))))).otherwise(F.lit(0.0))
-    raw = F.aggregate(F.transform("tf", term), F.lit(0.0), lambda a, x: a + x) + F.col("bonus")
-    share = F.when(F.size("tf") > 0, F.size(F.filter("tf", lambda x: x > 0)) / F.size("tf")).otherwise(F.lit(0.0))
-    rows = cut(rows.select(*group, key, raw.alias("raw"), share.alias("coverage")))
+    tf = F.col("m.tf")
+    raw = F.aggregate(F.transform(tf, term), F.lit(0.0), lambda a, x: a + x) + F.col("m.bonus")
+    share = F.when(F.size(tf) > 0, F.size(F.filter(tf, lambda x: x > 0)) / F.size(tf)).otherwise(F.lit(0.0))
+    group, some = [*by, "question_id"], F.exists(tf, lambda x: x > 0) | (F.col("m.bonus") != 0)
+    # A passage without a match costs no arithmetic.
+    rows = rows.select(*by, F.get(F.lit(list(questions)), F.col("q")).alias("question_id"), key, F.when(some, raw).otherwise(F.lit(0.0)).alias("raw"), F.when(some, share).otherwise(F.lit(0.0)).alias("coverage"))
     best = rows.groupBy(*group).agg(F.max("raw").alias("best"))
     rows = rows.join(best if by else F.broadcast(best), group)
     score = F.round(F.least(F.lit(1.0), F.col("raw") / F.when(F.col("best") == 0, F.lit(1.0)).otherwise(F.col("best"))), 4)

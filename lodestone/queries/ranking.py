@@ -75,7 +75,8 @@ SELECT doc_id, round(least(1.0, s / (CASE WHEN max(s) OVER () = 0 THEN 1.0 ELSE
 
 
 def tokenize_counts(spark, sf_dir):
-    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"), T.meaningful(F.coalesce("text", F.lit(""))).alias("m"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.withColumn("m", F.transform(T.carrying(F.col("t")), T.inflection))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.size("m").alias("n_meaningful"), F.size(F.array_distinct("m")).alias("n_terms"), F.size(T.bigrams("m")).alias("n_bigrams"), F.md5(F.array_join("m", " ").cast("binary")).alias("digest"))
 
 

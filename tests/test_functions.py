@@ -145,3 +145,14 @@ def test_addresses_against_pythons_rules(spark):
     broken = ["http://[::1", "http://[1:2]/", "http://[1::2::3]/", "http://[12345::]/", "http://::1]/"]
     rows = spark.createDataFrame([(u,) for u in broken], "v string").select("v", U.unsafe_reason("v").alias("r")).collect()
     assert all(r.r for r in rows), rows
+
+
+def test_plain_texts_are_taken_apart_alike(spark):
+    """The pass over folded text against the general rules, over texts of every kind of sign."""
+    rng = random.Random(13)
+    bits = ["ab", "a", "Ab", "aB", "ß", "Straße", "ẞ", ".", "-", "..", " ", "\n", "+", "#", "_", "1", "é", "É", "İ", "Σ", "中文", "'", "ǅ", "9Z", "x.y", "--flag", "C++"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    rows = df.select("v", X.tokens("v").alias("a"), X._compound_tokens(F.col("v")).alias("b")).collect()
+    assert [r.v for r in rows if r.a != r.b] == []
+    assert df.filter(~F.col("v").rlike(X._COMPOUND)).count() > 500
