@@ -59,8 +59,9 @@ def candidates(results: DataFrame, facets: Sequence[str], options: Options) -> D
     """
     rows = S.domain_filter(S.normalize(results).filter(U.unsafe_reason("url").isNull()), "domain", options.include, options.exclude)
     rows = V.near_results(cut(rows), ["question"]) if "question" in rows.columns else V.near_results(cut(rows.withColumn("question", F.lit(0))), ["question"]).drop("question")
-    score = lambda f: C.result_score(F.lit(f), F.col("title"), F.col("snippet"), F.col("url"), F.col("search_score"), F.col("engines"))
-    rows = rows.withColumn("scores", F.array(*(score(f) for f in facets)))
+    subjects = rows.sparkSession.createDataFrame([(list(facets),)], "_f array<string>").select(F.transform("_f", P.subject).alias("_subjects"))
+    score = lambda i, f: C.result_score(F.lit(f), F.col("title"), F.col("snippet"), F.col("url"), F.col("search_score"), F.col("engines"), F.get("_subjects", F.lit(i)))
+    rows = rows.crossJoin(F.broadcast(subjects)).withColumn("scores", F.array(*(score(i, f) for i, f in enumerate(facets)))).drop("_subjects")  # one row, of a question's facets
     hay = X.meaningful(F.concat_ws(" ", "title", "snippet"))
     fits = F.array(*(F.size(F.array_intersect(F.lit(t), hay)) >= min(2, len(t)) if (t := list(dict.fromkeys(X.meaningful_py(f)))) else F.lit(True) for f in facets))
     return rows.withColumns({"fits": fits, "preliminary": F.array_max("scores"), "kind": U.source_type("url"), "key": F.coalesce(F.nullif(F.col("canonical_url"), F.lit("")), F.col("url"))})

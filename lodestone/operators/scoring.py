@@ -23,8 +23,11 @@ def expanded(terms: Column) -> Column:
     return F.array_distinct(F.concat(terms, *extra))
 
 
-def result_score(question: Column, title: Column, snippet: Column, url: Column, search_score: Column, engines: Column) -> Column:
-    """0 to 1: overlap, backend score, anchors, engine agreement and kind of source, less penalties; four digits."""
+def result_score(question: Column, title: Column, snippet: Column, url: Column, search_score: Column, engines: Column, subject: Column | None = None) -> Column:
+    """0 to 1: overlap, backend score, anchors, engine agreement and kind of source, less penalties; four digits.
+
+    subject: P.subject(question), where rows share a question and it has been made once for all of them.
+    """
 
     def score(r: Column) -> Column:
         overlap = F.greatest(coverage(r["terms"], r["hay"]), coverage(expanded(r["terms"]), r["hay"]))
@@ -36,14 +39,13 @@ def result_score(question: Column, title: Column, snippet: Column, url: Column,
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4)
 
     words = meaningful(F.concat_ws(" ", title, snippet, U.host(url), F.translate(U.path(url), "/", " ")))
-    anchors = P.anchors(question)
-    return bind(
-        F.struct(
-            F.array_distinct(meaningful(question)).alias("terms"), F.array_distinct(words).alias("hay"), anchors.alias("anchors"), P.anchor_coverage(anchors, F.concat_ws(" ", title, snippet, url)).alias("found"),
-            F.coalesce(P.matches_authority(question, url), F.lit(False)).alias("authority"), U.source_type(url).alias("kind"),
-        ),
-        score,
+    view = lambda s: F.struct(
+        s["terms"].alias("terms"), F.array_distinct(words).alias("hay"), s["anchors"].alias("anchors"), P.anchor_coverage(s["anchors"], F.concat_ws(" ", title, snippet, url)).alias("found"),
+        F.coalesce(P.within_authority(s, url), F.lit(False)).alias("authority"), U.source_type(url).alias("kind"),
     )
+    if subject is not None:
+        return bind(view(subject), score)
+    return bind(P.subject(question), lambda s: bind(view(s), score))
 
 
 def freshness(published: Column, now: Column, time_sensitive: Column) -> Column:

@@ -178,18 +178,29 @@ def authority_domains(q: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(hosts, *(F.when(c, F.lit(d)).otherwise(none) for c, d in rules))))
 
 
-def matches_authority(q: Column, url: Column) -> Column:
-    """The URL belongs to a preferred domain, or to a repository that the question names."""
+def subject(q: Column) -> Column:
+    """What scores need of a question, as struct<terms, anchors, domains, repositories, sdk>: made once per question, however many results are scored by it."""
+    sdk = sdk_path(q).isNotNull()
+    repos = F.concat(repositories(q), F.when(sdk, F.array(F.lit("modelcontextprotocol/python-sdk"))).otherwise(F.array().cast("array<string>")))
+    return F.struct(F.array_distinct(meaningful(q)).alias("terms"), anchors(q).alias("anchors"), authority_domains(q).alias("domains"), F.transform(repos, casefold).alias("repositories"), sdk.alias("sdk"))
+
+
+def within_authority(s: Column, url: Column) -> Column:
+    """The URL belongs to a preferred domain of the subject s, or to a repository that it names."""
     h, path = U.host(url), F.concat(F.lit("/"), F.btrim(casefold(U.path(url)), F.lit("/")))
-    repos = F.concat(repositories(q), F.when(sdk_path(q).isNotNull(), F.array(F.lit("modelcontextprotocol/python-sdk"))).otherwise(F.array().cast("array<string>")))
-    within = F.exists(repos, lambda r: (path == F.concat(F.lit("/"), casefold(r))) | path.startswith(F.concat(F.lit("/"), casefold(r), F.lit("/"))))
+    within = F.exists(s["repositories"], lambda r: (path == F.concat(F.lit("/"), r)) | path.startswith(F.concat(F.lit("/"), r, F.lit("/"))))
     return (
-        F.when(h == "raw.githubusercontent.com", sdk_path(q).isNotNull() & casefold(U.path(url)).startswith("/modelcontextprotocol/python-sdk/"))
+        F.when(h == "raw.githubusercontent.com", s["sdk"] & casefold(U.path(url)).startswith("/modelcontextprotocol/python-sdk/"))
         .when(h.isin("github.com", "www.github.com"), within)
-        .otherwise(F.exists(authority_domains(q), lambda d: U.under(h, d)))
+        .otherwise(F.exists(s["domains"], lambda d: U.under(h, d)))
     )
 
 
+def matches_authority(q: Column, url: Column) -> Column:
+    """The URL belongs to a preferred domain, or to a repository that the question names."""
+    return bind(subject(q), lambda s: within_authority(s, url))
+
+
 def authority_variant(q: Column) -> Column:
     """One search restricted to a primary source; null without a rule."""
     n, path = casefold(q), sdk_path(q)

@@ -10,6 +10,7 @@ from lodestone.operators import evidence as V
 from lodestone.operators import rank as R
 from lodestone.operators import results as S
 from lodestone.operators import scoring as C
+from lodestone.plans import questions as P
 from lodestone.registry import register
 from lodestone.sources.tables import table
 
@@ -23,9 +24,10 @@ NOW = "2026-01-01 00:00:00"
 
 
 def _scored(spark, sf_dir):
-    rows = page_results(spark, sf_dir).withColumn("question", F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(k).alias("id"), F.lit(v).alias("text")) for i, (k, v) in enumerate(PLAIN.items())))))
-    score = C.result_score(F.col("question.text"), F.col("title"), F.col("snippet"), F.col("url"), F.col("search_score"), F.col("engines"))
-    return rows.select("pos", F.col("question.id").alias("question_id"), F.col("question.pos").alias("facet"), F.col("question.text").alias("question"), "url", "title", "snippet", "engines", score.alias("score"))
+    asked = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(PLAIN.items())], "facet int, question_id string, question string").withColumn("subject", P.subject(F.col("question")))
+    rows = page_results(spark, sf_dir).crossJoin(F.broadcast(asked))  # the call's questions
+    score = C.result_score(F.col("question"), F.col("title"), F.col("snippet"), F.col("url"), F.col("search_score"), F.col("engines"), F.col("subject"))
+    return rows.select("pos", "question_id", "facet", "question", "url", "title", "snippet", "engines", score.alias("score"))
 
 
 _SCORED = f"""{RESULTS},
