@@ -19,6 +19,8 @@ from .common import table
 
 #: Least coefficient, and the templates (fixed values: public notices).
 LEAST = 0.8
+#: Words of everyday English, which tell little of a licence.
+COMMON = frozenset("a all and any are as at be but by for from has have if in is it its may no not of on or other so such that the this to under use was which will with without you your".split())
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-file": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -82,9 +84,9 @@ def size_bounds(n: int, least: float = LEAST) -> tuple[int, int]:
 
 
 def telling(words: list[str], least: float = LEAST) -> list[str]:
-    """Words of a template of which every unit that reaches the coefficient has one: the longest, until they touch all bigrams but those that a unit needs."""
+    """Words of a template of which every unit that reaches the coefficient has one: uncommon and long ones first, until they touch all bigrams but those that a unit needs."""
     n, chosen, touched = len(words) - 1, [], set()
-    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+    for w in sorted(set(words), key=lambda w: (w in COMMON, -len(w), w)):
         if n - len(touched) < size_bounds(n, least)[0]:
             break
         chosen.append(w)
@@ -92,6 +94,17 @@ def telling(words: list[str], least: float = LEAST) -> list[str]:
     return sorted(chosen)
 
 
+def needed(words: list[str], least: float = LEAST) -> int:
+    """How many different words of a template every unit that reaches the coefficient has: each bigram that it shares takes two, and a word is in so many bigrams at most."""
+    n = len(words) - 1
+    left, count = 2 * size_bounds(n, least)[0], 0
+    for t in sorted((sum((i > 0) + (i < n) for i, x in enumerate(words) if x == w) for w in set(words)), reverse=True):
+        if left <= 0:
+            break
+        left, count = left - t, count + 1
+    return count
+
+
 def grams(words: Column) -> Column:
     return F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.concat(F.get(words, i), F.lit(" "), x))
 
@@ -101,9 +114,11 @@ def bags(text: Column, low: int, high: int) -> Column:
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
     # Runs of other characters became one blank, so trimmed lines, and filled lines joined by blanks, have one blank fewer than words.
     lines = F.filter(F.transform(F.split(plain, "\n"), lambda u: F.trim(u)), lambda u: u != "")
-    units = F.concat(lines, F.when(F.size(lines) > 1, F.array(F.array_join(lines, " "))).otherwise(F.array().cast("array<string>")))
+    whole = lambda x: F.concat(x, F.when(F.size(x) > 1, F.array(F.array_join(x, " "))).otherwise(F.array().cast("array<string>")))
+    units = F.get(F.transform(F.array(lines), whole), F.lit(0))  # an array of one binds the lines
     blanks = lambda u: F.length(u) - F.length(F.translate(u, " ", ""))
-    return F.transform(F.filter(units, lambda u: blanks(u).between(low, high)), lambda u: grams(F.split(u, " ")))
+    split = F.transform(F.filter(units, lambda u: blanks(u).between(low, high)), lambda u: F.split(u, " "))
+    return F.transform(split, grams)
 
 
 def windows(all_grams: Column, template: Counter, least: float = LEAST) -> Column:
@@ -143,18 +158,27 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     signs = {k: telling(w, least) for k, w in spelt.items()}
     own = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(F.regexp_replace(F.lower(own), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text"), words.alias("words"))
-    rows = rows.withColumn("may", F.arrays_overlap("words", F.lit(sorted({w for x in signs.values() for w in x}))))
-    none = F.array().cast("array<array<string>>")
-    units = bags(F.col("text"), min(s[0] for s in sized.values()), max(s[1] for s in sized.values()))
-    rows = rows.select("doc_id", F.when(F.col("may"), F.col("words")).alias("words"), F.when(F.col("may"), units).otherwise(none).alias("bags"), F.when(F.col("may"), grams(F.col("words"))).alias("grams"))
-
-    def best(k):
-        fits = F.concat(F.filter("bags", lambda b: F.size(b).between(*sized[k])), windows(F.col("grams"), known[k], least))
-        return F.when(F.arrays_overlap("words", F.lit(signs[k])), F.array_max(F.transform(fits, lambda b: coefficient(b, known[k]))))
-
-    found = F.filter(F.array(*(F.struct(F.lit(k).alias("license"), F.round(best(k), 6).alias("score")) for k in known)), lambda x: x["score"] >= F.lit(least - 1e-9))
-    rows = rows.select("doc_id", found.alias("found"))
+    empty = F.array().cast("array<struct<license: string, score: double>>")
+    every = sorted({w for x in signs.values() for w in x})
+    # Lambdas bind what is used more than once, whatever the optimizer does with the columns. Most texts have none of the telling words; of
+    # those that have, most lack some of those that a template needs.
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    enough = lambda w, k: F.arrays_overlap(w, F.lit(signs[k])) & (F.size(F.array_intersect(w, F.lit(sorted(set(spelt[k]))))) >= needed(spelt[k], least))
+
+    def best(r, i, k):
+        fits = F.concat(F.filter(r["bags"], lambda b: F.size(b).between(*sized[k])), windows(r["grams"], known[k], least))
+        return F.when(F.get(r["may"], F.lit(i)), F.array_max(F.transform(fits, lambda b: coefficient(b, known[k]))))
+
+    def scored(r):
+        rows = F.array(*(F.struct(F.lit(k).alias("license"), F.round(best(r, i, k), 6).alias("score")) for i, k in enumerate(known)))
+        return F.filter(rows, lambda x: x["score"] >= F.lit(least - 1e-9))
+
+    def compared(w, may):
+        units = bags(own, min(s[0] for s in sized.values()), max(s[1] for s in sized.values()))
+        return F.when(F.exists(may, lambda x: x), bind(F.struct(units.alias("bags"), grams(w).alias("grams"), may.alias("may")), scored)).otherwise(empty)
+
+    found = bind(words, lambda w: F.when(F.arrays_overlap(w, F.lit(every)), bind(F.array(*(enough(w, k) for k in known)), lambda may: compared(w, may))).otherwise(empty))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), found.alias("found"))
     score = F.array_max(F.transform("found", lambda x: x["score"]))
     return rows.select("doc_id", F.get(F.filter("found", lambda x: x["score"] == score), F.lit(0))["license"].alias("license"), score.alias("score"), "found")
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 from lodestone.llm import licences as L
@@ -75,6 +76,22 @@ def test_telling_words_lose_nothing():
         assert 2 * left / (left + n) < L.LEAST, k  # all that a unit without these words could share
 
 
+def test_needed_words_lose_nothing():
+    """No set of fewer words of a template lets a unit share enough bigrams: over all sets of short templates, and the best found of long ones."""
+    for k, t in L.TEMPLATES.items():
+        words = L.words_of(t)
+        n, count = len(words) - 1, L.needed(words)
+        shared = lambda some, words=words: sum({a, b} <= some for a, b in zip(words, words[1:], strict=False))
+        vocabulary, low = sorted(set(words)), L.size_bounds(n)[0]
+        if len(vocabulary) <= 14:
+            assert all(shared(set(c)) < low for c in itertools.combinations(vocabulary, count - 1)), k
+        else:
+            some = set(vocabulary)
+            while len(some) >= count:
+                some.discard(max(sorted(some), key=lambda w: shared(some - {w})))
+            assert shared(some) < low, k
+
+
 def test_size_bounds_are_tight():
     for n in (1, 2, 5, 12):
         low, high = L.size_bounds(n)
