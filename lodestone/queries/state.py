@@ -195,7 +195,22 @@ def page_text(spark, sf_dir):
     return G.extract_text(texts(spark, sf_dir, "pages", "page_id", "html"), "page_id")
 
 
-register("page_text", ("H1", "H2", "H4", "F7", "S6"), page_text)
+def _shown(x: str) -> str:
+    """The text that is shown of markup x without nested hidden elements, in SQL."""
+    for tag in sorted(G.DROPPED):
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', '', 'g')"
+    x = rf'''regexp_replace({x}, '(?is)<([a-z0-9]+)\b[^>]*\sclass="[^"]*\b(?:cookie|advertisement|ads|sidebar)\b[^"]*"[^>]*>.*?</[a-z0-9]+>', '', 'g')'''
+    x = rf"regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), '(?i)</?(?:{'|'.join(sorted(G.BLOCKS))})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{sign}')"
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+register("page_text", ("H1", "H2", "H4", "F7", "S6"), page_text, rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), b AS (SELECT page_id, regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1) AS m, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS a, regexp_extract(html, '(?is)<body\b[^>]*>(.*?)</body>', 1) AS b, regexp_replace(html, '(?is)<head\b.*?</head>', '') AS w FROM p),
+s AS (SELECT page_id, {_shown('m')} AS m, {_shown('a')} AS a, {_shown('b')} AS b, {_shown('w')} AS w FROM b),
+t AS (SELECT page_id, CASE WHEN length(m) >= {G.LEAST_MAIN} THEN 'main' WHEN length(a) >= {G.LEAST_MAIN} THEN 'article' WHEN length(b) >= {G.LEAST_MAIN} THEN 'body' ELSE 'readable' END AS method, m, a, b, w FROM s)
+SELECT page_id, CASE method WHEN 'main' THEN m WHEN 'article' THEN a WHEN 'body' THEN b ELSE w END AS text, method, length(CASE method WHEN 'main' THEN m WHEN 'article' THEN a WHEN 'body' THEN b ELSE w END) < {G.LEAST_TEXT} AS failed FROM t""")
 
 
 def page_strip_tags(spark, sf_dir):
@@ -305,6 +320,15 @@ def response_sizes(spark, sf_dir):
 register("response_sizes", ("A12", "Z24"), response_sizes)
 
 
+def size_audit(spark, sf_dir):
+    """The audit's figures over sizes that SQL knows as well: those of the turns of a conversation."""
+    t = table(spark, sf_dir, "conversations").select(F.col("turn").alias("mode"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    return M.size_audit(t, ["mode"], "size", 400)
+
+
+register("size_audit", ("A12", "Z24"), size_audit, "SELECT turn AS mode, median(length(coalesce(text, '')))::DOUBLE AS median, max(length(coalesce(text, ''))) AS largest, min(length(coalesce(text, ''))) AS smallest, count(*) FILTER (length(coalesce(text, '')) > 400) AS over FROM conversations GROUP BY turn")
+
+
 def read_responses(spark, sf_dir):
     rows = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text")
 
@@ -363,7 +387,20 @@ def answer_metrics(spark, sf_dir):
     return M.answer_scores(rows, "run")
 
 
-register("answer_metrics", ("A10", "T15", "T16"), answer_metrics)
+_CITES = r"\[(?:src_\d{3}, ev_\d{3}|search_\d{3}|EV\d+|SN\d+|E\d+|S\d+)\]"
+_HAS = lambda patterns, x: "(" + " OR ".join(f"regexp_matches({x}, '(?is){p}')" for p in patterns) + ")"
+_GOLD = (("thned", "erin[a-z]+"), ("thanedble",), ("que.{0,9}de",))
+register("answer_metrics", ("A10", "T15", "T16"), answer_metrics, rf"""
+WITH t AS (SELECT conv_id * 100 + turn AS run, coalesce(text, '') AS text, '- ' || coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN ' [EV1] Then more words here [S2].' ELSE ' Not enough is known.' END AS answer FROM conversations WHERE role = 'assistant'),
+l AS (SELECT *, list_filter(list_transform(string_split_regex(answer, '\r?\n'), lambda x: trim(regexp_replace(trim(x), '^[-*• ]+', ''))), lambda x: x <> '' AND NOT starts_with(x, '#')) AS lines FROM t),
+p AS (SELECT *, list_transform(flatten(list_transform(lines, lambda x: string_split(regexp_replace(regexp_replace(x, '{M.MONTHS}', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(2) || '\2', 'g'), chr(2)))), lambda x: replace(x, chr(1), '.')) AS parts FROM l),
+u AS (SELECT run, text, answer, list_filter(parts, lambda x: NOT ends_with(rtrim(x), ':') AND (len(regexp_extract_all(x, '[A-Za-z]+')) >= 3 OR (regexp_matches(x, '{_CITES}') AND regexp_matches(x, '\d|[A-Za-z]{{2}}')))) AS units, regexp_matches(answer, '{M.ABSTAIN}') AS abstained FROM p),
+m AS (SELECT *, flatten(list_transform(units, lambda x: regexp_extract_all(x, '{_CITES}'))) AS labels, ({" + ".join(f"CAST({_HAS(g, 'answer')} AS INT)" for g in _GOLD)}) / 3::DOUBLE AS recall0,
+  ({" + ".join(f"CAST({_HAS(g, 'text')} AND len(list_filter(units, lambda x: contains(x, '[EV1]') AND {_HAS(g, 'x')})) > 0 AS INT)" for g in _GOLD)}) / 3::DOUBLE AS grounded0, len(list_filter(units, lambda x: contains(x, '[EV1]'))) AS valid_units FROM u),
+s AS (SELECT *, CASE WHEN abstained THEN 0 ELSE recall0 END::DOUBLE AS recall, CASE WHEN abstained THEN 0 ELSE grounded0 END::DOUBLE AS grounded, CASE WHEN len(labels) > 0 THEN len(list_filter(labels, lambda x: x = '[EV1]')) / len(labels)::DOUBLE ELSE 0 END::DOUBLE AS prec,
+  CASE WHEN len(units) > 0 THEN valid_units / len(units)::DOUBLE ELSE 0 END::DOUBLE AS cover FROM m)
+SELECT run, round(recall, 4) AS fact_recall, round(grounded, 4) AS grounded_recall, round(prec, 4) AS citation_precision, round(cover, 4) AS claim_coverage, abstained, CAST(len(units) AS INTEGER) AS claims,
+  round(100 * (0.55::DOUBLE * recall + 0.20::DOUBLE * grounded + 0.15::DOUBLE * prec * recall + 0.10::DOUBLE * cover * recall), 2) AS quality FROM s""")
 
 
 def citation_labels(spark, sf_dir):
