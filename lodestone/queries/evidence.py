@@ -163,12 +163,34 @@ def _candidates(spark, sf_dir):
     return d.select("lang", F.col("doc_id").alias("pos"), F.concat("source", F.lit("-"), F.col("doc_id") % 3).alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), ((F.col("doc_id") % 11) / 11).alias("passage_score"), ((F.col("doc_id") % 7) / 7).alias("source_score"), ((F.col("doc_id") % 5) / 5).alias("quality"), (F.col("doc_id") % 50 == 0).alias("authority"))
 
 
+#: A question and its facets.
+DIVERSE = ["the and of", "the and attion to thanedble", "thonor erin"]
+
+
 def diverse_selection(spark, sf_dir):
-    out = V.diverse(_candidates(spark, sf_dir), ["lang"], 12, facets=["the and attion to thanedble", "thonor erin"], question="the and of")
+    out = V.diverse(_candidates(spark, sf_dir), ["lang"], 12, facets=DIVERSE[1:], question=DIVERSE[0])
     return out.select("lang", "position", F.col("pos").alias("doc_id"), "source_id")
 
 
-register("diverse_selection", ("A7", "R8", "R9", "R10", "F5", "F6", "W5"), diverse_selection)
+_TERMS = [sorted(set(X.meaningful_py(q))) for q in DIVERSE]
+_SHARES = ", ".join((f"len(list_intersect(terms, {t})) / {len(t)}::DOUBLE" if t else "0.0::DOUBLE") + f" AS share{i}" for i, t in enumerate(_TERMS))
+_NEEDS = [1.0 if len(t) <= 2 else 0.60 for t in _TERMS]
+_OWN = "len(list_filter(srcs, lambda x: x = source_id))"
+_NEAR = "coalesce(list_max(list_transform(seen, lambda w: len(list_intersect(w, words)) / greatest(1, len(w) + len(words) - len(list_intersect(w, words)))::DOUBLE)), 0)"
+register("diverse_selection", ("A7", "R8", "R9", "R10", "F5", "F6", "W5"), diverse_selection, f"""
+WITH RECURSIVE d AS (SELECT lang, doc_id, source || '-' || (doc_id % 3) AS source_id, coalesce(text, '') AS text, 0.45::DOUBLE * ((doc_id % 11) / 11::DOUBLE) + 0.30::DOUBLE * ((doc_id % 7) / 7::DOUBLE) + 0.25::DOUBLE * ((doc_id % 5) / 5::DOUBLE) AS base, doc_id % 50 = 0 AS authority
+  FROM documents WHERE (doc_id % 7) / 7::DOUBLE >= {V.ADMIT}),
+w AS (SELECT lang, doc_id, source_id, base, authority, list_distinct({D.tokens('text')}) AS words, list_distinct({D.meaningful('text')}) AS terms FROM d), c AS (SELECT *, {_SHARES} FROM w),
+st AS (SELECT DISTINCT lang, 0 AS step, []::BIGINT[] AS taken, []::VARCHAR[] AS srcs, []::VARCHAR[][] AS seen, 0.0::DOUBLE AS least FROM c
+ UNION ALL SELECT lang, step + 1, CASE WHEN fits THEN list_append(taken, doc_id) ELSE taken END, CASE WHEN fits THEN list_append(srcs, source_id) ELSE srcs END, CASE WHEN fits THEN list_append(seen, words) ELSE seen END, least FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY fits DESC, worth DESC, base DESC, doc_id) AS k FROM (
+   SELECT lang, step, taken, srcs, seen, doc_id, source_id, words, base, CASE WHEN step = 3 THEN max(base) OVER (PARTITION BY lang) * {V.FLOOR} ELSE least END AS least,
+    CASE step WHEN 0 THEN authority AND share0 >= {_NEEDS[0]} WHEN 1 THEN share1 >= {_NEEDS[1]} AND {_OWN} < {V.PER_SOURCE} WHEN 2 THEN share2 >= {_NEEDS[2]} AND {_OWN} < {V.PER_SOURCE}
+     ELSE {_OWN} < {V.PER_SOURCE} AND base >= CASE WHEN step = 3 THEN max(base) OVER (PARTITION BY lang) * {V.FLOOR} ELSE least END END AS fits,
+    CASE step WHEN 0 THEN share0 WHEN 1 THEN share1 WHEN 2 THEN share2 ELSE base + CASE WHEN {_OWN} = 0 THEN {V.NEW_SOURCE} ELSE 0 END - {V.SIMILAR} * {_NEAR} - {V.REPEATED} * {_OWN} END AS worth
+   FROM st JOIN c USING (lang) WHERE NOT list_contains(taken, doc_id) AND len(taken) < 12 AND step < 15)) WHERE k = 1),
+f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY lang ORDER BY step DESC) = 1)
+SELECT lang, CAST(position AS INTEGER) AS position, doc_id, source_id FROM (SELECT lang, unnest(taken) AS doc_id, unnest(srcs) AS source_id, unnest(range(1, len(taken) + 1)) AS position FROM f)""")
 
 
 def capped_selection(spark, sf_dir):
