@@ -74,7 +74,10 @@ class Encoder:
             self.known = {"": b""}
         new = [c for c in own if c not in self.known]
         long = self._learn(new) if new else {}
-        values = [long[c] if c in long else self.known[c] for c in own]
+        self.known.update(long)
+        values = [self.known[c] for c in own]
+        for c in long:
+            del self.known[c]
         flat, size = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
         code = coded.indices.to_numpy(zero_copy_only=False)
         took = size[code]
