@@ -6,6 +6,7 @@ tests hold against the Column forms.
 
 from __future__ import annotations
 
+import functools
 import re
 from itertools import pairwise
 
@@ -150,19 +151,28 @@ def injection_risk(reasons: Column) -> Column:
 # ---- twins for questions that are known when the plan is made ----
 
 
+_RUN, _PART, _CAMEL = re.compile(r"[\w+#.-]{2,}"), re.compile(r"[\w+#-]{2,}"), re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_STOP = frozenset(STOP)
+
+
 def tokens_py(value: str) -> list[str]:
     out: list[str] = []
-    for raw in re.findall(r"[\w+#.-]{2,}", value):
+    for raw in _RUN.findall(value):
         t = raw.strip(".-")
-        own = re.findall(r"[\w+#-]{2,}", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", t.replace(".", " ")))
-        if len(t) >= 2:
+        if len(t) < 2:
+            continue
+        if "." in t or (not t.islower() and _CAMEL.search(t)):
+            own = _PART.findall(_CAMEL.sub(" ", t.replace(".", " ")))
             out += own if len(own) > 1 and re.search(r"[^\W\d_]", t) else [t]
+        else:
+            out.append(t)
     return [x.lower().replace("ß", "ss") for x in out]
 
 
 _SUFFIXES = (("ies", 5, 3, "y"), ("ing", 6, 3, None), ("ied", 5, 3, "y"), ("ed", 5, 2, None))
 
 
+@functools.lru_cache(1 << 16)
 def inflection_py(t: str) -> str:
     for suffix, longer, cut, put in _SUFFIXES:
         if len(t) > longer and t.endswith(suffix):
@@ -176,7 +186,7 @@ def inflection_py(t: str) -> str:
 
 
 def meaningful_py(value: str) -> list[str]:
-    return [inflection_py(t) for t in tokens_py(value) if t not in STOP]
+    return [inflection_py(t) for t in tokens_py(value) if t not in _STOP]
 
 
 def bigrams_py(words: list[str]) -> list[str]:

@@ -206,3 +206,101 @@ def test_streams(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     want = {(r.w.start, r.event_type): r.n for r in Z.windowed(events, "ts", ["event_type"], "1 day").collect()}
     assert {(r.s, r.event_type): r.n for r in spark.sql("SELECT * FROM wins").collect()} == want
+
+
+def test_near_results_of_whole_questions(spark, sf_dir):
+    """The query against plain loops over all earlier kept rows, ratios taken in full; URLs under two domains merge as well."""
+    from lodestone.operators import results as S
+    from lodestone.queries.results import page_results
+
+    rows = S.normalize(page_results(spark, sf_dir).drop("marked")).withColumn("question", F.floor(F.col("pos") / 40))
+    alias = rows.filter("pos % 9 = 0").withColumns({"pos": F.col("pos") + 10_000, "domain": F.lit("mirror.example"), "title": F.concat("title", F.lit(" x")), "engines": F.array(F.lit("m"))})
+    again = rows.filter("pos % 7 = 0").withColumns({"pos": F.col("pos") + 20_000, "canonical_url": F.concat("canonical_url", F.lit("/copy")), "snippet": F.concat("snippet", F.lit("!"))})
+    rows = rows.unionByName(alias).unionByName(again)
+    want = []
+    for q in {r.question for r in rows.select("question").distinct().collect()}:
+        kept = []
+        for r in rows.filter(F.col("question") == q).orderBy("pos").collect():
+            r = r.asDict()
+            for k in kept:
+                close = lambda f, least, r=r, k=k: SequenceMatcher(None, r[f].casefold(), k[f].casefold()).ratio() >= least
+                if r["canonical_url"] == k["canonical_url"] or (r["domain"] == k["domain"] and (close("title", 0.93) or (r["snippet"] and k["snippet"] and close("snippet", 0.94)))):
+                    k["engines"] = sorted({*k["engines"], *r["engines"]})
+                    k["search_score"] = max(k["search_score"], r["search_score"])
+                    k["snippet"] = r["snippet"] if len(r["snippet"]) > len(k["snippet"]) else k["snippet"]
+                    break
+            else:
+                kept.append(r | {"engines": sorted(set(r["engines"]))})
+        want += [(q, k["pos"], k["snippet"], k["engines"], k["search_score"]) for k in kept]
+    got = [(r.question, r.pos, r.snippet, r.engines, r.search_score) for r in V.near_results(rows, ["question"]).collect()]
+    assert sorted(got) == sorted(want) and len(got) < rows.count() - 5
+
+
+@pytest.mark.parametrize("limit", [1, 3, 8])
+def test_fetch_order_of_large_groups(spark, limit):
+    """The rows that a task gets choose as the whole group would, whatever its size."""
+    rng = random.Random(limit)
+    rows = []
+    for g in range(6):
+        for i in range(rng.choice([2, 30, 900])):
+            preferred = rng.choice([None] * 40 + [float(rng.randrange(50))])
+            rows.append((g, f"k{g}-{i}", i, f"d{rng.randrange(1 + 400 * (g % 2))}", rng.choice(["web_page"] * 9 + ["publication", "official_documentation"]), rng.randrange(100) / 100, preferred, [rng.randrange(50) / 50 for _ in range(3)], [rng.random() < 0.2 for _ in range(3)]))
+    names = ["g", "key", "pos", "domain", "kind", "preliminary", "preferred", "scores", "fits"]
+    df = spark.createDataFrame(rows, "g int, key string, pos int, domain string, kind string, preliminary double, preferred double, scores array<double>, fits array<boolean>")
+    got = {(r.g, r.position): r.key for r in W.fetch_order(df, ["g"], limit, 3).collect()}
+    want = {}
+    for g in range(6):
+        own = sorted((dict(zip(names, r, strict=True)) for r in rows if r[0] == g), key=lambda r: (-r["preliminary"], r["pos"]))
+        want |= {(g, k + 1): r["key"] for k, r in enumerate(W.choose(own, limit))}
+    assert got == want
+
+
+def test_extracts_of_whole_texts(spark, sf_dir):
+    """Extracts are made of whole sentences of the text in their order, within the limit, and name as many terms as any one sentence that fits."""
+    question = "erinant thonor ering ththe thanedble attion"
+    terms = set(meaningful_py(question))
+    seen = 0
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        text = " ".join((r.text or "").split())
+        got = Q.extract(r.text or "", 320, question)
+        assert len(got) <= 320
+        sentences = [s for s in Q.SPLIT.split(text) if s.strip()]
+        fits = [s for s in sentences if terms & set(meaningful_py(s)) and len(s) <= 300]
+        pieces = [p for p in got.strip("…").split(" … ")]
+        if len(text) > 320 and all(p in sentences for p in pieces):
+            rest = iter(sentences)
+            assert all(p in rest for p in pieces)  # a sentence can come twice
+            assert len(terms & set(meaningful_py(got))) >= max((len(terms & set(meaningful_py(s))) for s in fits), default=0)
+            seen += 1
+        elif len(text) <= 320:
+            assert got == text
+        else:
+            assert got.strip("…").strip() in text
+    assert seen > 10
+
+
+@pytest.mark.parametrize("budget", [4000, 5000, 9000])
+def test_responses_of_whole_conversations(spark, sf_dir, budget):
+    """Every response is within its budget and says nothing that its package doesn't: labels, URLs, roles and order, and texts cut from the package's."""
+    import json
+
+    from lodestone.queries.state import _packages
+
+    for r in Q.responses(_packages(spark, sf_dir), "conv_id", "package", budget).join(_packages(spark, sf_dir), "conv_id").collect():
+        got, given = json.loads(r.response), json.loads(r.package)
+        assert r.size == len(r.response) and (r.size <= budget or got["response_info"].get("budget_exceeded_for_exact_urls"))
+        flat = lambda x: " ".join(x.split())
+        for kind in ("evidence", "search_snippets"):
+            whole = {x["citation"]: x for x in given[kind]}
+            order = [list(whole).index(x["citation"]) for x in got[kind]]
+            if kind == "evidence":
+                assert order == sorted(order)
+            for x in got[kind]:
+                text = flat(whole[x["citation"]]["text"])
+                for piece in x.get("text", "").strip("…").split(" … "):
+                    assert piece.strip("… ") in text
+                assert all(x[f] == whole[x["citation"]][f] for f in ("url", "role", "source_id") if f in x)
+        assert {s["source_id"] for s in got["sources"]} <= {e["source_id"] for e in got["evidence"]} <= {s["source_id"] for s in given["sources"]}
+        assert got["response_info"]["omitted_evidence"] == len(given["evidence"]) - len(got["evidence"])
+        roles = [x["role"] for x in got["search_snippets"]]
+        assert roles == sorted(roles, key=["exact", "expanded"].index) and len(set(got["warnings"])) == len(got["warnings"])
