@@ -30,6 +30,8 @@ ABBREVIATIONS = {
     "api": "application programming interface",
 }
 PRICE_WORDS = "amount cost costs count counts dollar dollars eur gbp pay price prices quantity total usd".split()
+# Patterns of words, repositories and of what a question is about. The cues of one kind of question, on
+# documentation, stand in two patterns, REFERENCE and GUIDE, because rules also ask for the first alone.
 WORD = r"([A-Za-z0-9_.+#-]+)"
 RELEASE = r"(?i)\b(?:release(?:d|s)?|release\s+date|download|announcement|became\s+available|availability)\b"
 ADVISORY = r"(?i)\b(?:CVE-\d{4}-\d{4,7}|vulnerab\w*|exploit\w*|security\s+advisory|affected\s+versions?|patched\s+versions?)\b"
@@ -104,6 +106,7 @@ def repositories(q: Column) -> Column:
 
 def anchors(q: Column) -> Column:
     """Identifiers whose absence speaks against a result: CVEs, addresses, versions, typed numbers, capitals, repositories; sorted."""
+    # The patterns of identifiers.
     number = r"(\d+\.\d+(?:\.\d+){0,2})"
     named = F.regexp_extract_all(q, F.lit(rf"\b([A-Za-z][A-Za-z0-9+#.-]*\s+{number})\b"), F.lit(1))
     context = lambda m: casefold(F.regexp_extract(m, r"^(\S+)", 1))
@@ -140,6 +143,7 @@ def sdk_path(q: Column) -> Column:
 
 def official_sources(q: Column) -> Column:
     """array<struct<url, title>>: pages that follow from a question's identifiers, at most one per URL, in the rules' order."""
+    # The pages' addresses and titles, and the words that call for them.
     n, path = folded(q), sdk_path(q)
     hint = lambda url, title: F.struct(url.alias("url"), title.alias("title"))
     lit, fmt = F.lit, F.format_string

@@ -188,7 +188,7 @@ def gap_queries(spark, sf_dir):
     return P.gap_queries(plans.crossJoin(F.broadcast(rounds)), "item_id", F.col("r")).select("item_id", "round", "pos", "query")
 
 
-register("gap_queries", ("Q10", "Z23"), gap_queries, f"""
+register("gap_queries", ("Q10",), gap_queries, f"""
 WITH p AS (SELECT item_id, coalesce(text, '') AS original, list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda t: trim(t, ' ')), lambda t: t <> '')[1:8] AS topics FROM benchmark),
 b AS (SELECT item_id, CASE WHEN len(topics) > 0 THEN topics[1:5] ELSE [original] END AS base, r FROM p, range(1, 6) AS t(r)),
 u AS (SELECT item_id, r, unnest(base) AS topic, unnest(range(len(base))) AS pos FROM b)
