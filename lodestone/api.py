@@ -95,6 +95,12 @@ def research(spark: SparkSession, question: str, results: DataFrame, pages: Data
     graded = kept.join(sources.select("source_id", "preliminary"), "source_id").withColumn("facet", F.explode(F.lit(facets)))
     relevance = C.source_relevance(graded.withColumn("_t", F.concat_ws(" ", "heading", "text")), ["source_id"], "facet", "_t", "preliminary")
     sources = cut(sources.join(relevance, "source_id", "left").select("source_id", "position", "url", "title", "domain", F.col("kind").alias("source_type"), "content_hash", F.coalesce("relevance", F.lit(0.0)).alias("relevance"), C.source_quality(F.col("preliminary"), fresh).alias("quality"), F.coalesce(P.matches_authority(F.lit(question), F.col("url")), F.lit(False)).alias("authority")))
+    if len(facets) <= 1:
+        # Pages are read in batches until enough are useful; what the reader would not have got to doesn't count. One row reaches the driver.
+        outcomes = fetched.select(F.lit(0).alias("q"), "position").join(sources.select("position", (F.col("relevance") >= V.ADMIT).alias("useful")), "position", "left").na.fill(False, ["useful"])
+        tried = C.retrieval_attempts(outcomes, ["q"], "position", "useful", limit).first()
+        sources, failures = (df.filter(F.col("position") <= (tried.attempts if tried else 0)) for df in (sources, failures))
+        kept = kept.join(sources.select("source_id"), "source_id", "left_semi")
     safe = kept.withColumn("injection_reasons", X.injection_reasons("text")).withColumn("risk", X.injection_risk(F.col("injection_reasons"))).filter("risk <> 'high'").withColumn("pid", F.concat_ws(":", "source_id", F.format_string("%06d", "passage")))
     ranked = safe.join(R.rank_facets(cut(safe), named, "pid", heading="heading"), "pid").join(sources.select("source_id", "relevance", "quality", "authority", "position"), "source_id")
     # By score, then position, then passage, as one number; a page has fewer than 10 million passages.

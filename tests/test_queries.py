@@ -63,3 +63,23 @@ def test_research_in_rounds(spark, sf_dir):
     topics = [r.topic for r in got["missing"].collect()]
     assert any("zzyzx" in t for t in topics) and all(any(t in q for q in calls[-1]) for t in topics)
     assert api.research_rounds(spark, "erinant thonor ering", search, pages, api.Options(mode="quick"))["rounds"].agg({"round": "max"}).first()[0] == 1
+
+
+def test_pages_are_read_until_enough_are_useful(spark, sf_dir):
+    """With one facet, batches of what is missing to the target; by a loop over how each page turned out."""
+    from lodestone import api
+    from lodestone.queries.results import page_results
+
+    results, pages = page_results(spark, sf_dir).drop("marked"), spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html")
+    options = api.Options(mode="deep", max_sources=20)
+    got = api.research(spark, "erinant thonor ering thanedble", results, pages, options)
+    sources = {r.position: r.relevance for r in got["sources"].collect()}
+    lost = sum(r["count"] for r in got["failures"].collect())
+    assert got["plan"].first().facets == ["erinant thonor ering thanedble"]
+    limit = 20  # of the budget's 25 pages, the sources asked for
+    target, useful, tried = min(limit, max(3, min(8, (limit * 3 + 4) // 5))), 0, 0
+    while tried < len(sources) + lost and useful < target:
+        batch = range(tried + 1, min(limit, tried + max(1, target - useful)) + 1)
+        useful, tried = useful + sum(sources.get(i, 0) >= 0.18 for i in batch), tried + len(batch)
+    assert len(sources) + lost == min(tried, limit) and set(sources) <= set(range(1, tried + 1))
+    assert {r.source_id for r in got["evidence"].collect()} <= {r.source_id for r in got["sources"].collect()}
