@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one Arrow batch carries to a Python worker, and rows, so that long documents come one by one.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 2_000
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(f). Batches are bounded by BATCH, unless the caller's session has bounds of its own; Spark reads them when it runs the plan."""
+    """df.mapInArrow(f). Batches are bounded by BATCH, unless the caller's session has bounds of its own; Spark reads them when it runs the plan.
+
+    Python workers live on after a task, beside those of later stages: what a task has freed goes back to the machine at its end.
+    """
     conf = df.sparkSession.conf
     for k, (own, v) in BATCH.items():
         if conf.get(k) == own:
             conf.set(k, v)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def ascii_lower(c: Column) -> Column:
