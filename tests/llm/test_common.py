@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def test_bounds_of_the_caller_stay(spark):
     before = spark.conf.get(name)
     try:
         spark.conf.set(name, "7")
-        sizes = C.map_batches(spark.range(0, 50, 1, 1), lambda batches: (b.slice(0, 1).set_column(0, "id", [[b.num_rows]]) for b in batches if b.num_rows), "id long").collect()
+        sizes = C.map_batches(spark.range(0, 50, 1, 1), lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["id"]) for b in batches if b.num_rows), "id long").collect()
         assert spark.conf.get(name) == "7" and max(r.id for r in sizes) <= 7
         spark.conf.set(name, C.BATCH[name][0])
         C.map_batches(spark.range(3), lambda batches: batches, "id long").collect()
