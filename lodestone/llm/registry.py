@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, licences, linededup, mixing, packing, quality, secrets, simhash, topk, urlfilter
+from . import language, licences, linededup, mixing, packing, quality, resample, secrets, simhash, spelling, substrings, topk, urlfilter
 
-MODULES = (secrets, linededup, packing, urlfilter, mixing, language, simhash, licences, topk, quality)
+MODULES = (secrets, linededup, packing, urlfilter, mixing, language, simhash, licences, topk, quality, resample, substrings, spelling)
 
 
 def queries() -> dict:

@@ -15,5 +15,5 @@ def test_matches_sql(spark, sf_dir, name):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
     assert set(registry.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
