@@ -142,7 +142,8 @@ def candidates(places: DataFrame, sieve, hot, window: int = WINDOW) -> DataFrame
                 block = (key, h.tobytes())
                 again = block in seen
                 seen.add(block)
-                out.append((body if again else key, None if none else name, body, start, (1 << len(h)) - 1 if again else 0, 0 if again else len(h)))
+                # What is settled needs no company, so its key is its own place's: many copies don't meet.
+                out.append(((body ^ (name * 0x9E3779B97F4A7C15 + start) & ~(-1 << 63)) if again else key, None if none else name, body, start, (1 << len(h)) - 1 if again else 0, 0 if again else len(h)))
                 if not again:
                     held.append(h)
 
