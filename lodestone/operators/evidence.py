@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import bind, coverage, meaningful, meaningful_py, tokens_py
 from lodestone.plans.lineage import cut
 
-TITLE_RATIO, SNIPPET_RATIO = 0.93, 0.94
+from .near import SNIPPET_RATIO, TITLE_RATIO, alike
+
 ADMIT, FLOOR, PER_SOURCE = 0.18, 0.50, 2
 NEW_SOURCE, SIMILAR, REPEATED = 0.08, 0.25, 0.06
 #: A value with its unit (fixed value).
@@ -24,14 +24,6 @@ PRIMARY = ("official_documentation", "primary_institution", "source_repository")
 # ---- near duplicates of one question's results ----
 
 
-def alike(a: str, b: str, least: float) -> bool:
-    """SequenceMatcher's ratio reaches `least`; lengths and letters rule most pairs out before the comparison."""
-    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
-        return False
-    m = SequenceMatcher(None, a, b)
-    return m.quick_ratio() >= least and m.ratio() >= least
-
-
 def merge_near(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows of one group in order; each joins the first kept row that it repeats."""
     kept: list[dict] = []
@@ -51,12 +43,8 @@ def merge_near(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=pdf.columns)
 
 
-def near_results(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Results merged with an earlier one of the same URL, whatever its domain, or of the same domain with nearly the same title or snippet.
-
-    rows: by, pos, canonical_url, domain, title, snippet, engines, search_score, normalised and non-null. A group is one question's results,
-    so it is bounded by the raw results that a question's budget allows (at most 100).
-    """
+def merge_few(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """near_results() for groups that a question's budget of raw results has bounded (at most 100): one task folds a group at once."""
     return rows.groupBy(*by).applyInPandas(merge_near, rows.schema)
 
 

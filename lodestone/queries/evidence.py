@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions import urls as U
 from lodestone.operators import evidence as V
+from lodestone.operators import near as N
 from lodestone.operators import rank as R
 from lodestone.operators import results as S
 from lodestone.operators import scoring as C
@@ -109,7 +110,7 @@ SELECT s.pos, 'URL/content classification: ' || kind || '; Pre-fetch query/sourc
 
 def near_results(spark, sf_dir):
     rows = S.normalize(page_results(spark, sf_dir).drop("marked")).withColumn("question", F.floor(F.col("pos") / 40))  # a question's raw results
-    return V.near_results(rows, ["question"]).select("question", "pos", "url", "title", "snippet", F.array_join("engines", ",").alias("engines"), "search_score")
+    return N.near_results(rows, ["question"]).select("question", "pos", "url", "title", "snippet", F.array_join("engines", ",").alias("engines"), "search_score")
 
 
 register("near_results", ("A3", "R12"), near_results)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import meaningful_py
 from lodestone.operators import evidence as V
+from lodestone.operators import near as N
 from lodestone.operators import rank as R
 from lodestone.operators import response as Q
 from lodestone.operators import selection as W
@@ -74,7 +75,7 @@ def test_alike_is_the_ratio():
     for _ in range(300):
         a = "".join(rng.choices("abc ", k=rng.randint(0, 40)))
         b = "".join(c if rng.random() > 0.05 else "x" for c in a)
-        assert V.alike(a, b, 0.9) == (SequenceMatcher(None, a, b).ratio() >= 0.9)
+        assert N.alike(a, b, 0.9) == (SequenceMatcher(None, a, b).ratio() >= 0.9)
 
 
 def picks(rows, limit, facets=(), question=None):
@@ -232,7 +233,7 @@ def test_near_results_of_whole_questions(spark, sf_dir):
             else:
                 kept.append(r | {"engines": sorted(set(r["engines"]))})
         want += [(q, k["pos"], k["snippet"], k["engines"], k["search_score"]) for k in kept]
-    got = [(r.question, r.pos, r.snippet, r.engines, r.search_score) for r in V.near_results(rows, ["question"]).collect()]
+    got = [(r.question, r.pos, r.snippet, r.engines, r.search_score) for r in N.near_results(rows, ["question"]).collect()]
     assert sorted(got) == sorted(want) and len(got) < rows.count() - 5
 
 
