@@ -32,8 +32,9 @@ STEP = re.compile(r"[A-Za-z0-9+_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+|[/_=+-])+\Z")
-VERSION = re.compile(r"v?[0-9]+(?:\.[0-9]+)+(?:[-+._][A-Za-z]*[0-9]*)*\Z")
+#: Both patterns never give back what they have taken, so that they pass over a run once.
+NAME = re.compile(r"(?:[A-Z]{2,}+(?:[a-z]{2,}+)?|[A-Z]?[a-z]{2,}+|[0-9]++|[/_=+-])++\Z")
+VERSION = re.compile(r"v?[0-9]++(?:\.[0-9]++)++(?:[-+._][A-Za-z]*+[0-9]*+)*+\Z")
 #: Characters per token under which a run counts as random: random base 62 has about 1.6, prose with digits 2.3 or more.
 RATIO = 2.1
 #: The same for runs without a digit, or with a dot: random letters have about 1.4, of one case 1.7; capitals, joined words and names of hosts 2.0 or more.

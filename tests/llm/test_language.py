@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import language as L
 
@@ -105,7 +106,7 @@ def test_mixed_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = L.fit(docs)
     text = {x: " ".join(r.text for r in docs.filter(f"lang = '{x}'").limit(6).collect())[:3000] for x in ("en", "de")}
-    name, score, mix = model.predict(text["en"] + " " + text["de"])
+    name, score, mix, _ = model.predict(text["en"] + " " + text["de"])
     assert {m for m, _ in mix} >= {"en", "de"} and 0.35 < score < 0.65 and abs(sum(s for _, s in mix) - 1) < 1e-3
     assert model.predict(text["en"])[0] == "en" and model.predict("123 !!")[0] == model.predict(None)[0] == "und"
 
@@ -146,5 +147,25 @@ def test_no_text_with_letters_goes(spark, documents, sf_dir):
     text = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(400))
     rows = [(100 * k + i, text(letters), lang) for k, (lang, letters) in enumerate(made.items()) for i in range(12)]
     docs = documents([*rows, (999, "\n".join(text(x) for x in made.values()), None)])
-    assert L.identify(docs, L.fit(docs)).filter("doc_id = 999").first().score < L.LEAST_SCORE
+    assert L.identify(docs, L.fit(docs)).filter("doc_id = 999").first().score < L.LEAST_EXPLAINED
     assert {r.doc_id for r in L.filter_languages(docs).collect()} == {r[0] for r in rows} | {999}
+
+
+def test_foreign_scripts_and_noise_go_and_mixtures_stay(spark, sf_dir, documents):
+    r = random.Random(3)
+    learned = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null and length(text) > 200")
+    rows = [tuple(x) for x in learned.select(F.col("doc_id").cast("long"), "text", "lang", "source").collect()]
+    by = {}
+    for _, t, lang, _ in rows:
+        by.setdefault(lang, []).append(t)
+    some = [by[k][0][:400] for k in sorted(by)]
+    letters, base64 = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    bad = ["Это обычный русский текст о погоде и природе. " * 5, "Αυτό είναι ένα απλό κείμενο στα ελληνικά για τον καιρό. " * 5, "这是一个关于天气和自然的普通中文文本" * 9, "".join(r.choices(letters, k=500)), "".join(r.choices(base64, k=900)), " ".join("".join(r.choices(letters, k=5)) for _ in range(90))]
+    good = [a + " " + b for a, b in zip(some, some[1:], strict=False)] + [" ".join(some)]
+    docs = documents([*rows, *((-1 - k, t, None, "x") for k, t in enumerate(bad)), *((-100 - k, t, None, "x") for k, t in enumerate(good))])
+    kept = {x.doc_id for x in L.filter_languages(docs).collect()}
+    assert not kept & {-1 - k for k in range(len(bad))}
+    assert {-100 - k for k in range(len(good))} <= kept and {x[0] for x in rows} <= kept
+    half = docs.unionByName(documents([(-200, some[0] + " " + bad[0] + bad[1], None, "x")]))
+    assert [-200 in {x.doc_id for x in L.filter_languages(half, least).select("doc_id").collect()} for least in (0.2, 0.95)] == [True, False]
+    assert L.filter_languages(docs, 0.0).count() == len(rows) + len(bad) + len(good)

@@ -4,8 +4,12 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import public_tokenizers
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from lodestone.llm import secrets as S
 
@@ -160,3 +164,25 @@ def test_spans_of_the_method_against_loops(spark, sf_dir):
 def test_clashing_columns(spark, documents):
     docs = documents([(1, "token=abcdefgh1"), (1, "token=abcdefgh1")]).selectExpr("*", "1 AS found", "2 AS kind", "3 AS Spans")
     assert [len(r.found) for r in S.scan(docs).collect()] == [1, 1]
+
+
+def test_patterns_are_linear():
+    """A million signs of one kind, or of many, before a sign that no name holds."""
+    for part in ("a", "7", "A", "aB", "Ab7", "ab_", "1.", "ABCd", "-"):
+        run = part * (1_000_000 // len(part)) + ".~"
+        began = time.process_time()
+        assert not S.NAME.match(run) and not S.VERSION.match(run)
+        assert time.process_time() - began < 0.5
+
+
+@given(st.text(alphabet="aBc1_.v", max_size=14))
+def test_linear_patterns_say_what_plain_ones_say(run):
+    assert bool(S.NAME.match(run)) == bool(re.match(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+|[/_=+-])+\Z", run))
+    assert bool(S.VERSION.match(run)) == bool(re.match(r"v?[0-9]+(?:\.[0-9]+)+(?:[-+._][A-Za-z]*[0-9]*)*\Z", run))
+
+
+@pytest.mark.parametrize("part", ["acgt", "7", "Q", "kZ"])
+def test_long_runs_before_a_dot(part):
+    began = time.process_time()
+    S.random_spans(part * (200_000 // len(part)) + ".html", [], S.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary)
+    assert time.process_time() - began < 3
