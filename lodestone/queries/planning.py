@@ -12,22 +12,57 @@ from lodestone.sources.tables import table
 from . import duck as D
 
 YEAR = 2026
+#: How questions are put; each user's turn in `conversations` is asked as it stands and once behind one of these.
 ASKED = [
-    "On what date was Python 3.12.0 released?", "Compare RFC 9110 with PEP 8", "analyze MCP Python SDK docs: which transport for a server?", "What does HTTP status 429 mean and what is CVE-2024-12345?",
-    "How does SQLite WAL differ from rollback journals?", "Why does curl fail with socks5h and error code 97?", "latest price of widgets for 3.50 dollars", "What is the capital of a country",
-    "the github repo owner/name and https://github.com/Other/Thing.git/tree", "Which IPv4 private address range is it? What are those for?", "According to IETF, is HTTP/2 better versus HTTP/1.1; what is TLS Protocol", "cost 12.50 version 2.1 v3.4.5 Name 1.2 USD 4.5", "",
+    "When did Python 3.11.4 come out?",
+    "Is RFC 7231 stricter than PEP 20?",
+    "analyze MCP Python SDK docs: which transport for a server?",
+    "What does HTTP status 429 mean and what is CVE-2024-12345?",
+    "How does SQLite WAL differ from rollback journals?",
+    "Why does curl fail with socks5h and error code 97?",
+    "latest price of widgets for 3.50 dollars",
+    "What is the capital of a country",
+    "the github repo owner/name and https://github.com/Other/Thing.git/tree",
+    "Which IPv4 private address range is it? What are those for?",
+    "According to IETF, is HTTP/2 better versus HTTP/1.1; what is TLS Protocol",
+    "cost 12.50 version 2.1 v3.4.5 Name 1.2 USD 4.5",
+    "",
+]
+
+
+def asked(spark, sf_dir):
+    """(id, question): the user turns, ids from 0, and below 0 the same turns behind the forms of ASKED."""
+    t = table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
+    form = F.get(F.lit(ASKED), (F.col("id") % len(ASKED)).cast("int"))
+    return t.unionByName(t.select((-F.col("id") - 1).alias("id"), F.concat(form, F.lit(" "), "question").alias("question")))
+
+
+def _list(texts) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + "]"
+
+
+_USER = "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, text AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL"
+_ASKED = f"""(SELECT id, question FROM ({_USER}) UNION ALL
+  SELECT -id - 1, {_list(ASKED)}[id % {len(ASKED)} + 1] || ' ' || question FROM ({_USER})) AS v(id, question)"""
+
+
+def batches(spark, sf_dir):
+    """(id, question): each user turn's sentences as one compound question, in the ways in which such are written."""
+    t = asked(spark, sf_dir).filter("id >= 0").withColumn("s", F.filter(F.transform(F.split("question", r"[.\n]"), lambda x: F.trim(x)), lambda x: x != ""))
+    numbered = lambda before, after, between: F.array_join(F.transform("s", lambda x, k: F.concat(F.lit(before), (k + 1).cast("string"), F.lit(after), x)), between)
+    ways = [
+        F.to_json("s"), F.concat(F.lit('{"queries": '), F.to_json("s"), F.lit("}")), F.concat(F.lit("- "), F.array_join("s", "\n- ")), numbered("", ". ", "\n"), numbered("Query ", ": ", " "),
+        F.concat(F.array_join("s", "? "), F.lit("?")), F.array_join("s", "; "), F.array_join("s", " | "), F.array_join("s", " OR "), F.array_join("s", ". "),
+    ]
+    return t.select("id", F.coalesce(*(F.when(F.floor(F.col("id") / 1000) % len(ways) == k, w) for k, w in enumerate(ways))).alias("question"))
+
+
+_WAYS = [
+    "CAST(to_json(s) AS VARCHAR)", """'{"queries": ' || CAST(to_json(s) AS VARCHAR) || '}'""", "'- ' || array_to_string(s, chr(10) || '- ')", "array_to_string(list_transform(s, lambda x, k: k || '. ' || x), chr(10))",
+    "array_to_string(list_transform(s, lambda x, k: 'Query ' || k || ': ' || x), ' ')", "array_to_string(s, '? ') || '?'", "array_to_string(s, '; ')", "array_to_string(s, ' | ')", "array_to_string(s, ' OR ')", "array_to_string(s, '. ')",
 ]
-BATCHES = [
-    '["one two three", "four five six", "One two  three", "seven eight nine", "ten eleven twelve"]', '{"queries": ["alpha beta gamma", "delta eps zeta"]}', "- first line here\n- second line here\n- x y z", "1. aa bb cc\n2) dd ee ff",
-    "Query 1: what is this Query 2: what is that", "Is this one long? Is that one long?", "alpha beta gamma; delta eps zeta", "alpha beta gamma | delta eps zeta", "alpha beta gamma OR delta eps zeta", "a plain comparison of two things", "short; too", "  ",
-]
-
-
-def asked(spark):
-    return spark.createDataFrame(list(enumerate(ASKED)), "id int, question string")
-
-
-_ASKED = D.values(list(enumerate(ASKED)), "v(id, question)")
+_BATCHES = f"""(SELECT id, CASE {' '.join(f"WHEN id // 1000 % {len(_WAYS)} = {k} THEN {w}" for k, w in enumerate(_WAYS))} END FROM
+  (SELECT id, list_filter(list_transform(string_split_regex(question, '[.\\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM ({_USER}))) AS v(id, question)"""
 
 
 # ---- the rules on identifiers and authorities in SQL: CTEs over v(id, question) ----
@@ -105,7 +140,7 @@ def split_sql(rel: str, limit: int = 4) -> str:
     """CTEs up to splits(id, facets) over rel(id, question)."""
     lines = r"list_filter(string_split_regex(question, '\r?\n'), lambda p: trim(p) <> '')"
     return rf"""
-b0 AS (SELECT id, question, {D.compact('question')} AS whole, {lines} AS lines, CASE WHEN starts_with(trim(question), '[') THEN from_json(trim(question), '["VARCHAR"]') WHEN starts_with(trim(question), '{{') THEN from_json(trim(question), '{{"queries": ["VARCHAR"]}}').queries END AS listed FROM {rel}),
+b0 AS (SELECT id, question, {D.compact('question')} AS whole, {lines} AS lines, coalesce(from_json(CASE WHEN starts_with(trim(question), '[') THEN trim(question) END, '["VARCHAR"]'), from_json(CASE WHEN starts_with(trim(question), '{{') THEN trim(question) END, '{{"queries": ["VARCHAR"]}}').queries) AS listed FROM {rel}),
 b1 AS (SELECT *, CASE WHEN len(list_filter(lines, lambda p: NOT regexp_matches(p, '{_MARK}'))) = 0 THEN list_transform(lines, lambda p: trim(regexp_replace(p, '{_MARK}*', ''))) END AS marked,
   list_transform(string_split(regexp_replace(whole, '(?i)\s+({_LABEL})', chr(1) || '\1', 'g'), chr(1)), lambda p: regexp_replace(p, '(?i)^{_LABEL}\s*', '')) AS labelled, list_transform({_FILLED("string_split(whole, '?')")}, lambda p: p || '?') AS asked,
   {_FILLED(r"string_split_regex(whole, '\s*;\s*')")} AS halves, {_FILLED(r"string_split_regex(whole, '\s+\|\s+')")} AS bars, {_FILLED(r"string_split_regex(whole, '\s+(?:OR|\|\|)\s+')")} AS ors FROM b0),
@@ -117,19 +152,19 @@ splits AS (SELECT id, CASE WHEN len(f) >= 2 THEN f ELSE [whole] END AS facets FR
 
 def mode_budget(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", P.mode(F.coalesce("text", F.lit(""))).alias("mode"))
-    lit = asked(spark).select(F.col("id").cast("long").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), P.mode(F.col("question")).alias("mode"))
+    lit = asked(spark, sf_dir).select(F.col("id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), P.mode(F.col("question")).alias("mode"))
     return rows.unionByName(lit).join(F.broadcast(P.budgets(spark)), "mode").select("conv_id", "turn", "mode", "queries", "pages", "passages", "rounds")
 
 
 register("mode_budget", ("Q1", "Q2", "J10"), mode_budget, f"""
-WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations WHERE role = 'user' UNION ALL SELECT CAST(id AS BIGINT), -1, question FROM {_ASKED}),
+WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations WHERE role = 'user' UNION ALL SELECT id, -1, question FROM {_ASKED}),
 m AS (SELECT conv_id, turn, CASE WHEN regexp_matches({D.compact(D.casefold('q'))}, '{"|".join(P.DEEP)}') THEN 'deep' ELSE 'standard' END AS mode FROM a)
 SELECT conv_id, turn, mode, queries, pages, passages, rounds FROM m JOIN {D.values([(b[0], b[1], b[3], b[4], b[5]) for b in P.BUDGETS], 'b(mode, queries, pages, passages, rounds)')} USING (mode)""")
 
 
 def fallback_query(spark, sf_dir):
     d = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), P.fallback(F.coalesce("text", F.lit(""))).alias("fallback"))
-    return d.unionByName(asked(spark).select((-F.col("id") - 1).cast("long").alias("id"), P.fallback(F.col("question")).alias("fallback")))
+    return d.unionByName(asked(spark, sf_dir).select((-F.col("id") - 1).cast("long").alias("id"), P.fallback(F.col("question")).alias("fallback")))
 
 
 register("fallback_query", ("Q11",), fallback_query, f"""
@@ -139,16 +174,15 @@ SELECT id, coalesce(nullif(array_to_string(w, ' '), ''), q) AS fallback FROM w""
 
 
 def compound_split(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(BATCHES)), "id int, question string")
+    rows = batches(spark, sf_dir)
     return rows.select("id", F.array_join(P.split_compound(F.col("question")), " || ").alias("facets"))
 
 
-_BATCHES = D.values(list(enumerate(BATCHES)), "v(id, question)")
 register("compound_split", ("Q3", "Z10"), compound_split, f"WITH {split_sql(_BATCHES)} SELECT id, array_to_string(facets, ' || ') AS facets FROM splits")
 
 
 def heuristic_plan(spark, sf_dir):
-    p = asked(spark).withColumn("p", P.plan(F.col("question"), YEAR, 8))
+    p = asked(spark, sf_dir).withColumn("p", P.plan(F.col("question"), YEAR, 8))
     return p.select("id", F.array_join("p.queries", " || ").alias("queries"), F.array_join("p.topics", " || ").alias("topics"), F.col("p.time_sensitive").alias("time_sensitive"))
 
 
@@ -156,7 +190,7 @@ register("heuristic_plan", ("Q4", "Q5", "Q6"), heuristic_plan, f"WITH {plan_sql(
 
 
 def compound_plan(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(BATCHES)), "id int, question string").withColumn("facets", P.split_compound(F.col("question")))
+    rows = batches(spark, sf_dir).withColumn("facets", P.split_compound(F.col("question")))
     out = P.plan_compound(rows, "id", "facets", YEAR, 6)
     return out.select("id", F.array_join("queries", " || ").alias("queries"), F.array_join("topics", " || ").alias("topics"), "time_sensitive")
 
@@ -172,7 +206,7 @@ SELECT id, array_to_string(list_filter(kept, lambda x, i: list_position(list_tra
 
 
 def ranking_facets(spark, sf_dir):
-    return asked(spark).select("id", F.array_join(P.ranking_facets(F.col("question"), P.topics(F.col("question"))), " || ").alias("facets"))
+    return asked(spark, sf_dir).select("id", F.array_join(P.ranking_facets(F.col("question"), P.topics(F.col("question"))), " || ").alias("facets"))
 
 
 register("ranking_facets", ("Q9",), ranking_facets, rf"""
@@ -205,7 +239,7 @@ WITH q AS (SELECT {D.compact(r"regexp_extract(coalesce(text, ''), '^(\S+\s+\S+)'
 
 
 def anchors(spark, sf_dir):
-    rows = asked(spark).withColumn("a", P.anchors(F.col("question")))
+    rows = asked(spark, sf_dir).withColumn("a", P.anchors(F.col("question")))
     return rows.select("id", F.array_join("a", ",").alias("anchors"), F.round(P.anchor_coverage(F.col("a"), F.lit("See RFC 9110, PEP 8, HTTP 429 and 3.12.0; not 19110.")), 4).alias("coverage"))
 
 
@@ -214,7 +248,7 @@ WITH {subject_sql(_ASKED)} SELECT id, array_to_string(anchors, ',') AS anchors,
 
 
 def official_sources(spark, sf_dir):
-    rows = asked(spark).select("id", F.posexplode(F.slice(P.official_sources(F.col("question")), 1, 3)).alias("pos", "h"))
+    rows = asked(spark, sf_dir).select("id", F.posexplode(F.slice(P.official_sources(F.col("question")), 1, 3)).alias("pos", "h"))
     return rows.select("id", "pos", F.col("h.url").alias("url"), F.col("h.title").alias("title"))
 
 
@@ -226,7 +260,7 @@ PREFERRED = ["https://docs.python.org/3/", "https://www.rfc-editor.org/rfc/rfc91
 
 
 def authorities(spark, sf_dir):
-    rows = asked(spark).select("id", "question", F.array_join(P.authority_domains(F.col("question")), ",").alias("domains"), P.authority_variant(F.col("question")).alias("variant"))
+    rows = asked(spark, sf_dir).select("id", "question", F.array_join(P.authority_domains(F.col("question")), ",").alias("domains"), P.authority_variant(F.col("question")).alias("variant"))
     urls = spark.createDataFrame([(u,) for u in PREFERRED], "url string")
     hits = rows.crossJoin(F.broadcast(urls)).filter(P.matches_authority(F.col("question"), F.col("url"))).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(U.host("url"))), ",").alias("hosts"))
     return rows.join(hits, "id", "left").select("id", "domains", "variant", "hosts")

@@ -84,15 +84,12 @@ register("tokenize_counts", ("T1", "T2", "T3", "T4", "T5"), tokenize_counts, f""
 WITH d AS (SELECT doc_id, {D.tokens("coalesce(text, '')")} AS t, {D.meaningful("coalesce(text, '')")} AS m FROM documents)
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(m) AS INTEGER) AS n_meaningful, CAST(len(list_distinct(m)) AS INTEGER) AS n_terms, CAST(len({D.bigrams('m')}) AS INTEGER) AS n_bigrams, md5(array_to_string(m, ' ')) AS digest FROM d""")
 
-IDENTIFIERS = ["recommended transports policies", "Python contextlib.AsyncExitStack", "Python 3.12.0", "writers. WAL. transport.", "foo_bar.bazQux v1.2 x.y", "running stopped classes boxes carries studied", "C++ .NET C# node.js --flag", ""]
-
-
 def identifier_tokens(spark, sf_dir):
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(IDENTIFIERS)], "id int, value string")
-    return rows.select("id", F.array_join(T.meaningful("value"), " ").alias("terms"))
+    """URLs are full of identifiers: hosts, paths, versions, parameters."""
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(T.meaningful(F.coalesce("url", F.lit(""))), " ").alias("terms"))
 
 
-register("identifier_tokens", ("T1", "T3"), identifier_tokens, f"SELECT id, array_to_string({D.meaningful('value')}, ' ') AS terms FROM {D.values(list(enumerate(IDENTIFIERS)), 'v(id, value)')}")
+register("identifier_tokens", ("T1", "T3"), identifier_tokens, f"SELECT page_id, array_to_string({D.meaningful("coalesce(url, '')")}, ' ') AS terms FROM pages")
 
 
 def bigram_overlap(spark, sf_dir):

@@ -100,10 +100,14 @@ KINDS = ["https://x.gov/a", "https://docs.python.org/3/", "https://evilgithub.co
 
 
 def source_type_cases(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u in KINDS], "url string").select("url", U.source_type("url").alias("source_type"))
+    """Each page's path under a site of each kind."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.get(F.lit(KINDS), (F.col("page_id") % len(KINDS)).cast("int")), F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1)).alias("url"))
+    return p.select("page_id", "url", U.source_type("url").alias("source_type"))
 
 
-register("source_type_cases", ("U5",), source_type_cases, f"SELECT url, {D.source_type('url')} AS source_type FROM {D.values([(u,) for u in KINDS], 'v(url)')}")
+register("source_type_cases", ("U5",), source_type_cases, f"""
+WITH p AS (SELECT page_id, [{', '.join(f"'{k}'" for k in KINDS)}][page_id % {len(KINDS)} + 1] || regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS url FROM pages)
+SELECT page_id, url, {D.source_type('url')} AS source_type FROM p""")
 
 
 def url_redaction(spark, sf_dir):
@@ -181,8 +185,15 @@ ROUTED = ["How do I fix a compiler error in cargo?", "latest news on the electio
 
 
 def backend_routing(spark, sf_dir):
-    rows = spark.createDataFrame([(q, d) for q, d in zip(ROUTED, (1, 7, 31, 32, None), strict=True)], "question string, days int")
-    return rows.select("question", S.categories(F.col("question")).alias("categories"), S.recency_bucket(F.col("days")).alias("recency"))
-
-
-register("backend_routing", ("S4", "S5"), backend_routing, "SELECT question, 'general' || " + " || ".join(f"CASE WHEN regexp_matches(question, '(?i){p}') THEN ',{k}' ELSE '' END" for k, p in S.VERTICALS.items()) + f" AS categories, CASE WHEN days <= 1 THEN 'day' WHEN days <= 31 THEN 'month' WHEN days IS NOT NULL THEN 'year' END AS recency FROM {D.values(list(zip(ROUTED, (1, 7, 31, 32, None), strict=True)), 'v(question, days)')}")
+    """User turns, each with a topic word of ROUTED before it, and how many days back they ask."""
+    t = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("n", F.col("conv_id") + F.col("turn"))
+    question = F.concat(F.get(F.lit(ROUTED), (F.col("n") % len(ROUTED)).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    days = F.when(F.col("n") % 7 != 0, F.col("n") % 41).cast("int")
+    return t.select("conv_id", "turn", S.categories(question).alias("categories"), S.recency_bucket(days).alias("recency"))
+
+
+register("backend_routing", ("S4", "S5"), backend_routing, f"""
+WITH t AS (SELECT conv_id, turn, conv_id + turn AS n, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+q AS (SELECT conv_id, turn, [{', '.join(f"'{x}'" for x in ROUTED)}][n % {len(ROUTED)} + 1] || ' ' || text AS question, CASE WHEN n % 7 <> 0 THEN n % 41 END AS days FROM t)
+SELECT conv_id, turn, 'general' || """ + " || ".join(f"CASE WHEN regexp_matches(question, '(?i){p}') THEN ',{k}' ELSE '' END" for k, p in S.VERTICALS.items()) + """ AS categories,
+  CASE WHEN days <= 1 THEN 'day' WHEN days <= 31 THEN 'month' WHEN days IS NOT NULL THEN 'year' END AS recency FROM q""")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.functions import urls as U
 from lodestone.operators import metrics as M
 from lodestone.operators import response as Q
 from lodestone.registry import register
@@ -259,14 +260,26 @@ def chunk_invariants(spark, sf_dir):
 register("chunk_invariants", ("T6",), chunk_invariants, "SELECT doc_id, TRUE AS whole_and_exact FROM documents")
 
 
+#: Robots files as hosts might have them: a named group before the common one, which has two agent lines; and a file that names the reader.
+ROBOTS = [
+    "User-agent: bot\nDisallow: /\n\nUser-agent: *\nUser-agent: spare\nDisallow: /de/ # no\nAllow: /de/5\nDisallow: /FR/\n",
+    "User-agent: Lode\nAllow: /en/1\nDisallow: /en/\n\nUser-agent: *\nDisallow: /\n",
+]
+
+
 def robots_filter(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    origins = p.select(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1).alias("origin")).distinct()
-    bodies = origins.select("origin", F.lit("User-agent: bot\nDisallow: /\nUser-agent: *\nDisallow: /de/ # no\nAllow: /de/5\nDisallow: /fr/9\n").alias("body"))
-    return G.robots_allowed(p.select("page_id", "url"), G.robots_rules(bodies, "origin", "body"), "page_id").select("page_id", "allowed")
+    origins = p.select(F.concat(U.scheme("url"), F.lit("://"), U.host("url")).alias("origin")).distinct()
+    bodies = origins.select("origin", F.get(F.lit(ROBOTS), (F.length("origin") % 2).cast("int")).alias("body"))
+    return G.robots_allowed(p.select("page_id", "url"), G.robots_rules(bodies, "origin", "body", "lodestone/1.0")).select("page_id", "allowed")
 
 
-register("robots_filter", ("S9",), robots_filter, r"""SELECT page_id, CASE WHEN starts_with(p, '/de/5') THEN TRUE WHEN starts_with(p, '/de/') OR starts_with(p, '/fr/9') THEN FALSE ELSE TRUE END AS allowed FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)""")
+register("robots_filter", ("S9",), robots_filter, r"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '(?i)^([a-z]+://[^/?#]+)', 1) AS o, regexp_extract(url, '(?i)^[a-z]+://[^/?#]+(.*)$', 1) AS path FROM pages)
+SELECT page_id, coalesce(CASE
+    WHEN o = '' THEN TRUE
+    WHEN length(o) % 2 = 0 THEN NOT (starts_with(path, '/de/') OR starts_with(path, '/FR/'))
+    ELSE starts_with(path, '/en/1') OR NOT starts_with(path, '/en/') END, TRUE) AS allowed FROM p""")
 
 
 # ---- texts and responses ----

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import quote, unquote, urlsplit, urlunsplit
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import urls as U
 from lodestone.functions.text import normalize_text
@@ -190,19 +194,44 @@ def chunk(docs: DataFrame, key: str, text: str = "text", target: int = TARGET, m
 # ---- robots ----
 
 
+def agent_rules(body: str | None, agent: str) -> list[tuple[bool, str]]:
+    """(allow, path) of the group that counts for an agent, in the file's order: the first group that names a part of the agent's name, else the first for `*`."""
+    parser = RobotFileParser()
+    parser.parse((body or "").splitlines())
+    named = next((e for e in parser.entries if e.applies_to(agent)), parser.default_entry)
+    return [(bool(r.allowance), r.path) for r in named.rulelines] if named else []
+
+
+def asked_path(url: str | None) -> str:
+    """What rules are compared with: the URL without scheme and host, its escapes in one form, case kept."""
+    parts = urlsplit(unquote(url or ""))
+    return quote(urlunsplit(("", "", parts.path, parts.query, parts.fragment))) or "/"
+
+
 def robots_rules(bodies: DataFrame, origin: str, body: str, agent: str = "*") -> DataFrame:
-    """(origin, allow, prefix): the rules that a robots file has for the agent's group."""
-    lines = bodies.select(origin, F.posexplode(F.split(F.lower(F.coalesce(body, F.lit(""))), r"\r?\n")).alias("n", "line"))
-    w = Window.partitionBy(origin).orderBy("n")
-    field, value = F.trim(F.substring_index("line", ":", 1)), F.trim(F.regexp_replace(F.regexp_replace("line", "^[^:]*:", ""), "#.*$", ""))
-    rows = lines.withColumn("field", field).withColumn("value", value).withColumn("agent", F.last(F.when(F.col("field") == "user-agent", F.col("value")), ignorenulls=True).over(w))
-    return rows.filter(F.col("field").isin("allow", "disallow") & (F.col("value") != "") & (F.col("agent") == agent)).select(origin, (F.col("field") == "allow").alias("allow"), F.col("value").alias("prefix"))
+    """(origin, rules array<struct<allow, path>>): a row per robots file, its rules for the agent in order. A null body has none."""
+    item = pa.list_(pa.struct([("allow", pa.bool_()), ("path", pa.string())]))
+
+    def run(batches):
+        for b in batches:
+            got = [[{"allow": a, "path": p} for a, p in agent_rules(t, agent)] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, item)], [origin, "rules"])
+
+    rows = bodies.select(origin, F.col(body).cast("string"))
+    return rows.mapInArrow(run, f"`{origin}` {dict(rows.dtypes)[origin]}, rules array<struct<allow: boolean, path: string>>")
+
+
+def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """pages with `allowed`: the first rule that the path begins with (or `*`) decides; without one, or without a file, a page may be fetched.
+
+    rules: origin (scheme://host in lower case), rules. A page is one row of the join, whatever the number of its origin's rules.
+    """
 
+    @F.pandas_udf(T.StringType())
+    def paths(s: pd.Series) -> pd.Series:
+        return s.map(asked_path)
 
-def robots_allowed(pages: DataFrame, rules: DataFrame, key: str, url: str = "url") -> DataFrame:
-    """pages with `allowed`: the longest rule whose prefix the path starts with decides; without one, or without a file, a page may be fetched."""
     origin = F.concat(U.scheme(url), F.lit("://"), U.host(url))
-    rows = pages.withColumn("_o", origin).withColumn("_p", F.when(U.path(url) == "", "/").otherwise(F.lower(U.path(url))))
-    hit = rows.select(key, "_o", "_p").join(rules.withColumnRenamed("origin", "_o"), "_o").filter(F.startswith("_p", "prefix"))
-    best = hit.groupBy(key).agg(F.max(F.struct(F.length("prefix").alias("n"), F.col("allow").alias("allow"))).alias("b"))
-    return rows.join(best, key, "left").withColumn("allowed", F.coalesce("b.allow", F.lit(True))).drop("_o", "_p", "b")
+    rows = pages.withColumn("_o", origin).withColumn("_p", paths(url)).join(rules.select(F.col("origin").alias("_o"), F.col("rules").alias("_r")), "_o", "left")
+    met = F.get(F.filter("_r", lambda r: (r["path"] == "*") | F.startswith("_p", r["path"])), F.lit(0))
+    return rows.withColumn("allowed", F.coalesce(met["allow"], F.lit(True))).drop("_o", "_p", "_r")
