@@ -12,6 +12,7 @@ from lodestone.functions import text as X
 from lodestone.functions import urls as U
 from lodestone.operators import evidence as V
 from lodestone.operators import metrics as M
+from lodestone.operators import near as N
 from lodestone.operators import rank as R
 from lodestone.operators import response as Q
 from lodestone.operators import results as S
@@ -52,19 +53,25 @@ def _plan(spark: SparkSession, question: str, options: Options) -> dict:
     return {"mode": mode, "budget": budget, "topics": row.parts if compound else row.plan.topics, "facets": row.parts[:4] if compound else row.facets, "late": row.plan.time_sensitive, "queries": row.plan.queries}
 
 
-def candidates(results: DataFrame, facets: Sequence[str], options: Options) -> DataFrame:
-    """Results in normal form that may be fetched, scored by their best facet, near duplicates merged, best first by `preliminary`, then `pos`.
-
-    results: pos, url, title, snippet, engines, search_score.
-    """
-    rows = S.domain_filter(S.normalize(results).filter(U.unsafe_reason("url").isNull()), "domain", options.include, options.exclude)
-    rows = V.near_results(cut(rows), ["question"]) if "question" in rows.columns else V.near_results(cut(rows.withColumn("question", F.lit(0))), ["question"]).drop("question")
+def graded(rows: DataFrame, facets: Sequence[str]) -> DataFrame:
+    """rows (title, snippet, url, search_score, engines) with, for each facet, scores and fits: whether the row has two of the facet's terms, or all if fewer."""
     subjects = rows.sparkSession.createDataFrame([(list(facets),)], "_f array<string>").select(F.transform("_f", P.subject).alias("_subjects"))
     score = lambda i, f: C.result_score(F.lit(f), F.col("title"), F.col("snippet"), F.col("url"), F.col("search_score"), F.col("engines"), F.get("_subjects", F.lit(i)))
     rows = rows.crossJoin(F.broadcast(subjects)).withColumn("scores", F.array(*(score(i, f) for i, f in enumerate(facets)))).drop("_subjects")  # one row, of a question's facets
     hay = X.meaningful(F.concat_ws(" ", "title", "snippet"))
     fits = F.array(*(F.size(F.array_intersect(F.lit(t), hay)) >= min(2, len(t)) if (t := list(dict.fromkeys(X.meaningful_py(f)))) else F.lit(True) for f in facets))
-    return rows.withColumns({"fits": fits, "preliminary": F.array_max("scores"), "kind": U.source_type("url"), "key": F.coalesce(F.nullif(F.col("canonical_url"), F.lit("")), F.col("url"))})
+    return rows.withColumns({"fits": fits, "preliminary": F.array_max("scores")})
+
+
+def candidates(results: DataFrame, facets: Sequence[str], options: Options) -> DataFrame:
+    """Results in normal form that may be fetched, scored by their best facet, near duplicates merged, best first by `preliminary`, then `pos`.
+
+    results: pos, url, title, snippet, engines, search_score, and perhaps question; groups of any size are merged by near_results(), one
+    question's results, which its caller has bounded by its budget, by merge_few().
+    """
+    rows = S.domain_filter(S.normalize(results).filter(U.unsafe_reason("url").isNull()), "domain", options.include, options.exclude)
+    rows = N.near_results(cut(rows), ["question"]) if "question" in rows.columns else V.merge_few(cut(rows.withColumn("question", F.lit(0))), ["question"]).drop("question")
+    return graded(rows, facets).withColumns({"kind": U.source_type("url"), "key": F.coalesce(F.nullif(F.col("canonical_url"), F.lit("")), F.col("url"))})
 
 
 def research(spark: SparkSession, question: str, results: DataFrame, pages: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
@@ -76,10 +83,13 @@ def research(spark: SparkSession, question: str, results: DataFrame, pages: Data
     options = options or Options()
     plan = _plan(spark, question, options)
     facets = plan["facets"]
-    found = cut(candidates(results, facets, options))
+    # The question's budget of raw results bounds what is merged and chosen from in one task.
+    found = cut(candidates(results.orderBy("pos").limit(plan["budget"]["raw_results"]), facets, options))
     snippets = S.snippets(found, 10, order=[F.desc("preliminary"), "pos"]).drop("scores", "fits")
     limit = min(plan["budget"]["pages"], max(options.max_sources, 1))
-    order = W.fetch_order(found.select(F.lit(0).alias("q"), "pos", "key", "domain", "kind", "preliminary", F.lit(None).cast("double").alias("preferred"), "scores", "fits"), ["q"], limit, len(facets)).drop("q")
+    rows = found.select(F.lit(0).alias("q"), "pos", "key", "domain", "kind", "preliminary", "scores", "fits")
+    rows = rows.join(F.broadcast(W.preferred(rows, ["q"], len(facets)).drop("q")), "key", "left")  # a facet each
+    order = W.fetch_order(rows, ["q"], limit, len(facets)).drop("q")
     chosen = found.join(F.broadcast(order), "key")  # at most a budget's pages
     texts = G.extract_text(pages.withColumn("_u", U.normalize("url")).join(F.broadcast(chosen.select(F.col("url").alias("_u"))), "_u", "left_semi").dropDuplicates(["_u"]).select("_u", "html"), "_u")
     fetched = chosen.join(texts, chosen["url"] == F.col("_u"), "left").withColumn("failed", F.coalesce("failed", F.lit(True)))

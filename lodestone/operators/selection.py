@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import PRIMARY
@@ -55,6 +55,28 @@ def choose(rows: list[dict], limit: int) -> list[dict]:
     return list(taken.values())
 
 
+def preferred(rows: DataFrame, by: Sequence[str], facets: int, least: float = LEAST) -> DataFrame:
+    """(by, key, preferred): which facet each of the first results belongs to, one facet and one result to each other.
+
+    rows: by, key, pos (place among the exact results, interleaved over the facets' searches), arrays of `facets` scores and fits. Only the first `facets`
+    results of a group take part. Facets choose in their order: of the results that are left and fit, the best by the facet's score,
+    the earlier of equals, if that is at least `least`; what is chosen is gone. A group's choice is made in its one row of at most `facets` results.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
+    first = rows.withColumn("_k", place).filter(F.col("_k") <= facets)
+    held = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_k", "key", "scores", "fits"))).alias("held"))
+
+    def choose(done: Column, facet: Column) -> Column:
+        """done and one entry more: the key that the facet takes, or null."""
+        left = F.filter("held", lambda r: ~F.exists(done, lambda d: d.eqNullSafe(r["key"])) & F.get(r["fits"], facet) & (F.get(r["scores"], facet) >= least))
+        best = F.array_min(F.transform(left, lambda r: F.struct((-F.get(r["scores"], facet)).alias("less"), r["_k"].alias("k"), r["key"].alias("key"))))
+        return F.concat(done, F.array(best["key"]))
+
+    kind = dict(rows.dtypes)["key"]
+    taken = F.aggregate(F.sequence(F.lit(0), F.lit(facets - 1)), F.array().cast(f"array<{kind}>"), choose) if facets else F.array().cast(f"array<{kind}>")
+    return held.select(*by, F.posexplode(taken).alias("preferred", "key")).filter("key is not null").select(*by, "key", F.col("preferred").cast("double").alias("preferred"))
+
+
 def fetch_order(rows: DataFrame, by: Sequence[str], limit: int, facets: int) -> DataFrame:
     """(by, key, position): see choose(). rows: by, key, pos, domain, kind, preliminary, preferred, and arrays of `facets` scores and fits.
 

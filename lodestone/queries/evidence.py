@@ -31,8 +31,10 @@ def _scored(spark, sf_dir):
     return rows.select("pos", "question_id", "facet", "question", "url", "title", "snippet", "engines", score.alias("score"))
 
 
-_SCORED = f"""{RESULTS},
-q AS (SELECT * FROM {D.values([(i, k, v) for i, (k, v) in enumerate(PLAIN.items())], 'v(facet, question_id, question)')}),
+def scored_sql(questions: dict[str, str]) -> str:
+    """CTEs up to scored(pos, facet, question_id, terms, content, score): pages as results, scored for each question."""
+    return f"""{RESULTS},
+q AS (SELECT * FROM {D.values([(i, k, v) for i, (k, v) in enumerate(questions.items())], 'v(facet, question_id, question)')}),
 qt AS (SELECT facet, question_id, list_distinct({D.meaningful('question')}) AS terms FROM q),
 h AS (SELECT pos, title, engines, search_score, {D.source_type('url')} AS kind, list_distinct({D.meaningful(f"(title || ' ' || snippet || ' ' || {D.host('url')} || ' ' || replace({D.part('url', 3)}, '/', ' '))")}) AS hay,
   list_distinct({D.meaningful("(title || ' ' || snippet)")}) AS content FROM r),
@@ -42,6 +44,9 @@ scored AS (SELECT pos, facet, question_id, terms, content, round(greatest(0.0, l
   - CASE WHEN CAST(contains({D.casefold('title')}, 'best') AS INT) + CAST(contains({D.casefold('title')}, 'top 10') AS INT) + CAST(contains({D.casefold('title')}, 'ultimate guide') AS INT) >= 2 THEN 0.18 ELSE 0 END)), 4)::DOUBLE AS score FROM o)"""
 
 
+_SCORED = scored_sql(PLAIN)
+
+
 def search_result_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("pos", "question_id", "score")
 
