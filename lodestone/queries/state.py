@@ -111,24 +111,52 @@ def coalesced_keys(spark, sf_dir):
 register("coalesced_keys", ("X4", "Z4"), coalesced_keys, "SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS leader FROM events")
 
 
+def _searches(spark, sf_dir):
+    """Events as searches of three callers: as many minutes long as their value says, errors without a result."""
+    e = table(spark, sf_dir, "events").withColumn("ended", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.coalesce(F.abs("value"), F.lit(0.0)) * 60_000_000)))
+    calls = e.select((F.col("user_id") % 3).alias("caller"), "event_id", "ts", "ended", (F.col("event_type") != "error").alias("completed"))
+    return Z.suppressed(calls, ["caller"], "ts", "ended", "completed", 300, "event_id")
+
+
+_SEARCHES = """e AS (SELECT user_id % 3 AS caller, event_id, epoch_us(ts) AS t, epoch_us(ts) + CAST(floor(coalesce(abs(value), 0) * 60000000) AS BIGINT) AS u, coalesce(event_type <> 'error', FALSE) AS done,
+    row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT caller, event_id, k, u AS until, done AS will, CAST(NULL AS BIGINT) AS completed, CAST(NULL AS VARCHAR) AS reason FROM e WHERE k = 1
+  UNION ALL SELECT caller, event_id, k, CASE WHEN reason IS NULL THEN u ELSE until END, CASE WHEN reason IS NULL THEN done ELSE will END, was, reason FROM
+  (SELECT *, CASE WHEN t < until THEN 'active' WHEN t - was < 300000000 THEN 'completed' END AS reason FROM
+    (SELECT e.caller, e.event_id, e.k, e.t, e.u, e.done, f.until, f.will, CASE WHEN e.t >= f.until AND f.will THEN f.until ELSE f.completed END AS was FROM f JOIN e ON e.caller = f.caller AND e.k = f.k + 1)))"""
+
+
 def duplicate_search_suppression(spark, sf_dir):
-    calls = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("caller"), "event_id", "ts")
-    return Z.soon_after(calls, ["caller"], "ts", 300).select("caller", "event_id", "repeated")
+    return _searches(spark, sf_dir).groupBy("caller", F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-register("duplicate_search_suppression", ("X7",), duplicate_search_suppression, "SELECT user_id % 3 AS caller, event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id % 3 ORDER BY ts) < 300000000, FALSE) AS repeated FROM events")
+register("duplicate_search_suppression", ("X7",), duplicate_search_suppression, f"WITH RECURSIVE {_SEARCHES} SELECT caller, coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM f GROUP BY ALL")
 
 
 def accepted_searches(spark, sf_dir):
-    calls = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("caller"), "event_id", "ts")
-    return Z.suppressed(calls, ["caller"], "ts", 300, "event_id").select("caller", "event_id", "accepted")
+    return _searches(spark, sf_dir).select("caller", "event_id", "accepted", "reason")
+
+
+register("accepted_searches", ("X7",), accepted_searches, f"WITH RECURSIVE {_SEARCHES} SELECT caller, event_id, reason IS NULL AS accepted, reason FROM f")
+
+
+def cache_lookups(spark, sf_dir):
+    """Errors and clicks write entries of their user's key, failures among them; all other events look their user's entry up."""
+    e = table(spark, sf_dir, "events").withColumn("key", F.col("user_id") % 40)
+    writes = e.filter("event_type in ('error', 'click')").select("key", "event_id", F.col("ts").alias("created_at"), (F.col("event_type") == "error").alias("negative"), F.when(F.col("event_type") == "error", "failures").otherwise("search").alias("namespace"))
+    writes = writes.withColumn("expires_at", F.timestamp_micros(F.unix_micros(F.col("created_at").cast("timestamp")) + Z.lifetime(F.col("namespace")).cast("long") * 1_000_000))
+    reads = e.filter("event_type not in ('error', 'click')").select("key", "event_id", "ts")
+    got = Z.lookups(reads, writes, ["key"], "ts", "created_at", "expires_at", "event_id", 3_600)
+    outcome = F.when((F.col("found") == "hit") & F.col("entry.negative"), "negative").otherwise(F.col("found"))
+    return got.select("event_id", F.col("entry.event_id").alias("entry"), outcome.alias("outcome"))
 
 
-register("accepted_searches", ("X7",), accepted_searches, """
-WITH RECURSIVE e AS (SELECT user_id % 3 AS caller, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS k FROM events),
-f AS (SELECT caller, event_id, t AS last, k, TRUE AS accepted FROM e WHERE k = 1 UNION ALL
- SELECT e.caller, e.event_id, CASE WHEN e.t - f.last >= 300000000 THEN e.t ELSE f.last END, e.k, e.t - f.last >= 300000000 FROM f JOIN e ON e.caller = f.caller AND e.k = f.k + 1)
-SELECT caller, event_id, accepted FROM f""")
+register("cache_lookups", ("X1", "X3"), cache_lookups, """
+WITH w AS (SELECT user_id % 40 AS key, ts AS created, max(event_id) AS entry FROM events WHERE event_type IN ('error', 'click') GROUP BY ALL),
+n AS (SELECT w.key, w.created, w.entry, event_type = 'error' AS negative, w.created + to_seconds(CASE WHEN event_type = 'error' THEN 300 ELSE 1800 END) AS expires FROM w JOIN events e ON e.event_id = w.entry),
+r AS (SELECT user_id % 40 AS key, event_id, ts FROM events WHERE event_type NOT IN ('error', 'click'))
+SELECT r.event_id, n.entry, CASE WHEN n.entry IS NULL THEN 'miss' WHEN n.expires <= r.ts THEN 'expired' WHEN n.negative THEN 'negative' ELSE 'hit' END AS outcome
+FROM r ASOF LEFT JOIN n ON r.key = n.key AND r.ts >= n.created""")
 
 
 def circuit_breaker(spark, sf_dir):

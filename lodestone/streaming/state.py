@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 LIFETIMES = {"search": 30, "failures": 5, "robots": 360}
 TRANSIENT = (408, 425, 429, 500, 502, 503, 504)
 FAILURES, OPEN_SECONDS, COOLDOWN = 3, 60, 5
+#: Why a search is suppressed.
+ACTIVE, COMPLETED = "active", "completed"
 
 
 def lifetime(namespace: Column, retention_days: int = 7) -> Column:
@@ -51,8 +53,8 @@ def sweep(cache: DataFrame, requests: DataFrame, evidence: DataFrame, passages:
     }
 
 
-def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], bool], read: Sequence[str], name: str) -> DataFrame:
-    """rows with a boolean `name`: what `step` says of each row's `read` columns, given the state that the rows before it in its group left.
+def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], Any], read: Sequence[str], name: str, kind: str = "boolean") -> DataFrame:
+    """rows with `name` of type `kind` (boolean or string): what `step` says of each row's `read` columns, given the state that the rows before it in its group left.
 
     One shuffle by group and an external sort; the fold itself holds one state and one batch, however long a group is.
     """
@@ -67,23 +69,97 @@ def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str], start: Call
                 if key != last:
                     last, state = key, start()
                 out.append(step(state, x))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], [*names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, {"boolean": pa.bool_(), "string": pa.string()}[kind])], [*names, name])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, f"{schema}, `{name}` boolean")
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, f"{schema}, `{name}` {kind}")
 
 
-def suppressed(calls: DataFrame, by: Sequence[str], at: str, seconds: int = COOLDOWN, order: str | None = None) -> DataFrame:
-    """calls with `accepted`: false within `seconds` of the last accepted call of the caller. A chain over accepted calls, folded in order of time."""
-    rows = calls.withColumn("_e", F.unix_micros(F.col(at).cast("timestamp")))
+class Searches:
+    """A caller's searches: when the one that runs ends, and when one was last completed (microseconds)."""
+
+    def __init__(self, until: int | None = None, running: bool = False, completed: int | None = None):
+        self.until, self.running, self.completed = until, running, completed
+
+    def claim(self, at: int, until: int, completes: bool, cooldown: int) -> str | None:
+        """Why a search at that time is suppressed; null if it runs. A search that ends at that moment, or was completed a whole cooldown ago, is no hindrance."""
+        if self.until is not None and at >= self.until:
+            if self.running:  # whether it is completed is known by now
+                self.completed = self.until
+            self.until, self.running = None, False
+        if self.until is not None:
+            return ACTIVE
+        if self.completed is not None and at - self.completed < cooldown:
+            return COMPLETED
+        self.until, self.running = max(at, until), completes
+        return None
+
+
+def suppressed(calls: DataFrame, by: Sequence[str], at: str, ended: str, completed: str, seconds: int = COOLDOWN, order: str | None = None) -> DataFrame:
+    """calls with `accepted` and `reason`: a caller's search is suppressed while one of theirs runs ("active") and for `seconds` after one was completed ("completed").
+
+    ended: when the search would end if it ran; completed: whether it would then have a result. Only searches that ran count, and of those only completed ones start the
+    pause. Null ends or outcomes count as at once and not completed. A chain over accepted calls, folded in order of time, then `order`; a caller's state is one record.
+    """
+    rows = calls.withColumns({"_e": F.unix_micros(F.col(at).cast("timestamp")), "_u": F.unix_micros(F.coalesce(ended, at).cast("timestamp")), "_c": F.coalesce(F.col(completed), F.lit(False))})
+    out = folded(rows, by, ["_e", order or at], Searches, lambda s, x: s.claim(x[0], x[1], x[2], seconds * 1_000_000), ["_e", "_u", "_c"], "reason", "string").drop("_e", "_u", "_c")
+    return out.withColumn("accepted", F.col("reason").isNull())
+
+
+def suppressed_stream(calls: DataFrame, by: str, seconds: int = COOLDOWN, lateness: str = "1 minute") -> DataFrame:
+    """The same over a stream of calls (by, id, at, ended timestamps, completed): a caller's state goes once event time has passed its search's end and pause."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def step(state: list, x: tuple) -> bool:
-        fine = not state or x[0] - state[0] >= seconds * 1_000_000
-        if fine:
-            state[:] = x
-        return fine
+    kind, pause = dict(calls.dtypes)[by], seconds * 1_000_000
 
-    return folded(rows, by, ["_e", order or at], list, step, ["_e"], "accepted").drop("_e")
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = Searches(*(None if x == -1 else x for x in state.get)) if state.exists else Searches()
+        s.running = bool(s.running)
+        rows = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
+        moments = zip((rows["at"].astype("datetime64[us]").astype("int64")), (rows["ended"].fillna(rows["at"]).astype("datetime64[us]").astype("int64")), rows["completed"].fillna(False).astype(bool), strict=True)
+        out = rows.assign(reason=[s.claim(a, u, c, pause) for a, u, c in moments])
+        state.update((-1 if s.until is None else s.until, int(s.running), -1 if s.completed is None else s.completed))
+        # State that a later call could still ask for stays; event time must pass it and the watermark's lateness.
+        free = max(s.until or 0, s.completed or 0) + pause
+        state.setTimeoutTimestamp(max(free // 1000, state.getCurrentWatermarkMs() + 1))
+        yield out[[by, "id", "at", "reason"]]
+
+    rows = calls.withWatermark("at", lateness).select(by, "id", "at", "ended", "completed")
+    return rows.groupBy(by).applyInPandasWithState(run, f"`{by}` {kind}, id long, at timestamp, reason string", "until long, running int, completed long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def lookups(requests: DataFrame, entries: DataFrame, by: Sequence[str], at: str, created: str, expires: str, tie: str, seconds: int = 86_400) -> DataFrame:
+    """requests with `entry` (the struct of entries' columns that a lookup finds, or null) and `found`: hit, expired or miss.
+
+    The entry is the latest of the key at the request's moment, of equal moments that with the largest `tie`; one that expires at that moment has
+    expired. Keys may be hot: rows meet by key and time slice of `seconds`, and what a slice starts with comes from the last
+    entries of the slices before, a row per key and slice. Null keys find nothing.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    part = lambda t: F.floor(t / (seconds * 1_000_000))
+    keys, held = list(by), F.struct(*(F.col(c) for c in entries.columns))
+    e = entries.select(*keys, micros(created).alias("_t"), F.lit(0).alias("_kind"), F.col(tie).alias("_tie"), held.alias("_entry"), F.lit(None).cast(requests.schema).alias("_request"))
+    r = requests.select(*keys, micros(at).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(entries.dtypes)[tie]).alias("_tie"), F.lit(None).cast(entries.schema).alias("_entry"), F.struct(*(F.col(c) for c in requests.columns)).alias("_request"))
+    both = e.unionByName(r).withColumn("_part", part(F.col("_t")))
+    # What each slice ends with, then what each begins with: a row per key and slice.
+    ends = both.groupBy(*keys, "_part").agg(F.max_by(F.when(F.col("_kind") == 0, F.col("_entry")), F.when(F.col("_kind") == 0, F.struct("_t", "_tie"))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "_part", F.last("_last", ignorenulls=True).over(before).alias("_first"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_t", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_seen", F.last("_entry", ignorenulls=True).over(inside)).filter("_kind = 1")
+    same = F.lit(True)
+    for k in keys:
+        same = same & seen[k].eqNullSafe(starts[k])
+    met = seen.join(starts, same & (seen["_part"] == starts["_part"]), "left").select(seen["_request"], F.coalesce(seen["_seen"], starts["_first"]).alias("entry"), seen["_t"])
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(f"_request.{k}").isNotNull()
+    met = met.withColumn("entry", F.when(named, F.col("entry")))
+    stale = F.unix_micros(F.col(f"entry.{expires}").cast("timestamp")) <= F.col("_t")
+    return met.select("_request.*", "entry", F.when(F.col("entry").isNull(), "miss").when(stale, "expired").otherwise("hit").alias("found"))
 
 
 def paced(calls: DataFrame, by: Sequence[str], at: str, took: str, interval_ms: int, order: str) -> DataFrame:
