@@ -24,10 +24,11 @@ def quality(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.0625), F.least(F.lit(1.0), size / F.lit(50.0)) * (F.lit(1.0) - F.least(F.lit(1.0), signs / F.greatest(size, F.lit(1)))))
 
 
-def exponential(doc_id: Column, source: Column, weight: Column, seed: str = SEED, text: Column | None = None) -> Column:
-    """-ln(u) / weight, with u from the hash of seed, id (of the text where there is none) and source: the same on every run."""
-    name = F.when(doc_id.isNull(), F.md5(text.cast("binary")) if text is not None else F.lit("")).otherwise(doc_id.cast("string"))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), name, F.coalesce(source, F.lit(""))).cast("binary"))
+def exponential(doc_id: Column, source: Column, weight: Column, seed: str = SEED, body: Column | None = None, copy: Column | None = None) -> Column:
+    """-ln(u) / weight, with u from the hash of seed, id (`body` where there is none), source and, beyond the first, the number of the copy: the same on every run."""
+    name = F.when(doc_id.isNull(), body if body is not None else F.lit("")).otherwise(doc_id.cast("string"))
+    more = F.when(copy > 0, copy.cast("string")) if copy is not None else F.lit(None).cast("string")  # concat_ws passes over nulls
+    digest = F.md5(F.concat_ws(":", F.lit(seed), name, F.coalesce(source, F.lit("")), more).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
@@ -53,8 +54,10 @@ def bucketed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     """Every document with its key, its source's sums and target, and its bucket: about `bucket` documents of a source that follow one another by key."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(body).alias("body"), body.alias("text"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"))
-    rows = rows.withColumn("weight", weight(F.col("text"), F.col("size")))
-    rows = rows.withColumn("key", exponential(F.col("doc_id"), F.col("source"), F.col("weight"), seed, F.col("text"))).drop("text").withColumn("group", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    rows = rows.withColumn("weight", weight(F.col("text"), F.col("size"))).withColumn("named", F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary")))).drop("text")
+    # Repeated rows are counted first and numbered, so that each has a key of its own and they spread over the buckets.
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = rows.withColumn("key", exponential(F.col("doc_id"), F.col("source"), F.col("weight"), seed, F.col("named"), F.col("copy"))).drop("named", "copies", "copy").withColumn("group", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     rows = cut(rows)
     total = rows.count()
     classes = rows.groupBy("group", "source", F.least(F.lit(CLASSES), F.greatest(F.lit(1), F.ceil(F.col("weight") * CLASSES))).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
@@ -92,11 +95,11 @@ def take(docs: DataFrame, taken: DataFrame, doc_id: str = "doc_id", text: str =
     Repeated rows, which mix() draws one by one, share a text, so what they take in all is given from one of them. Documents without words are not in a mix.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    key, all_words, own_words, one, copy = unused(docs, "_ident", "_taken", "_size", "_one", "_words")
+    key, all_words, own_words, copy = unused(docs, "_ident", "_taken", "_size", "_words")
     ident = lambda d, s, b: F.struct(d.isNull().alias("a"), F.coalesce(d.cast("long"), F.lit(0)).alias("b"), s.isNull().alias("c"), F.coalesce(s, F.lit("")).alias("d"), b.alias("e"))
     sums = taken.groupBy(ident(F.col("doc_id"), F.col("source"), F.col("body")).alias(key)).agg(F.sum("taken").alias(all_words), F.max("size").alias(own_words)).filter(F.col(all_words) > 0)
     rows = docs.withColumn(key, ident(F.col(doc_id), F.col(source).cast("string"), F.xxhash64(body)))
-    rows = rows.withColumn(one, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(one) == 1).join(sums, key)
+    rows = rows.dropDuplicates([key]).join(sums, key)  # combined before the shuffle: one text of each document in a task travels
     whole, over = F.floor(F.col(all_words) / F.col(own_words)).cast("int"), (F.col(all_words) % F.col(own_words)).cast("int")
     rows = rows.withColumn(copy, F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(over > 0, F.array(over)).otherwise(F.array().cast("array<int>")))))
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -97,3 +97,17 @@ def test_awkward_rows(spark, documents, awkward):
     out = M.take(docs, taken)
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out.collect()) == sum(r.taken for r in rows) and out.columns == docs.columns
     assert M.mix(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_spread_over_buckets_and_share_one_text(spark, documents):
+    """A third of all rows is one row; the mix takes from it what its source's words allow, and gives its text that often."""
+    rows = [(i, f"own words of text {i}", "en", "s1") for i in range(6_000)] + [(7, "the same row again and again", "en", "s1")] * 3_000
+    docs = documents(rows)
+    sizes = [r["count"] for r in M.bucketed(docs, bucket=100).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 9_000 and max(sizes) < 300
+    taken = M.mix(docs, bucket=100)
+    assert taken.count() == 9_000
+    words = taken.groupBy().sum("taken").first()[0]
+    given = M.take(docs, taken).select(F.sum(F.regexp_count("text", F.lit(r"[^ ]+")))).first()[0]
+    target = taken.first().target
+    assert words == given and abs(words - target) <= 2 * 6
