@@ -155,18 +155,26 @@ _RUN, _PART, _CAMEL = re.compile(r"[\w+#.-]{2,}"), re.compile(r"[\w+#-]{2,}"), r
 _STOP = frozenset(STOP)
 
 
+@functools.lru_cache(1 << 16)
+def _parts(raw: str) -> tuple[str, ...]:
+    """The tokens of one run of word signs; texts repeat their words, so most are known."""
+    t = raw.strip(".-")
+    if len(t) < 2:
+        return ()
+    out = [t]
+    if "." in t or (not t.islower() and _CAMEL.search(t)):
+        own = _PART.findall(_CAMEL.sub(" ", t.replace(".", " ")))
+        out = own if len(own) > 1 and re.search(r"[^\W\d_]", t) else [t]
+    return tuple(x.lower().replace("ß", "ss") for x in out)
+
+
+@functools.lru_cache(1 << 16)
+def _meanings(raw: str) -> tuple[str, ...]:
+    return tuple(inflection_py(t) for t in _parts(raw) if t not in _STOP)
+
+
 def tokens_py(value: str) -> list[str]:
-    out: list[str] = []
-    for raw in _RUN.findall(value):
-        t = raw.strip(".-")
-        if len(t) < 2:
-            continue
-        if "." in t or (not t.islower() and _CAMEL.search(t)):
-            own = _PART.findall(_CAMEL.sub(" ", t.replace(".", " ")))
-            out += own if len(own) > 1 and re.search(r"[^\W\d_]", t) else [t]
-        else:
-            out.append(t)
-    return [x.lower().replace("ß", "ss") for x in out]
+    return [t for raw in _RUN.findall(value) for t in _parts(raw)]
 
 
 _SUFFIXES = (("ies", 5, 3, "y"), ("ing", 6, 3, None), ("ied", 5, 3, "y"), ("ed", 5, 2, None))
@@ -186,7 +194,7 @@ def inflection_py(t: str) -> str:
 
 
 def meaningful_py(value: str) -> list[str]:
-    return [inflection_py(t) for t in tokens_py(value) if t not in _STOP]
+    return [t for raw in _RUN.findall(value) for t in _meanings(raw)]
 
 
 def bigrams_py(words: list[str]) -> list[str]:

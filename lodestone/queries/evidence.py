@@ -124,7 +124,7 @@ register("near_results", ("A3", "R12"), near_results)
 def _talk(spark, sf_dir):
     """Conversations as evidence: the user's first turn asks, assistant turns answer; risks, sources and scores by number."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    ask = t.filter("turn = 0").select("conv_id", F.posexplode(F.slice(F.filter(F.transform(F.split("text", r"\."), lambda x: F.trim(x)), lambda x: x != ""), 1, 4)).alias("pos", "topic"))
+    ask = t.filter("turn = 0").select("conv_id", F.posexplode(F.filter(F.transform(F.split("text", r"\."), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "topic"))
     n = F.col("conv_id") + F.col("turn")
     ev = t.filter("turn > 0").select("conv_id", F.col("turn").alias("evidence_id"), n.alias("n"), "text", F.when(n % 7 == 0, "high").otherwise("low").alias("risk"), F.col("turn").alias("source_id"))
     src = ev.select("conv_id", "source_id", F.format_string("d%d", F.col("n") % 3).alias("domain"), ((F.col("n") % 5) / 5).alias("relevance"), F.get(F.lit(["web_page", "publication", "official_documentation"]), (F.col("n") % 3).cast("int")).alias("source_type"))
@@ -132,7 +132,7 @@ def _talk(spark, sf_dir):
 
 
 _TALK = """t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
-a AS (SELECT conv_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: x <> '')[1:4] AS topics FROM t WHERE turn = 0),
+a AS (SELECT conv_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: x <> '') AS topics FROM t WHERE turn = 0),
 ask AS (SELECT conv_id, unnest(topics) AS topic, unnest(range(len(topics))) AS pos FROM a),
 ev AS (SELECT conv_id, turn AS evidence_id, conv_id + turn AS n, text, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'high' ELSE 'low' END AS risk, turn AS source_id FROM t WHERE turn > 0),
 src AS (SELECT conv_id, source_id, 'd' || (n % 3) AS domain, (n % 5) / 5::DOUBLE AS relevance, ['web_page', 'publication', 'official_documentation'][n % 3 + 1] AS source_type FROM ev)"""

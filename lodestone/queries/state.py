@@ -339,7 +339,7 @@ def _packages(spark, sf_dir):
     url = F.concat(F.lit("https://"), "domain", F.lit(".example/"), F.col("source_id").cast("string"))
     s = src.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.format_string("src_%03d", "source_id").alias("source_id"), F.col("domain").alias("title"), url.alias("url"), "source_type"))).alias("sources"))
     e = ev.filter("risk <> 'high'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.format_string("[src_%03d, ev_%03d]", "source_id", "evidence_id").alias("citation"), F.format_string("src_%03d", "source_id").alias("source_id"), "text"))).alias("evidence"))
-    sn = ev.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.format_string("[search_%03d]", "evidence_id").alias("citation"), F.when(F.col("evidence_id") % 3 == 0, "expanded").otherwise("exact").alias("role"), F.left("text", F.lit(60)).alias("title"), F.concat(F.lit("https://x.example/"), F.col("evidence_id").cast("string")).alias("url"), F.left("text", F.lit(400)).alias("text"), (F.col("evidence_id") / 10).alias("relevance")))).alias("search_snippets"))
+    sn = ev.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.format_string("[search_%03d]", "evidence_id").alias("citation"), F.when(F.col("evidence_id") % 3 == 0, "expanded").otherwise("exact").alias("role"), F.substring_index("text", ".", 1).alias("title"), F.concat(F.lit("https://x.example/"), F.col("evidence_id").cast("string")).alias("url"), "text", (F.col("evidence_id") / 10).alias("relevance")))).alias("search_snippets"))
     none = F.array().cast("array<string>")
     cover = F.struct(F.lit("weak").alias("status"), F.lit(0.4).alias("score"), F.slice(F.split("question", "; "), 1, 2).alias("covered_topics"), none.alias("missing_topics"))
     package = F.to_json(F.struct("question", cover.alias("coverage"), "sources", "evidence", "search_snippets", none.alias("contradictions"), none.alias("failures"), F.array(F.lit("a warning"), F.lit("a warning")).alias("warnings"), none.alias("unresolved_questions")))
