@@ -69,6 +69,21 @@ def _matches(q: Column, row: Column) -> Column:
     return bind(F.filter(row["found"], lambda x: F.array_contains(q["terms"], x["t"])), view)
 
 
+def rarity(df: Column, docs: Column) -> Column:
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5))
+
+
+def saturated(tf: Column, n: Column, avg_n: Column) -> Column:
+    """What tf occurrences of a term count for in a passage of n words."""
+    return tf * 2.2 / (tf + K1 * ((1 - B) + B * n / F.greatest(F.lit(1.0), avg_n)))
+
+
+def raw_score(tf: Column, bonus: Column) -> Column:
+    """The score of a row (docs, df per term, n, avg_n) before it is divided by the question's best."""
+    term = lambda x, i: F.when(x > 0, rarity(F.get("df", i), F.col("docs")) * saturated(x, F.col("n"), F.col("avg_n"))).otherwise(F.lit(0.0))
+    return F.aggregate(F.transform(tf, term), F.lit(0.0), lambda a, x: a + x) + bonus
+
+
 def rank(passages: DataFrame, questions: dict[str, str], key: str, text: str = "text", heading: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by, question_id, key, score, coverage) of every passage for every question; the corpus is the passages of one `by` group.
 
@@ -86,9 +101,8 @@ def rank(passages: DataFrame, questions: dict[str, str], key: str, text: str = "
     stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n"), F.array(*(F.array(*(count(q, t) for t in range(most))) for q in range(len(questions)))).alias("df"))
     # Without groups, stats is one row.
     rows = (rows.join(stats, list(by)) if by else rows.crossJoin(F.broadcast(stats))).select(*by, key, "n", "docs", "avg_n", "df", F.posexplode("v").alias("q", "m")).withColumn("df", F.get("df", F.col("q")))
-    term = lambda tf, i: F.when(tf > 0, F.log(1 + (F.col("docs") - F.get("df", i) + 0.5) / (F.get("df", i) + 0.5)) * tf * 2.2 / (tf + K1 * ((1 - B) + B * F.col("n") / F.greatest(F.lit(1.0), F.col("avg_n"))))).otherwise(F.lit(0.0))
     tf = F.col("m.tf")
-    raw = F.aggregate(F.transform(tf, term), F.lit(0.0), lambda a, x: a + x) + F.col("m.bonus")
+    raw = raw_score(tf, F.col("m.bonus"))
     share = F.when(F.size(tf) > 0, F.size(F.filter(tf, lambda x: x > 0)) / F.size(tf)).otherwise(F.lit(0.0))
     group, some = [*by, "question_id"], F.exists(tf, lambda x: x > 0) | (F.col("m.bonus") != 0)
     # A passage without a match costs no arithmetic.

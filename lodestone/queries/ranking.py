@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import index as I
 from lodestone.operators import rank as R
+from lodestone.plans.lineage import shared_folder
 from lodestone.registry import register
 from lodestone.sources.tables import table, texts
 
@@ -64,6 +68,22 @@ WITH {rank_sql("SELECT doc_id, 0 AS grp, text FROM documents", "doc_id", QUESTIO
 SELECT question_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {TOP}""")
 
 
+def index_topk(spark, sf_dir):
+    """The index of all documents, written to the shared folder, then each question by its postings."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    I.build(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", folder, blocks=8)
+    index, out = I.Index(spark, folder), None
+    for name, question in QUESTIONS.items():
+        one = index.top(question, TOP, first=2).select(F.lit(name).alias("question_id"), "rank", F.col("key").alias("doc_id"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+register("index_topk", ("R1", "J1", "W1"), index_topk, f"""
+WITH {rank_sql("SELECT doc_id, 0 AS grp, text FROM documents", "doc_id", QUESTIONS)}
+SELECT question_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {TOP}""")
+
+
 def facet_rank(spark, sf_dir):
     return R.rank_facets(texts(spark, sf_dir, "documents", "doc_id", "text"), QUESTIONS, "doc_id")
 
