@@ -260,12 +260,50 @@ def extracts(rows: DataFrame, text: str, question: Column | str, limit: int) ->
 
 # ---- a context of blocks for a model ----
 
-
-def context_blocks(rows: DataFrame, by: Sequence[str], order: str, block: Column, budget: int, most: int) -> DataFrame:
-    """rows with `label_number` and `included`: of the first `most` blocks of each group those that still fit, in order; a block that doesn't is passed over."""
-    rows = rows.withColumn("label_number", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("label_number") <= most).withColumn("_n", F.length(block))
-    sizes = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("label_number", "_n"))).alias("_b"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
-    step = lambda s, x: F.when(s["used"] + x["_n"] <= budget, F.struct((s["used"] + x["_n"]).alias("used"), F.concat(s["kept"], F.array(x["label_number"])).alias("kept"))).otherwise(s)
-    kept = sizes.select(*by, F.aggregate("_b", start, step)["kept"].alias("_kept"))
-    return rows.join(kept, list(by)).withColumn("included", F.array_contains("_kept", F.col("label_number"))).drop("_n", "_kept")
+#: Signs of a block of a snippet and of a passage; citations of passages (fixed values).
+SNIPPET_BLOCK, EVIDENCE_BLOCK = 800, 1_500
+CITED = r"^\[(?:src_\d{3}(?:,\s*ev_\d{3})?|search_\d{3}|(?:EV|SN|E|S)\d+)\]$"
+UNVERIFIED = " UNVERIFIED SEARCH SNIPPET\n"
+
+
+def _stripped(c: str | Column) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string"), r"^\s+|\s+$", "")
+
+
+def _lines(*parts: Column) -> Column:
+    """The parts that are not empty, a line each."""
+    return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
+
+
+def contexts(snippets: DataFrame, evidence: DataFrame, by: Sequence[str], budget: int = 16_000, records: int = 10, passages: int = 8) -> DataFrame:
+    """(by, context, citations map<label, citation>, supports map<label, text>): what a model gets to read for each group, within `budget` characters.
+
+    snippets: by, pos, title, text, url, citation, risk; evidence: by, pos, title (of its source), text, citation. The first `records` snippets come first,
+    within half the budget, without those of high risk; then the first `passages` passages with a proper citation. A snippet keeps its place's number, passages are
+    counted as they come. A block that doesn't fit is passed over; one without a body is none. A label stands for the citation, or the URL where a snippet has
+    none; what supports it is its text as far as the block shows it. Groups without any block have an empty context.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
+    label = lambda kind: F.concat(F.lit(f"[{kind}"), F.col("_k").cast("string"), F.lit("]"))
+    parts = ("kind", "k", "label", "block", "cited", "support")
+    s = snippets.withColumn("_k", place).filter(F.col("_k") <= records).filter(F.coalesce(F.col("risk"), F.lit("low")) != "high")
+    s = s.withColumns({"_s": _lines(_stripped("title"), _stripped("text")), "_p": F.concat(label("SN"), F.lit(UNVERIFIED))}).withColumn("_b", _lines(F.col("_s"), _stripped("url"))).filter("_b <> ''")
+    cited = F.coalesce(F.nullif(F.col("citation"), F.lit("")), F.col("url"), F.lit(""))
+    s = s.select(*by, F.struct(F.lit(0).alias("kind"), F.col("_k").alias("k"), label("SN").alias("label"), F.left(F.concat("_p", "_b"), F.lit(SNIPPET_BLOCK)).alias("block"), cited.alias("cited"), F.left("_s", SNIPPET_BLOCK - F.length("_p")).alias("support")).alias("b"))
+    e = evidence.withColumn("_k", place).filter(F.col("_k") <= passages).withColumn("_c", _stripped("citation")).filter(F.col("_c").rlike(CITED)).withColumn("_k", place)
+    e = e.withColumns({"_s": _stripped(F.concat(_stripped("title"), F.lit("\n"), _stripped("text"))), "_p": F.concat(label("EV"), F.lit("\n"))}).filter(_stripped("text") != "")
+    e = e.select(*by, F.struct(F.lit(1).alias("kind"), F.col("_k").alias("k"), label("EV").alias("label"), F.left(F.concat("_p", "_s"), F.lit(EVIDENCE_BLOCK)).alias("block"), F.col("_c").alias("cited"), F.left("_s", EVIDENCE_BLOCK - F.length("_p")).alias("support")).alias("b"))
+    groups = snippets.select(*by).unionByName(evidence.select(*by)).distinct()
+    blocks = s.unionByName(e).groupBy(*by).agg(F.array_sort(F.collect_list("b")).alias("_b"))  # at most records + passages
+    kind = ", ".join(f"{p}: {'int' if p in ('kind', 'k') else 'string'}" for p in parts)
+    start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<struct<{kind}>>").alias("kept"))
+    room = lambda x: F.when(x["kind"] == 0, F.lit(budget // 2)).otherwise(F.lit(budget))
+
+    def step(held: Column, x: Column) -> Column:
+        used = held["used"] + F.length(x["block"])
+        return F.when(used <= room(x), F.struct(used.alias("used"), F.concat(held["kept"], F.array(x)).alias("kept"))).otherwise(held)
+
+    kept = blocks.select(*by, F.aggregate("_b", start, step)["kept"].alias("_kept"))
+    field = lambda name: F.coalesce(F.transform("_kept", lambda x: x[name]), F.array().cast("array<string>"))
+    out = groups.join(kept, list(by), "left")
+    return out.select(*by, F.array_join(field("block"), "\n\n").alias("context"), F.map_from_arrays(field("label"), field("cited")).alias("citations"), F.map_from_arrays(field("label"), field("support")).alias("supports"))

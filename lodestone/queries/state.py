@@ -17,7 +17,7 @@ from lodestone.sources.tables import table, texts
 from lodestone.streaming import state as Z
 
 from . import duck as D
-from .evidence import PLAIN, _talk
+from .evidence import _TALK, PLAIN, _talk
 
 NOW = "2024-01-20 00:00:00"
 
@@ -384,17 +384,37 @@ def read_responses(spark, sf_dir):
 register("read_responses", ("P3",), read_responses)
 
 
-def context_builder(spark, sf_dir):
-    _, ev, _ = _talk(spark, sf_dir)
-    out = Q.context_blocks(ev.select("conv_id", "evidence_id", "text"), ["conv_id"], "evidence_id", F.left(F.concat(F.lit("[EV]\n"), "text"), F.lit(800)), 1500, 8)
-    return out.select("conv_id", "evidence_id", "label_number", "included")
+CONTEXT = 2_400
 
 
-register("context_builder", ("P8",), context_builder, """
-WITH RECURSIVE e AS (SELECT conv_id, turn AS evidence_id, length(left('[EV]' || chr(10) || coalesce(text, ''), 800)) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn > 0),
-f AS (SELECT conv_id, evidence_id, k, CASE WHEN n <= 1500 THEN n ELSE 0 END AS used, n <= 1500 AS included FROM e WHERE k = 1 UNION ALL
- SELECT e.conv_id, e.evidence_id, e.k, f.used + CASE WHEN f.used + e.n <= 1500 THEN e.n ELSE 0 END, f.used + e.n <= 1500 FROM f JOIN e ON e.conv_id = f.conv_id AND e.k = f.k + 1)
-SELECT conv_id, evidence_id, CAST(k AS INTEGER) AS label_number, included FROM f WHERE k <= 8""")
+def context_builder(spark, sf_dir):
+    """Each turn of a conversation as a snippet, some of high risk or without a citation, and as a passage, every ninth miscited."""
+    _, ev, _ = _talk(spark, sf_dir)
+    n, pos = F.col("conv_id") + F.col("evidence_id"), F.col("evidence_id").alias("pos")
+    sn = ev.select("conv_id", pos, F.substring_index("text", " ", 3).alias("title"), "text", F.concat(F.lit("https://x.example/"), n.cast("string")).alias("url"), F.when(n % 5 != 0, F.format_string("[search_%03d]", "evidence_id")).alias("citation"), "risk")
+    es = ev.select("conv_id", pos, F.concat(F.lit(" Turn "), F.col("evidence_id").cast("string")).alias("title"), "text", F.when(n % 9 == 0, "[src_1]").otherwise(F.format_string("[src_%03d, ev_%03d]", "source_id", "evidence_id")).alias("citation"))
+    out = Q.contexts(sn, es, ["conv_id"], CONTEXT)
+    said = lambda m: F.array_join(F.transform(F.map_keys(m), lambda k: F.concat(k, F.lit(" "), F.element_at(m, k))), "|")
+    return out.select("conv_id", F.length("context").alias("size"), F.md5(F.col("context").cast("binary")).alias("context"), said(F.col("citations")).alias("citations"), F.md5(said(F.col("supports")).cast("binary")).alias("supports"))
+
+
+_SHORN = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+register("context_builder", ("P8",), context_builder, rf"""
+WITH RECURSIVE {_TALK}, ev2 AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'high' ELSE 'low' END AS risk FROM ev),
+a0 AS (SELECT conv_id, evidence_id AS pos, n, {_SHORN('text')} AS body, {_SHORN("array_to_string(string_split(text, ' ')[1:3], ' ')")} AS head, risk, row_number() OVER (PARTITION BY conv_id ORDER BY evidence_id) AS k FROM ev2),
+s0 AS (SELECT conv_id, 0 AS kind, k, '[SN' || k || ']' AS label, array_to_string(list_filter([head, body], lambda x: x <> ''), chr(10)) AS support, 'https://x.example/' || n AS url,
+    CASE WHEN n % 5 <> 0 THEN format('[search_{{:03d}}]', pos) ELSE 'https://x.example/' || n END AS cited FROM a0 WHERE k <= 10 AND risk <> 'high'),
+s1 AS (SELECT conv_id, kind, k, label, left(label || ' UNVERIFIED SEARCH SNIPPET' || chr(10) || array_to_string(list_filter([support, url], lambda x: x <> ''), chr(10)), 800) AS block, cited, left(support, 800 - length(label) - 27) AS support FROM s0),
+e0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS c FROM a0 WHERE k <= 8 AND n % 9 <> 0),
+e1 AS (SELECT conv_id, 1 AS kind, c AS k, '[EV' || c || ']' AS label, {_SHORN("'Turn ' || pos || chr(10) || body")} AS whole, format('[src_{{:03d}}, ev_{{:03d}}]', pos, pos) AS cited FROM e0 WHERE body <> ''),
+b AS (SELECT conv_id, kind, label, block, cited, support, row_number() OVER (PARTITION BY conv_id ORDER BY kind, k) AS i FROM
+    (FROM s1 UNION ALL SELECT conv_id, kind, k, label, left(label || chr(10) || whole, 1500), cited, left(whole, 1500 - length(label) - 1) FROM e1)),
+f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, FALSE AS fits FROM ev
+    UNION ALL SELECT conv_id, i, CASE WHEN fine THEN used + size ELSE used END, fine FROM
+    (SELECT b.conv_id, b.i, f.used, length(block) AS size, f.used + length(block) <= CASE kind WHEN 0 THEN {CONTEXT // 2} ELSE {CONTEXT} END AS fine FROM f JOIN b ON b.conv_id = f.conv_id AND b.i = f.i + 1)),
+g AS (SELECT conv_id, string_agg(block, chr(10) || chr(10) ORDER BY i) AS context, string_agg(label || ' ' || cited, '|' ORDER BY i) AS citations, string_agg(label || ' ' || support, '|' ORDER BY i) AS supports
+    FROM f JOIN b USING (conv_id, i) WHERE fits GROUP BY conv_id)
+SELECT conv_id, CAST(length(coalesce(context, '')) AS INTEGER) AS size, md5(coalesce(context, '')) AS context, coalesce(citations, '') AS citations, md5(coalesce(supports, '')) AS supports FROM (SELECT DISTINCT conv_id FROM ev) LEFT JOIN g USING (conv_id)""")
 
 
 # ---- metrics ----
