@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -50,7 +50,7 @@ def _plan(spark: SparkSession, question: str, options: Options) -> dict:
     mode = row.mode if options.mode == "auto" else options.mode
     compound = len(row.parts) > 1
     budget = dict(zip(P.BUDGET_FIELDS, next(b for b in P.BUDGETS if b[0] == mode), strict=True))
-    return {"mode": mode, "budget": budget, "topics": row.parts if compound else row.plan.topics, "facets": row.parts[:4] if compound else row.facets, "late": row.plan.time_sensitive, "queries": row.plan.queries}
+    return {"mode": mode, "budget": budget, "parts": row.parts, "topics": row.parts if compound else row.plan.topics, "facets": row.parts[:4] if compound else row.facets, "late": row.plan.time_sensitive, "queries": row.plan.queries}
 
 
 def graded(rows: DataFrame, facets: Sequence[str]) -> DataFrame:
@@ -130,6 +130,91 @@ def research(spark: SparkSession, question: str, results: DataFrame, pages: Data
     }
 
 
+RELEVANT = 0.30
+
+
+def _standing(question: str, every: DataFrame, new: DataFrame, options: Options) -> tuple[int, bool, bool]:
+    """How many of all results so far are relevant, whether one of those is a primary source on the subject, and whether the new ones have a relevant one. One row reaches the driver."""
+
+    def scored(rows: DataFrame) -> DataFrame:
+        q = F.lit(question)
+        rows = rows.withColumn("_s", C.result_score(q, F.col("title"), F.col("snippet"), F.col("url"), F.col("search_score"), F.col("engines"), P.subject(q)))
+        return rows.withColumn("_p", C.aligned_primary(q, F.col("title"), F.col("snippet"), F.col("url"), F.col("_s"))).filter(F.col("_s") >= RELEVANT)
+
+    merged = V.merge_few(S.domain_filter(S.normalize(every).filter(U.unsafe_reason("url").isNull()), "domain", options.include, options.exclude).withColumn("question", F.lit(0)), ["question"])
+    r = scored(merged).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.coalesce("_p", F.lit(False))), F.lit(False)).alias("p")).crossJoin(scored(new).agg((F.count(F.lit(1)) > 0).alias("u"))).first()
+    return r.n, r.p, r.u
+
+
+def goes_on(mode: str, round_number: int, more: bool, weak_rounds: int, relevant: int, primary: bool, max_sources: int) -> bool:
+    """Whether discovery takes another round. round_number counts from 0; more: whether rounds and queries are left; weak_rounds: rounds in a row without a relevant result.
+
+    Two weak rounds end it. Deep questions take a second round in any case, then go on until max(6, max_sources) results are relevant and one is primary; others
+    until max(2, min(4, max_sources / 2)) are and one is primary, quick ones never beyond what they have.
+    """
+    if weak_rounds >= 2 or not more:
+        return False
+    if mode == "deep" and (round_number == 0 or relevant < max(6, max_sources) or not primary):
+        return True
+    return mode != "quick" and (relevant < max(2, min(4, max_sources // 2)) or not primary)
+
+
+def discover(spark: SparkSession, question: str, search: Callable[[str, int], DataFrame], options: Options | None = None) -> dict[str, DataFrame]:
+    """The search phase: `results` for research(), and `rounds` (round, query, relevant, primary, useful; nulls for the exact round 1).
+
+    search: a query and the most results it may give. First the question as it stands (a compound one's facets each), then expansions and
+    gap queries, two a round (all at once for a compound question), as long as goes_on() says so. The mode's budget bounds queries, rounds and raw
+    results: the exact searches may take 10 each (a share of 20 where there are several), the others share what is left, 3 to 15 each. A URL counts once, at its first place.
+    """
+    options = options or Options()
+    plan = _plan(spark, question, options)
+    mode, budget, compound = plan["mode"], plan["budget"], len(plan["parts"]) > 1
+    exact = plan["parts"][:6] if compound else [question]
+    limit = min(budget["queries"], max(3, options.max_sources * 2)) if mode == "deep" else budget["queries"]
+    limit = min(limit, 2 * len(exact)) if compound else limit
+    most = 1 if compound else min(budget["rounds"], max(1, (limit + 1) // 2))
+    gaps = [r.query for r in P.gap_queries(spark.createDataFrame([(0, question, list(plan["topics"]))], "id int, original string, topics array<string>").crossJoin(spark.range(1, max(2, most)).select(F.col("id").alias("r"))), "id", F.col("r")).orderBy("round", "pos").collect()] if most > 1 else []
+    known, expansions = {q.casefold() for q in exact}, []
+    for q in [*plan["queries"], *gaps]:
+        if q.casefold() not in known:
+            known.add(q.casefold())
+            expansions.append(q)
+    expansions = expansions[: max(0, limit - len(exact))]
+    each = 10 if not compound else max(3, min(10, min(20, budget["raw_results"]) // len(exact)))
+    results, log, at = None, [], 0
+
+    def put(queries: Sequence[str], size: int) -> DataFrame:
+        nonlocal results, at
+        new = None
+        for q in queries:
+            rows = search(q, size).orderBy("pos").limit(size)
+            rows = rows.withColumn("pos", F.row_number().over(Window.orderBy("pos")) + at)  # at most `size` rows
+            new, at = rows if new is None else new.unionByName(rows), at + size
+        new = cut(new)
+        every = new if results is None else results.unionByName(new)
+        first = F.row_number().over(Window.partitionBy("url").orderBy("pos"))
+        results = cut(every.withColumn("_k", first).filter("_k = 1").drop("_k"))
+        return new
+
+    taken = put(exact, each).count()
+    log += [(1, q, None, None, None) for q in exact]
+    per_round = len(expansions) if compound else min(2, len(expansions))
+    planned = len(expansions) if compound else min(most * per_round, len(expansions))
+    size, weak = max(3, min(15, max(0, budget["raw_results"] - taken) // max(1, planned))), 0
+    for k in range(most):
+        asked = expansions[k * per_round : (k + 1) * per_round]
+        if not asked:
+            break
+        new = put(asked, size)
+        relevant, primary, useful = _standing(question, results, new, options)
+        weak = 0 if useful else weak + 1
+        log += [(k + 2, q, relevant, primary, useful) for q in asked]
+        used = len(exact) + sum(x[0] > 1 for x in log)
+        if not goes_on(mode, k, k + 1 < most and used < limit, weak, relevant, primary, options.max_sources):
+            break
+    return {"results": results, "rounds": spark.createDataFrame(log, "round int, query string, relevant long, primary boolean, useful boolean")}
+
+
 def research_rounds(spark: SparkSession, question: str, search: Callable[[Sequence[str]], DataFrame], pages: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
     """research() in as many rounds as the mode's budget allows: each further round searches for the topics that are still without evidence.
 
