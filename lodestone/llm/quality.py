@@ -184,7 +184,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: in
 def judge(docs: DataFrame, weights: np.ndarray, moves: np.ndarray, share: float = CONTENT_SHARE) -> DataFrame:
     """One row per row of docs: the counts, base_failed, content_share (of words; null without any) and kept.
 
-    A null text has no words and fails. A document without a content line is not kept; repeated rows are judged alike.
+    A null text has no words and fails. A document without a content line is not kept; repeated rows are judged alike. Only doc_id
+    and text are read: other columns, whatever their names, are ignored.
     """
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
 

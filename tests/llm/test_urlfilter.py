@@ -92,3 +92,13 @@ def test_empty_tables(spark):
     twice = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], "page_id long, url string")
     got = U.judge(twice, spark.createDataFrame([(1, True), (None, False)], "page_id long, good boolean"))
     assert got.count() == 3 and got.filter(F.col("verdict") == "allow").count() == 3
+
+
+def test_clashing_columns_and_long_urls(spark):
+    long = "http://" + "a." * 3_000 + "example.net/en/" + "x" * 300_000
+    rows = [(1, long, "h", "p", True, 0.5, 3), (2, "http://b.com/" + "%41" * 50_000, None, None, None, None, None), (3, None, "h", "p", False, 0.1, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, good boolean, bound double, pages long")
+    got = {r.page_id: r for r in U.judge(pages, spark.createDataFrame([(1, False), (2, True)], "page_id long, good boolean")).collect()}
+    assert (got[1].rule, got[1].verdict, len(got[1].path)) == ("example.net/en/", "allow", 300_004)
+    assert (got[2].host, got[2].rule, got[2].verdict, got[3].host, got[3].path) == ("b.com", None, "allow", "", "")
+    assert set(got[1].asDict()) == {"page_id", "host", "path", "rule", "verdict", "bound"}
