@@ -31,8 +31,12 @@ ASKED = [
 
 
 def asked(spark, sf_dir):
-    """(id, question): the user turns, ids from 0, and below 0 the same turns behind the forms of ASKED."""
-    t = table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
+    """(id, question): the user turns, ids from 0, and below 0 the same turns behind the forms of ASKED.
+
+    Letters beyond ASCII stand as `e`: DuckDB's word boundaries, which the SQL needs, know ASCII letters only, the engine's know all.
+    """
+    t = table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null")
+    t = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace("text", r"[^\x00-\x7F]", "e").alias("question"))
     form = F.get(F.lit(ASKED), (F.col("id") % len(ASKED)).cast("int"))
     return t.unionByName(t.select((-F.col("id") - 1).alias("id"), F.concat(form, F.lit(" "), "question").alias("question")))
 
@@ -41,7 +45,7 @@ def _list(texts) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + "]"
 
 
-_USER = "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, text AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL"
+_USER = r"SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, regexp_replace(text, '[^\x00-\x7F]', 'e', 'g') AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL"
 _ASKED = f"""(SELECT id, question FROM ({_USER}) UNION ALL
   SELECT -id - 1, {_list(ASKED)}[id % {len(ASKED)} + 1] || ' ' || question FROM ({_USER})) AS v(id, question)"""
 
