@@ -40,8 +40,10 @@ def extract(value: str, limit: int, question: str | None) -> str:
         return clip(text, limit)
     sentences = [s.strip() for s in SPLIT.split(text) if s.strip()]
     found = []
+    heads = {t[:3] for t in terms}  # inflection leaves a word's first three signs alone
     for i, s in enumerate(sentences):
-        if hit := terms & set(meaningful_py(s)):
+        low = s.lower().replace("ß", "ss")
+        if any(h in low for h in heads) and (hit := terms & set(meaningful_py(s))):
             found.append((i, s, hit, sum(s.casefold().count(t) for t in terms)))
     chosen: list[int] = []
     covered: set[str] = set()
