@@ -22,7 +22,7 @@ DROPPED = {"script", "style", "noscript", "template", "form", "nav", "footer", "
 DROPPED_CLASSES = {"cookie", "advertisement", "ads", "sidebar"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "table", "tr", "blockquote", "pre", "title", "header", "body"}
-CONTENT_TYPES = ("text/html", "text/plain", "application/xhtml+xml", "application/json", "text/markdown")
+CONTENT_TYPES = ("text/html", "text/plain", "application/xhtml+xml", "application/json", "application/ld+json")
 MAX_BYTES = 5 * 1024 * 1024
 LEAST_TEXT, LEAST_MAIN = 80, 200
 TARGET, MOST, HEADING = 1200, 1800, 140
