@@ -223,18 +223,56 @@ def snippet_covered(snippet: Column, evidence: Column) -> Column:
 # ---- contradictions ----
 
 
-def contradictions(evidence: DataFrame, by: Sequence[str], key: str = "evidence_id", order: str = "pos", text: str = "text", limit: int | None = 10) -> DataFrame:
-    """(by, topic, unit, evidence_ids, description): numbers that differ between records that open alike; the first `limit` of each group."""
+def stated_numbers(evidence: DataFrame, by: Sequence[str], key: str = "evidence_id", order: str = "pos", text: str = "text") -> DataFrame:
+    """(by, key, order, topic, unit, number, _i): every number with its unit, and the words that its record opens with."""
     t = F.col(text)
     words = F.slice(F.regexp_extract_all(F.lower(t), F.lit("([a-z][a-z0-9_-]{2,})"), F.lit(1)), 1, 4)
     found = F.arrays_zip(F.regexp_extract_all(t, F.lit(VALUE), F.lit(1)).alias("number"), F.regexp_extract_all(t, F.lit(VALUE), F.lit(2)).alias("unit"))
     rows = evidence.select(*by, key, order, F.array_join(words, " ").alias("topic"), F.posexplode(found).alias("_i", "v"))
-    rows = rows.select(*by, key, order, "topic", "_i", F.col("v.number").alias("number"), F.lower("v.unit").alias("unit"))
-    got = rows.groupBy(*by, "topic", "unit").agg(F.array_sort(F.collect_set("number")).alias("numbers"), F.array_sort(F.collect_set(F.struct(order, key))).alias("ids"), F.min(F.struct(order, "_i")).alias("_first"))
-    got = got.filter((F.size("numbers") > 1) & (F.size(F.array_distinct(F.transform("ids", lambda x: x[key]))) > 1))
+    return rows.select(*by, key, order, "topic", "_i", F.col("v.number").alias("number"), F.lower("v.unit").alias("unit"))
+
+
+def conflicts(stated: DataFrame, by: Sequence[str], key: str = "evidence_id", order: str = "pos") -> DataFrame:
+    """(by, topic, unit, _first): the topics and units with more than one number and more than one record.
+
+    Two values differ exactly if the least and the greatest do, so a group is five values in the map-side combine, whatever its size.
+    """
+    ends = [f(c).alias(f"_{f.__name__}_{c}") for c in ("number", key) for f in (F.min, F.max)]
+    got = stated.groupBy(*by, "topic", "unit").agg(*ends, F.min(F.struct(order, "_i")).alias("_first"))
+    return got.filter((F.col("_min_number") != F.col("_max_number")) & (F.col(f"_min_{key}") != F.col(f"_max_{key}"))).select(*by, "topic", "unit", "_first")
+
+
+def conflicting_values(evidence: DataFrame, by: Sequence[str], key: str = "evidence_id", order: str = "pos", text: str = "text") -> DataFrame:
+    """(by, topic, unit, number, records, first): a row per number that a conflicting topic and unit has, with how many records state it and which first.
+
+    For corpora: a topic that many records share stays rows, where contradictions() gathers a list of ids.
+    """
+    stated = stated_numbers(evidence, by, key, order, text)
+    # A record that states a number twice counts once; then each number is one row.
+    once = stated.groupBy(*by, "topic", "unit", "number", key).agg(F.min(F.struct(order, "_i")).alias("_at"))
+    per = once.groupBy(*by, "topic", "unit", "number").agg(F.count(F.lit(1)).alias("records"), F.min(F.struct("_at", key)).alias("_f"), F.max(key).alias("_most"), F.min(key).alias("_least"))
+    group = Window.partitionBy(*by, "topic", "unit")
+    ends = {"_a": F.min("number").over(group), "_b": F.max("number").over(group), "_c": F.min("_least").over(group), "_d": F.max("_most").over(group)}
+    return per.withColumns(ends).filter("_a <> _b and _c <> _d").select(*by, "topic", "unit", "number", "records", F.col(f"_f.{key}").alias("first"))
+
+
+def contradictions(evidence: DataFrame, by: Sequence[str], key: str = "evidence_id", order: str = "pos", text: str = "text", limit: int | None = 10) -> DataFrame:
+    """(by, topic, unit, evidence_ids, description): numbers that differ between records that open alike; the first `limit` of each group.
+
+    With a limit, ids and numbers are gathered for the chosen topics and units only. Lists are as long as a topic's records are many: over whole
+    corpora take conflicting_values().
+    """
+    rows = stated_numbers(evidence, by, key, order, text)
     if limit is not None:
-        got = got.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_first"))).filter(F.col("_k") <= limit)
-    return got.select(*by, "topic", "unit", F.array_distinct(F.transform("ids", lambda x: x[key])).alias("evidence_ids"), F.concat(F.lit("Conflicting numeric or version values found: "), F.array_join("numbers", ", ")).alias("description"))
+        first = Window.partitionBy(*by).orderBy("_first")
+        chosen = conflicts(rows, by, key, order).withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= limit).select(*(F.col(c).alias(f"_{c}") for c in (*by, "topic", "unit")))
+        same = F.lit(True)
+        for c in (*by, "topic", "unit"):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        rows = rows.join(chosen, same, "left_semi")
+    got = rows.groupBy(*by, "topic", "unit").agg(F.array_sort(F.collect_set("number")).alias("numbers"), F.array_sort(F.collect_set(F.struct(order, key))).alias("ids"))
+    got = got.withColumn("evidence_ids", F.array_distinct(F.transform("ids", lambda x: x[key]))).filter((F.size("numbers") > 1) & (F.size("evidence_ids") > 1))
+    return got.select(*by, "topic", "unit", "evidence_ids", F.concat(F.lit("Conflicting numeric or version values found: "), F.array_join("numbers", ", ")).alias("description"))
 
 
 def content_dedup(pages: DataFrame, by: Sequence[str], text: str, order: str) -> DataFrame:

@@ -222,6 +222,20 @@ x AS (SELECT lang, doc_id, topic, unnest(nums) AS num, coalesce(lower(unnest(uni
 SELECT lang, topic, unit, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS evidence_ids, 'Conflicting numeric or version values found: ' || array_to_string(list_sort(list(DISTINCT num)), ', ') AS description FROM x GROUP BY lang, topic, unit HAVING count(DISTINCT num) > 1 AND count(DISTINCT doc_id) > 1""")
 
 
+def conflicting_values(spark, sf_dir):
+    """Numbers that conflict in the texts as they stand: documents of a language whose first four words are the same."""
+    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("pos"), "text")
+    return V.conflicting_values(d, ["lang"]).withColumnRenamed("first", "first_id")
+
+
+register("conflicting_values", ("A8",), conflicting_values, rf"""
+WITH w AS (SELECT lang, doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{{2,}}')[1:4], ' ') AS topic, regexp_extract_all(text, '{V.VALUE}', 1) AS nums, regexp_extract_all(text, '{V.VALUE}', 2) AS units FROM documents),
+x AS (SELECT lang, doc_id, topic, unnest(nums) AS number, coalesce(lower(unnest(units)), '') AS unit FROM w),
+g AS (SELECT lang, topic, unit FROM x GROUP BY ALL HAVING count(DISTINCT number) > 1 AND count(DISTINCT doc_id) > 1)
+SELECT lang, topic, unit, number, count(DISTINCT doc_id) AS records, min(doc_id) AS first_id FROM x
+WHERE EXISTS (SELECT 1 FROM g WHERE g.lang IS NOT DISTINCT FROM x.lang AND g.topic = x.topic AND g.unit = x.unit) GROUP BY ALL""")
+
+
 def content_hash_dedup(spark, sf_dir):
     rows = V.content_dedup(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["lang"], "text", "doc_id")
     return rows.select("doc_id", "content_hash", "duplicate")

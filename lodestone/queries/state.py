@@ -140,6 +140,20 @@ def accepted_searches(spark, sf_dir):
 register("accepted_searches", ("X7",), accepted_searches, f"WITH RECURSIVE {_SEARCHES} SELECT caller, event_id, reason IS NULL AS accepted, reason FROM f")
 
 
+def single_flight(spark, sf_dir):
+    """Events as requests for their user's work, as many minutes long as their value says: each names the request whose work it shares."""
+    e = table(spark, sf_dir, "events").withColumn("ended", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.coalesce(F.abs("value"), F.lit(0.0)) * 60_000_000)))
+    return Z.in_flight(e.select((F.col("user_id") % 5).alias("key"), "event_id", "ts", "ended"), ["key"], "event_id", "ts", "ended").select("key", "event_id", "leader")
+
+
+register("single_flight", ("X4",), single_flight, """
+WITH RECURSIVE e AS (SELECT user_id % 5 AS key, event_id, epoch_us(ts) AS t, epoch_us(ts) + CAST(floor(coalesce(abs(value), 0) * 60000000) AS BIGINT) AS u,
+    row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT key, event_id, k, event_id AS leader, u AS until FROM e WHERE k = 1 UNION ALL
+  SELECT e.key, e.event_id, e.k, CASE WHEN e.t >= f.until THEN e.event_id ELSE f.leader END, CASE WHEN e.t >= f.until THEN e.u ELSE f.until END FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
+SELECT key, event_id, leader FROM f""")
+
+
 def cache_lookups(spark, sf_dir):
     """Errors and clicks write entries of their user's key, failures among them; all other events look their user's entry up."""
     e = table(spark, sf_dir, "events").withColumn("key", F.col("user_id") % 40)

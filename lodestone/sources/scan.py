@@ -131,6 +131,7 @@ def files(spark: SparkSession, folder: str, pattern: str = "*", most: int = MAX_
     """Pages (path, text) of a folder's files, and those over `most` bytes (path, size, error).
 
     The bound on the length reaches the scan, so a file beyond it is listed and never opened. Charsets come from byte order marks and markup.
+    Spark's file scans pass over empty files: these have no row.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     small = found.filter(F.col("length") <= most)

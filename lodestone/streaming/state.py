@@ -54,7 +54,7 @@ def sweep(cache: DataFrame, requests: DataFrame, evidence: DataFrame, passages:
 
 
 def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], Any], read: Sequence[str], name: str, kind: str = "boolean") -> DataFrame:
-    """rows with `name` of type `kind` (boolean or string): what `step` says of each row's `read` columns, given the state that the rows before it in its group left.
+    """rows with `name` of type `kind` (boolean, string or bigint): what `step` says of each row's `read` columns, given the state that the rows before it in its group left.
 
     One shuffle by group and an external sort; the fold itself holds one state and one batch, however long a group is.
     """
@@ -69,7 +69,7 @@ def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str], start: Call
                 if key != last:
                     last, state = key, start()
                 out.append(step(state, x))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, {"boolean": pa.bool_(), "string": pa.string()}[kind])], [*names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, {"boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64()}[kind])], [*names, name])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, f"{schema}, `{name}` {kind}")
@@ -131,6 +131,72 @@ def suppressed_stream(calls: DataFrame, by: str, seconds: int = COOLDOWN, latene
     return rows.groupBy(by).applyInPandasWithState(run, f"`{by}` {kind}, id long, at timestamp, reason string", "until long, running int, completed long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Flight:
+    """One key's work in flight: which request began it and when it ends (microseconds)."""
+
+    def __init__(self, leader: int | None = None, until: int | None = None):
+        self.leader, self.until = leader, until
+
+    def join(self, request: int, at: int, until: int) -> int:
+        """The request whose result this one gets: the one in flight, else itself. Work that ends at that moment is over."""
+        if self.until is None or at >= self.until:
+            self.leader, self.until = request, max(at, until)
+        return self.leader
+
+
+def in_flight(requests: DataFrame, by: Sequence[str], request: str, at: str, ended: str) -> DataFrame:
+    """requests with `leader`: the request (bigint) whose work a request shares, itself if it does its own.
+
+    ended: when the work would end if this request began it; null ends at once. Of requests of one moment the smallest leads. A chain over
+    leaders, folded in order of time: one shuffle by key, a record of state.
+    """
+    rows = requests.withColumns({"_e": F.unix_micros(F.col(at).cast("timestamp")), "_u": F.unix_micros(F.coalesce(ended, at).cast("timestamp")), "_r": F.col(request).cast("long")})
+    return folded(rows, by, ["_e", "_r"], Flight, lambda s, x: s.join(*x), ["_r", "_e", "_u"], "leader", "bigint").drop("_e", "_u", "_r")
+
+
+def in_flight_stream(requests: DataFrame, by: str, lateness: str = "1 minute") -> DataFrame:
+    """The same over a stream of requests (by, id, at, ended timestamps): a key's state goes once event time has passed the end of its work."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = dict(requests.dtypes)[by]
+    micros = lambda s: s.astype("datetime64[us]").astype("int64")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        f = Flight(*state.get) if state.exists else Flight()
+        rows = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
+        out = rows.assign(leader=[f.join(i, a, u) for i, a, u in zip(rows["id"], micros(rows["at"]), micros(rows["ended"].fillna(rows["at"])), strict=True)])
+        state.update((int(f.leader), int(f.until)))
+        state.setTimeoutTimestamp(max(f.until // 1000, state.getCurrentWatermarkMs() + 1))
+        yield out[[by, "id", "at", "leader"]]
+
+    rows = requests.withWatermark("at", lateness).select(by, "id", "at", "ended")
+    return rows.groupBy(by).applyInPandasWithState(run, f"`{by}` {kind}, id long, at timestamp, leader long", "leader long, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def retained_stream(entries: DataFrame, store: Any, folder: str, now: Callable[[], Any], retention_days: int = 7, every: str = "300 seconds") -> Any:
+    """A running stream that writes entries to a store and, at every trigger, deletes what has expired or is as old as the retention.
+
+    entries: the store's rows, with created_at and expires_at. A clock's ticks travel with them, so that triggers without an entry sweep as well, and one writer
+    makes all versions. Entries are upserted first: one that was renewed stays. A batch that is sent again writes nothing twice. now: the moment
+    of a trigger; no retention keeps nothing.
+    """
+    ticks = entries.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    ticks = ticks.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in entries.schema.fields), F.lit(True).alias("_tick"))
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = batch.filter("not _tick").drop("_tick")
+        if retention_days > 0 and not rows.isEmpty():  # ticks alone make no version
+            store.upsert(rows, folder, n)
+        moment = F.lit(now()).cast("timestamp_ntz")
+        old = F.col("created_at") <= moment - F.make_dt_interval(days=F.lit(retention_days))
+        store.delete((F.col("expires_at") <= moment) | old if retention_days > 0 else F.lit(True))
+
+    return entries.withColumn("_tick", F.lit(False)).unionByName(ticks).writeStream.foreachBatch(write).option("checkpointLocation", folder).trigger(processingTime=every).start()
+
+
 def lookups(requests: DataFrame, entries: DataFrame, by: Sequence[str], at: str, created: str, expires: str, tie: str, seconds: int = 86_400) -> DataFrame:
     """requests with `entry` (the struct of entries' columns that a lookup finds, or null) and `found`: hit, expired or miss.
 
