@@ -1,3 +1,3 @@
 """Registers every query."""
 
-from . import evidence, planning, ranking, research, results, scan, settings, state  # noqa: F401
+from . import evidence, planning, ranking, research, results, scan, settings, state, stored  # noqa: F401
