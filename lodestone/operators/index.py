@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bind, carrying, casefold, inflection, meaningful_py, tokens
@@ -19,24 +19,44 @@ from lodestone.plans.lineage import cut
 from . import rank as R
 
 
-def build(passages: DataFrame, key: str, folder: str, text: str = "text", blocks: int = 64) -> None:
+#: Text that a block holds, about, so that a task sorts a block's postings in memory; and the fewest blocks.
+BLOCK_BYTES, LEAST_BLOCKS = 32 << 20, 8
+
+
+def blocks_for(passages: DataFrame, text: str = "text") -> int:
+    """Blocks for a corpus: their number grows with its bytes, a block does not."""
+    size = passages.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
+
+
+def _places(terms: Column) -> Column:
+    """array<struct<term, places>>: each term of one passage once, with its places in order."""
+    at = lambda i, e: F.struct(F.get(e, i)["term"].alias("term"), i.alias("i"))
+    inside = lambda e, i, end: F.transform(F.slice(e, i + 1, end - i), lambda x: x["p"])
+
+    def runs(e: Column) -> Column:
+        first = F.filter(F.transform(F.sequence(F.lit(0), F.size(e) - 1), lambda i: at(i, e)), lambda x: (x["i"] == 0) | (F.get(e, x["i"] - 1)["term"] != x["term"]))
+        return bind(first, lambda s: F.transform(s, lambda x, k: F.struct(x["term"].alias("term"), inside(e, x["i"], F.coalesce(F.get(s, k + 1)["i"], F.size(e))).alias("places"))))
+
+    return bind(F.array_sort(F.transform(terms, lambda t, p: F.struct(t.alias("term"), p.alias("p")))), runs)
+
+
+def build(passages: DataFrame, key: str, folder: str, text: str = "text", blocks: int | None = None) -> None:
     """Write the index of passages (key, text) below folder: postings, passages with their folded text, bounds and totals.
 
-    Keys are distinct and not null; null texts are empty. One shuffle, of words with their places by block; blocks is to grow with the
-    corpus, as a task sorts one block. An index is written once; to renew it, write another.
+    Keys are distinct and not null; null texts are empty. Only whole texts are shuffled, by block, once for the passages and once for the postings: a
+    passage's words meet in its own row and are sorted in its block's task. An index is written once; to renew it, write another.
     """
-    spark = passages.sparkSession
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
-    body = F.coalesce(F.col(text), F.lit(""))
-    words = F.get(F.transform(F.array(carrying(tokens(body))), lambda w: F.struct(F.size(w).alias("n"), F.transform(w, inflection).alias("terms"))), F.lit(0))
-    parts = passages.select(block, F.col(key).alias("key"), casefold(body).alias("folded"), words.alias("w")).select("block", "key", "folded", "w.*")
-    parts.repartition("block").sortWithinPartitions("block", "key").write.partitionBy("block").parquet(f"{folder}/passages")
-    held = spark.read.parquet(f"{folder}/passages")
-    held.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n")).write.parquet(f"{folder}/totals")
-    # A passage's places of a term meet in its block's task.
-    places = held.select("block", "key", "n", F.posexplode("terms").alias("p", "term")).repartition("block")
-    postings = places.groupBy("block", "key", "n", "term").agg(F.array_sort(F.collect_list("p")).alias("places"))
+    spark, n = passages.sparkSession, blocks or blocks_for(passages, text)
+    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")
+    parts = passages.select(block, F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).repartitionById(n, F.col("block"))
+    parts.sortWithinPartitions("block", "key").select("block", "key", casefold(F.col("body")).alias("folded")).write.partitionBy("block").parquet(f"{folder}/passages")
+    found = bind(carrying(tokens(F.col("body"))), lambda w: F.struct(F.size(w).alias("n"), F.when(F.size(w) > 0, _places(F.transform(w, inflection))).alias("terms")))
+    postings = parts.select("block", "key", found.alias("w")).select("block", "key", "w.n", F.explode("w.terms").alias("t")).select("block", "key", "n", "t.term", "t.places")
     postings.sortWithinPartitions("block", "term", "key").write.partitionBy("block").parquet(f"{folder}/postings")
+    words = spark.read.parquet(f"{folder}/postings").agg(F.sum(F.size("places")).alias("words"))
+    docs = spark.read.parquet(f"{folder}/passages").agg(F.count(F.lit(1)).alias("docs"))
+    docs.crossJoin(words).select("docs", F.try_divide(F.coalesce("words", F.lit(0)), "docs").alias("avg_n")).write.parquet(f"{folder}/totals")  # a row each
     totals = spark.read.parquet(f"{folder}/totals")
     rows = spark.read.parquet(f"{folder}/postings").crossJoin(F.broadcast(totals))  # one row
     most = F.max(R.saturated(F.size("places"), F.col("n"), F.col("avg_n"))).alias("most")
@@ -54,7 +74,7 @@ class Index:
     def _scored(self, question: str, terms: list[str], df: list[int], blocks: list[int]) -> DataFrame:
         """(key, raw) of the passages of the blocks that hold a term. Only for those does the phrase look into the text, which lies in the same block."""
         near = self.postings.filter(F.col("block").isin(blocks) & F.col("term").isin(terms))
-        found = near.groupBy("block", "key", "n").agg(F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("p"), F.col("term").alias("t")))))).alias("at"))
+        found = near.groupBy("block", "key").agg(F.any_value("n").alias("n"), F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("p"), F.col("term").alias("t")))))).alias("at"))
         # Words within the question are whole in every text that holds it, so only passages with all of them are looked at.
         inner = sorted({t for w in question.split()[1:-1] for t in meaningful_py(w)} & set(terms))
         may = found.filter(F.forall(F.lit(inner), lambda t: F.exists("at", lambda x: x["t"] == t))) if inner else found

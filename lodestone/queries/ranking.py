@@ -71,7 +71,7 @@ SELECT question_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *,
 def index_topk(spark, sf_dir):
     """The index of all documents, written to the shared folder, then each question by its postings."""
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    I.build(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", folder, blocks=8)
+    I.build(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", folder)
     index, out = I.Index(spark, folder), None
     for name, question in QUESTIONS.items():
         one = index.top(question, TOP, first=2).select(F.lit(name).alias("question_id"), "rank", F.col("key").alias("doc_id"), "score")

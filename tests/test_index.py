@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from lodestone.functions.text import meaningful_py
 from lodestone.operators import index as I
 from lodestone.operators import rank as R
 
@@ -45,3 +46,24 @@ def test_postings_are_read_by_term_and_block(corpus):
     _, index = corpus
     plan = index.postings.filter("block in (1, 2) and term in ('alpha', 'beta')")._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "In(term, [alpha,beta])" in plan
+
+
+def test_blocks_grow_with_the_corpus_and_words_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """What is shuffled to build an index is whole texts; a block's text is bounded, whatever the size of the corpus."""
+    monkeypatch.setattr(I, "BLOCK_BYTES", 4_000)
+    rows = [(i, f"alpha beta{i % 7} alpha {'gamma ' * (i % 5)}") for i in range(2_000)] + [(2_000, None), (2_001, "  ")]
+    df, folder = spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "i")
+    size = sum(len(t or "") for _, t in rows)
+    I.build(df, "id", folder)
+    postings, passages = (spark.read.parquet(f"{folder}/{k}") for k in ("postings", "passages"))
+    assert passages.select("block").distinct().count() == -(-size // 4_000) > I.LEAST_BLOCKS
+    assert len(postings.inputFiles()) == len(passages.inputFiles()) == -(-size // 4_000)  # one task for a block
+    got = {(r.key, r.term): (r.n, r.places) for r in postings.collect()}
+    want = {}
+    for i, t in rows:
+        words = meaningful_py(t or "")
+        for p, w in enumerate(words):
+            want.setdefault((i, w), (len(words), []))[1].append(p)
+    assert got == want
+    totals = spark.read.parquet(f"{folder}/totals").first()
+    assert (totals.docs, totals.avg_n) == (len(rows), sum(len(meaningful_py(t or "")) for _, t in rows) / len(rows))
