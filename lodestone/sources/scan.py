@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import urls as U
+from lodestone.plans.batches import map_pieces
 
 from .pages import CONTENT_TYPES, MAX_BYTES
 
@@ -64,7 +65,7 @@ def decoded(rows: DataFrame, key: str, body: str, named: Column, markup: bool =
             texts = [decode(x, c, markup) for x, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [key, "text"])
 
-    return rows.select(key, F.col(body).alias("body"), named.alias("named")).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, text string")
+    return map_pieces(rows.select(key, F.col(body).alias("body"), named.alias("named")), run, f"`{key}` {dict(rows.dtypes)[key]}, text string")
 
 
 def _address(url: Column) -> Column:
