@@ -244,7 +244,7 @@ def research_rounds(spark: SparkSession, question: str, search: Callable[[Sequen
 
 def read_pages(pages: DataFrame, key: str, question: str | None = None, html: str = "html", most: int = 20) -> DataFrame:
     """(key, rank, heading, text, offsets, score): the best safe passages of every page for a question, else for the page's own title."""
-    chunks = G.chunk(G.extract_text(pages, key, html).filter("not failed").select(key, "text"), key).withColumn("passage", F.col("pos"))
+    chunks = G.read(pages, key, html).withColumn("passage", F.col("pos"))
     chunks = chunks.filter(X.injection_risk(X.injection_reasons("text")) != "high")
     if question is None:
         titles = pages.select(key, F.array_distinct(X.meaningful(G.metadata(F.col(html))["title"])).alias("_t"))
