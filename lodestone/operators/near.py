@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.plans.batches import bounded, map_pieces
 from lodestone.plans.lineage import cut
 
 from .graph import components
@@ -68,7 +69,7 @@ def _grams(strings: DataFrame) -> DataFrame:
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["cell", "id", "size", "first", "gram"])
 
-    return strings.select("cell", "id", "kind", "text").mapInArrow(run, "cell long, id long, size int, first int, gram long")
+    return map_pieces(strings.select("cell", "id", "kind", "text"), run, "cell long, id long, size int, first int, gram long")
 
 
 def alike_strings(strings: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def alike_strings(strings: DataFrame) -> DataFrame:
                             o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["cell", "later", "earlier"])
 
-    return pairs.select("cell", "x", "y", "kind", "x_text", "y_text").mapInArrow(run, "cell long, later long, earlier long")
+    return map_pieces(pairs.select("cell", "x", "y", "kind", "x_text", "y_text"), run, "cell long, later long, earlier long")
 
 
 class Kept:
@@ -140,6 +141,7 @@ def near_results(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     non-null. The kept row gathers engines, the best score and the longest snippet, the earlier of equal ones; later rows are compared with the snippet that it shows by then. Groups
     can have any size: no task sees more than one component of links, a row at a time, and what it remembers of those kept.
     """
+    bounded(rows)
     names = rows.columns
     g = F.xxhash64(*by) if by else F.lit(0).cast("long")
     keyed = cut(rows.withColumns({"g": g, "t": folded_case("title"), "s": folded_case("snippet"), "length": F.length("snippet")}))
@@ -171,7 +173,7 @@ def near_results(rows: DataFrame, by: Sequence[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.int64())], [*names, "into"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    joined = keyed.repartition("part").sortWithinPartitions("part", *by, "pos").mapInArrow(run, f"{schema}, into long")
+    joined = map_pieces(keyed.repartition("part").sortWithinPartitions("part", *by, "pos"), run, f"{schema}, into long")
     rest = [c for c in names if c not in (*by, "engines", "search_score", "snippet")]
     longest = F.min(F.struct((-F.length("snippet")).alias("n"), F.col("pos").alias("o"), F.col("snippet").alias("s")))
     # collect_set holds the engines of one result: a few names.
