@@ -19,6 +19,7 @@ from lodestone.operators import results as S
 from lodestone.operators import scoring as C
 from lodestone.operators import selection as W
 from lodestone.plans import questions as P
+from lodestone.plans.batches import dealt
 from lodestone.plans.lineage import cut
 from lodestone.sources import pages as G
 from lodestone.sources.tables import delete
@@ -70,7 +71,7 @@ def candidates(results: DataFrame, facets: Sequence[str], options: Options) -> D
     question's results, which its caller has bounded by its budget, by merge_few().
     """
     rows = S.domain_filter(S.normalize(results).filter(U.unsafe_reason("url").isNull()), "domain", options.include, options.exclude)
-    rows = N.near_results(cut(rows), ["question"]) if "question" in rows.columns else V.merge_few(cut(rows.withColumn("question", F.lit(0))), ["question"]).drop("question")
+    rows = dealt(N.near_results(cut(rows), ["question"])) if "question" in rows.columns else V.merge_few(cut(rows.withColumn("question", F.lit(0))), ["question"]).drop("question")
     return graded(rows, facets).withColumns({"kind": U.source_type("url"), "key": F.coalesce(F.nullif(F.col("canonical_url"), F.lit("")), F.col("url"))})
 
 

@@ -1,24 +1,23 @@
 """Near-duplicate results at any group size: a similarity join over strings, then a merge in order of place.
 
-Two strings are alike when difflib's ratio reaches a limit. That bounds their edits, so their lengths are close and, of either's
-q-grams in order of rarity, the first few share one. Only strings that do so are compared, once each way, since the ratio
-depends on which comes first. Links between results make small components, and the merge folds over one component at a time.
+Two strings are alike when difflib's ratio reaches a limit. That bounds what they have apart, so their lengths, their letters and their
+short runs of signs are nearly the same. Only strings of which that is so are compared, once each way, since the ratio
+depends on which comes first. Lengths and letters are compared for all pairs of a group's domain, 64 bytes a string. Links between results make small components, and the merge folds over one component at a time.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.plans.batches import bounded, map_pieces
+from lodestone.plans.batches import bounded, dealt, map_pieces
 from lodestone.plans.lineage import cut
 
 from .graph import components
@@ -26,7 +25,9 @@ from .graph import components
 #: Limits of the ratio (fixed values): titles, snippets.
 TITLE_RATIO, SNIPPET_RATIO = 0.93, 0.94
 LIMITS = (TITLE_RATIO, SNIPPET_RATIO)
-GRAM = 4
+GRAM = 3
+#: Bins of letters, growth of sizes from band to band (above (2 - r) / r for both ratios r), strings of a block on average, bins of runs.
+LETTERS, BAND, BLOCK, RUNS = 64, 1.17, 4_096, 4_093
 
 
 def alike(a: str, b: str, least: float) -> bool:
@@ -37,9 +38,15 @@ def alike(a: str, b: str, least: float) -> bool:
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
-def edits(length: int, least: float) -> int:
-    """Most signs that a string of this length and one alike can have apart from what they share: 2 l (1 - r) / r in all."""
-    return int(2 * length * (1 - least) / least + 1e-9)
+def may_be_alike(a: str, b: str, least: float) -> bool:
+    """Whether runs of GRAM signs, in RUNS bins, allow the ratio: each sign that is not matched, (1 - least) of both sizes at most, changes 2 GRAM - 1 runs."""
+
+    def runs(text: str) -> np.ndarray:
+        signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = max(len(signs) - GRAM + 1, 0)
+        return np.bincount(sum((signs[k : k + n] * 31**k for k in range(GRAM)), np.zeros(n, np.int64)) % RUNS, minlength=RUNS)
+
+    return int(np.abs(runs(a) - runs(b)).sum()) <= (2 * GRAM - 1) * ((1 - least) * (len(a) + len(b)) + 1e-6)
 
 
 def folded_case(c: str) -> Column:
@@ -53,52 +60,82 @@ def folded_case(c: str) -> Column:
 
 
 def _grams(strings: DataFrame) -> DataFrame:
-    """(cell, id, size, first, gram): every q-gram of each string, numbered where it repeats; `first` of them, rarest first, suffice."""
+    """(cell, id, kind, size, band, letters): how often each string has each letter, in LETTERS bins and up to 255; strings that are alike are of one band of sizes or of neighbouring ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for cell, name, kind, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen: Counter[str] = Counter()
-                most = edits(len(text), LIMITS[kind])
-                for i in range(len(text) - GRAM + 1 if most else 0):  # without an edit only equal strings are alike
-                    g = text[i : i + GRAM]
-                    h = xxhash.xxh64_intdigest(f"{seen[g]}:{g}") >> 1
-                    seen[g] += 1
-                    for x, v in zip(out, (cell, name, len(text), GRAM * most + 1, h), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["cell", "id", "size", "first", "gram"])
+            sizes, bands, letters = [], [], []
+            for text in b.column(3).to_pylist():
+                signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                sizes.append(len(signs))
+                bands.append(int(np.log(max(len(signs), 1)) / np.log(BAND)))
+                letters.append(np.minimum(np.bincount(signs % LETTERS, minlength=LETTERS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sizes, pa.int32()), pa.array(bands, pa.int32()), pa.array(letters, pa.binary())], ["cell", "id", "kind", "size", "band", "letters"])
 
-    return map_pieces(strings.select("cell", "id", "kind", "text"), run, "cell long, id long, size int, first int, gram long")
+    return map_pieces(strings.select("cell", "id", "kind", "text"), run, "cell long, id long, kind int, size int, band int, letters binary")
+
+
+def candidates(size: np.ndarray, letters: np.ndarray, block: np.ndarray, home: np.ndarray, across: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that sizes and letters leave: between the two blocks, if across, else in the one, and not of two guests.
+
+    What the ratio leaves unmatched, (1 - least) of both sizes at most, is no less than what two strings' letters differ by, and bins and the bound of 255 make that only less.
+    """
+    for at in range(0, len(size), 64):
+        end = min(at + 64, len(size))
+        mine, other = letters[at:end, None], letters[None, at:]
+        total = size[at:end, None] + size[None, at:]
+        fits = (2 * np.minimum(size[at:end, None], size[None, at:]) >= least * total - 1e-6) & (home[at:end, None] | home[None, at:])
+        fits &= np.arange(at, end)[:, None] < np.arange(at, len(size))[None]
+        if across:
+            fits &= block[at:end, None] != block[None, at:]
+        if fits.any():
+            fits &= (np.maximum(mine, other) - np.minimum(mine, other)).sum(axis=2, dtype=np.int32) <= (1 - least) * total + 1e-6
+            i, j = np.nonzero(fits)
+            yield at + i, at + j
 
 
 def alike_strings(strings: DataFrame) -> DataFrame:
     """(cell, later, earlier): ids of strings (cell, id, kind, text) of one cell whose ratio, the later one's text first, reaches the limit of their kind.
 
-    strings hold each text of a cell once. Equal texts need no row.
+    strings hold each text of a cell once. Equal texts need no row. A cell's strings of neighbouring bands meet as rows of a few bytes, in pairs of blocks of
+    about BLOCK, so that no task gets more than two blocks of a cell at a time.
     """
-    grams = cut(_grams(strings))
-    rare = grams.join(grams.groupBy("cell", "gram").agg(F.count(F.lit(1)).alias("n")), ["cell", "gram"])
-    place = F.row_number().over(Window.partitionBy("cell", "id").orderBy("n", "gram"))
-    kept = cut(rare.withColumn("k", place).filter("k <= first and n > 1").select("cell", "gram", "id", "size"))
-    a, b = kept.withColumnsRenamed({"id": "x", "size": "x_size"}), kept.withColumnsRenamed({"id": "y", "size": "y_size"})
-    loose = min(LIMITS)
-    fits = 2 * F.least("x_size", "y_size") >= F.lit(loose) * (F.col("x_size") + F.col("y_size"))
-    pairs = a.join(b, ["cell", "gram"]).filter((F.col("x") < F.col("y")) & fits).select("cell", "x", "y").distinct()
+    own = cut(_grams(strings))
+    row = ["cell", "id", "kind", "size", "letters"]
+    both = own.select(*row, "band", F.lit(True).alias("home")).unionByName(own.select(*row, (F.col("band") - 1).alias("band"), F.lit(False).alias("home")))
+    of = both.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("any")).filter("m > 1 and any").drop("any")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    met = both.join(of, ["cell", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
+    met = dealt(met.withColumn("pair", F.explode(pair)).select(*row, "band", "home", "block", "pair"), "cell", "band", "pair")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, kind, across, members in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                v = members.values
+                name, size, block, home = (v.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "block", "home"))
+                letters = np.frombuffer(b"".join(v.field("letters").to_pylist()), np.uint8).reshape(len(v), LETTERS)
+                for i, j in candidates(size, letters, block, home, across, LIMITS[kind]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), cell), pa.int64()), pa.array(name[i], pa.int64()), pa.array(name[j], pa.int64())], ["cell", "x", "y"])
+
+    members = met.groupBy("cell", "kind", "band", "pair").agg(F.collect_list(F.struct("id", "size", "block", "home", "letters")).alias("members"))
+    pairs = map_pieces(members.select("cell", "kind", (F.col("pair.x") < F.col("pair.y")).alias("across"), "members"), meet, "cell long, x long, y long")
     text = lambda name: strings.select("cell", F.col("id").alias(name), "kind", F.col("text").alias(f"{name}_text"))
-    pairs = pairs.join(text("x"), ["cell", "x"]).join(text("y").drop("kind"), ["cell", "y"])
+    pairs = cut(pairs).join(text("x"), ["cell", "x"]).join(text("y").drop("kind"), ["cell", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], []]
             for cell, x, y, kind, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not may_be_alike(p, q, LIMITS[kind]):
+                    continue
                 for later, earlier, s, t in ((x, y, p, q), (y, x, q, p)):
                     if alike(s, t, LIMITS[kind]):
                         for o, v in zip(out, (cell, later, earlier), strict=True):
                             o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["cell", "later", "earlier"])
 
-    return map_pieces(pairs.select("cell", "x", "y", "kind", "x_text", "y_text"), run, "cell long, later long, earlier long")
+    return map_pieces(dealt(pairs.select("cell", "x", "y", "kind", "x_text", "y_text")), run, "cell long, later long, earlier long")
 
 
 class Kept:

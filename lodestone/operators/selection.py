@@ -83,18 +83,22 @@ def fetch_order(rows: DataFrame, by: Sequence[str], limit: int, facets: int) ->
     A group can have any size: at most `limit` candidates are taken, so of each order in which choose() takes them only the first that many beyond those taken
     can be reached. Only these rows meet in one task.
     """
-    over = lambda *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    first = rows.withColumn("_k", over(F.desc("preliminary"), "pos"))
-    reach = F.col("_k") <= max(10, 3 * limit) + limit
+    best = [F.desc("preliminary"), F.col("pos")]
+
+    def first(some: DataFrame, most: int, *order: Column) -> DataFrame:
+        """The first rows of each group in an order; each task passes on no more than that."""
+        k = F.row_number().over(Window.partitionBy(*by).orderBy(*order, *best))
+        return some.withColumn("_n", k).filter(F.col("_n") <= most).drop("_n")
+
+    some = first(rows, max(10, 3 * limit) + limit)
     for f in range(facets):
-        first = first.withColumn(f"_f{f}", over(F.desc(F.get("fits", F.lit(f))), F.desc(F.get("scores", F.lit(f))), "_k"))
-        reach = reach | (F.col(f"_f{f}") <= 2 * limit + 2)
-    first = first.withColumn("_p", over(F.col("preferred").asc_nulls_last(), "_k"))
-    reach = reach | (F.col("preferred").isNotNull() & (F.col("_p") <= limit))
+        some = some.unionByName(first(rows, 2 * limit + 2, F.desc(F.get("fits", F.lit(f))), F.desc(F.get("scores", F.lit(f)))))
+    some = some.unionByName(first(rows.filter("preferred is not null"), limit, F.col("preferred").asc()))
+    reached = some.dropDuplicates([*by, "pos", "key"]).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*best)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = choose(pdf.sort_values("_k").to_dict("records"), limit)
         return pd.DataFrame({**{b: [pdf[b].iloc[0]] * len(got) for b in by}, "key": [g["key"] for g in got], "position": range(1, len(got) + 1)})
 
     kinds = dict(rows.dtypes)
-    return first.filter(reach).groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", key string, position int")
+    return reached.groupBy(*by).applyInPandas(run, ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", key string, position int")

@@ -40,6 +40,12 @@ def bounded(df: DataFrame) -> None:
             conf.set(k, v)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many partitions as its session's shuffles have, or as there are cores: for rows that cost far more than their few bytes let Spark expect."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def map_pieces(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(f), where f gets its rows, in order, in pieces() and gives a batch for each."""
     bounded(df)

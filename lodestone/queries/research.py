@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import api
 from lodestone.functions import text as X
 from lodestone.operators import selection as W
+from lodestone.plans.lineage import cut
 from lodestone.registry import register
 from lodestone.sources.tables import table
 
@@ -48,9 +49,10 @@ def preferred_candidates(spark, sf_dir):
 
 
 def fetch_selection(spark, sf_dir):
-    found = _candidates(spark, sf_dir)
+    found = cut(_candidates(spark, sf_dir).select("question", "pos", "key", "domain", "kind", "preliminary", "scores", "fits"))
     chosen = W.preferred(found, ["question"], len(FACETS))
-    return W.fetch_order(found.join(chosen, ["question", "key"], "left"), ["question"], 8, len(FACETS))
+    rows = cut(found.join(chosen, ["question", "key"], "left"))
+    return W.fetch_order(rows, ["question"], 8, len(FACETS))
 
 
 def research_rounds(spark, sf_dir):

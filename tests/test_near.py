@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from lodestone.operators import evidence as V
 from lodestone.operators import graph
 from lodestone.operators import near as N
@@ -95,6 +97,31 @@ def test_a_group_of_ten_thousand(spark):
     assert len(want) < 9_990
 
 
+def test_alike_strings_in_blocks(spark, monkeypatch):
+    """Blocks of a few strings and neighbouring bands of sizes lose no pair and give none twice."""
+    monkeypatch.setattr(N, "BLOCK", 5)
+    r, texts = random.Random(8), strings(5, 90, 60)
+    texts = sorted({*texts, *(t + r.choice("abcdefgh") * k for t in texts for k in (1, 2, 5)), "", "a", "ä" * 40, "ä" * 39 + "\U0001f600", "x" * 700, "x" * 660})
+    df = spark.createDataFrame([(c, i, 0, t) for c in (1, 2) for i, t in enumerate(texts)], "cell long, id long, kind int, text string")
+    got = sorted((p.cell, p.later, p.earlier) for p in N.alike_strings(df).collect())
+    want = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and SequenceMatcher(None, a, b).ratio() >= N.LIMITS[0]]
+    assert got == sorted((c, *p) for c in (1, 2) for p in want) and len(want) > 100
+
+
+def test_few_unlike_strings_are_compared():
+    """Of titles of the same few words, letters leave hardly any pair but those that are alike, and all of these."""
+    r = random.Random(4)
+    words = ["".join(r.choices("aeinorstdhlu", k=r.randrange(2, 9))) for _ in range(60)]
+    texts = list(dict.fromkeys(" ".join(r.choices(words, k=12))[:60] for _ in range(500)))
+    texts += [edited(r, t, 3) for t in texts[:40]]
+    rows = list(enumerate(texts))
+    size, letters = np.array([len(t) for t in texts]), np.stack([np.bincount([ord(c) % N.LETTERS for c in t], minlength=N.LETTERS).astype(np.uint8) for t in texts])
+    left = {(int(i), int(j)) for x, y in N.candidates(size, letters, np.zeros(len(texts), int), np.ones(len(texts), bool), False, 0.93) for i, j in zip(x, y, strict=True)}
+    alike = {(i, j) for i, a in rows for j, b in rows[i + 1 :] if N.alike(a, b, 0.93)}
+    assert alike <= left and len(alike) >= 40 and len(left) < len(texts) ** 2 / 2 / 500
+    assert all(N.may_be_alike(texts[i], texts[j], 0.93) for i, j in alike)
+
+
 def test_groups_stay_apart_and_small_groups_fold_alike(spark):
     rows = [r for q in range(8) for r in results(q, 60, 3, q)]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -286,6 +286,14 @@ def test_fetch_order_of_large_groups(spark, limit):
     assert got == want
 
 
+def test_no_task_of_the_fetch_order_gets_a_whole_group(spark):
+    """Each order's first rows are found before groups meet: one limit before the shuffle and one after, for the best, each facet and the preferred."""
+    df = spark.createDataFrame([], "g int, key string, pos int, domain string, kind string, preliminary double, preferred double, scores array<double>, fits array<boolean>")
+    df = df.unionByName(spark.range(9).selectExpr("1 AS g", "string(id) AS key", "int(id) AS pos", "'d' AS domain", "'k' AS kind", "double(id) AS preliminary", "double(id) AS preferred", "array(0.1D, 0.2D, 0.3D) AS scores", "array(true, true, true) AS fits"))
+    plan = W.fetch_order(df, ["g"], 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 * (1 + 3 + 1)
+
+
 def test_extracts_of_whole_texts(spark, sf_dir):
     """Extracts are made of whole sentences of the text in their order, within the limit, and name as many terms as any one sentence that fits."""
     question = "erinant thonor ering ththe thanedble attion"
